@@ -20,34 +20,58 @@ from chainloom.llm.common import materialize
 #: (length, how many) of the pieces of a sequence, in order, and how many sequences look so.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
-_MEMO_WORDS, _MEMO_CHARS = 400_000, 64
+_MEMO_WORDS, _MEMO_CHARS = 300_000, 64
+_CAPITALS = frozenset(chr(c) for c in range(0x41, 0xDF) if chr(c).isupper())
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """A tokenizer that drops white space, asked once per distinct word. The memo is emptied at a fixed size."""
+    """A tokenizer that lower-cases and drops white space, asked once per distinct word.
+
+    Words are told apart at spaces and line ends, without a full stop or comma behind a letter and with their first
+    letter lower-cased, neither of which changes the ids. Two generations of the memo keep the words in use; the older
+    one is dropped when the younger is full.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._memo = Tokenizer.from_file(path), {}
+        self._tokenizer, self._memo, self._older = Tokenizer.from_file(path), {}, {}
+        self._stops = {c: self._ask([c])[0] for c in ".,"}
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
-        memo = self._memo
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) > _MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            found = [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(new, add_special_tokens=False)]
-            long = {w: b for w, b in zip(new, found, strict=True) if len(w) > _MEMO_CHARS}
-            memo.update((w, b) for w, b in zip(new, found, strict=True) if w not in long)
-            if long:
-                return b"".join([long[w] if w in long else memo[w] for w in words])
-        return b"".join([memo[w] for w in words])
+        parts: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if word:
+                if word[0] in _CAPITALS:
+                    word = word[0].lower() + word[1:]
+                if word[-1] in ".," and word[-2:-1].isalpha():
+                    parts += (word[:-1], word[-1])
+                else:
+                    parts.append(word)
+        memo, older = self._memo, self._older
+        new = []
+        for word in set(parts):
+            if word not in memo and word not in self._stops:
+                if word in older:
+                    memo[word] = older[word]
+                else:
+                    new.append(word)
+        asked = dict(zip(new, self._ask(new), strict=True)) if new else {}
+        memo.update(asked)
+        memo.update(self._stops)
+        out = b"".join([memo[part] for part in parts])
+        for word in new:
+            if len(word) > _MEMO_CHARS:
+                del memo[word]
+        if len(memo) > _MEMO_WORDS:
+            self._memo, self._older = {}, memo
+        return out
 
 
 def _tokenizer(path: str) -> WordTokenizer:
