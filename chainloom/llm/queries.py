@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import line_dedup, packing, secrets
+from chainloom.llm import line_dedup, packing, secrets, toxicity
 from chainloom.llm.sql import ORACLE
 
 
@@ -25,6 +25,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def held_out() -> Column:
+    """Rows that no fit may use the label of."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def learned_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Lexicon:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    docs = _table(spark, sf_dir, "documents") if docs is None else docs
+    return toxicity.learn(docs.select("doc_id", "text"), labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_toxicity(docs, learned_lexicon(spark, sf_dir)).select("row.doc_id", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
