@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import line_dedup, packing, secrets, toxicity
+from chainloom.llm import line_dedup, ngram_join, packing, secrets, toxicity
 from chainloom.llm.sql import ORACLE
 
 
@@ -55,6 +55,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(r.kind) for r in secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
