@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import line_dedup, ngram_join, packing, secrets, toxicity
+from chainloom.llm import embedding_dedup, line_dedup, ngram_join, packing, secrets, toxicity
 from chainloom.llm.sql import ORACLE
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
