@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import embedding_dedup, line_dedup, ngram_join, packing, secrets, toxicity
+from chainloom.llm import embedding_dedup, line_dedup, ngram_join, packing, secrets, toxicity, vptree
 from chainloom.llm.sql import ORACLE
 
 
@@ -19,6 +19,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
