@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import embedding_dedup, line_dedup, ngram_join, packing, secrets, toxicity, vptree
+from chainloom.llm import embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
 from chainloom.llm.sql import ORACLE
 
 
@@ -23,6 +23,11 @@ def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -33,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
+
+
 def held_out() -> Column:
     """Rows that no fit may use the label of."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from chainloom.llm import licenses, mixing
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -16,4 +18,73 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": LINE_DEDUP}
+
+
+def _canonical(text: str) -> str:
+    text = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT}', '', 'g')"
+    text = f"regexp_replace({text}, '{licenses.NOT_WORDS}', ' ', 'g')"
+    for other, one in licenses.SPELLINGS:
+        text = f"replace({text}, '{other}', '{one}')"
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENSES = f"""
+WITH known AS (
+  SELECT digest, min(license_id) AS license_id
+  FROM (SELECT column0 AS license_id, sha256(array_to_string({_canonical("column1")}, ' ')) AS digest
+        FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}))
+  GROUP BY digest),
+d AS (SELECT doc_id, {_canonical("text")} AS ls FROM documents),
+whole AS (SELECT doc_id, min(license_id) AS license_id FROM d JOIN known ON digest = sha256(array_to_string(ls, ' ')) WHERE len(ls) > 0 GROUP BY doc_id),
+notice AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+           FROM (SELECT doc_id, unnest(ls) AS line FROM d) JOIN known ON digest = sha256(line) GROUP BY doc_id)
+SELECT d.doc_id, license_id, coalesce(notices, '') AS notices FROM d LEFT JOIN whole USING (doc_id) LEFT JOIN notice USING (doc_id)
+"""
+
+
+def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0.6, sweeps: int = 6) -> str:
+    """The rows of mixing.mix as common table expressions, ending in mixed(doc_id, ..., probability, sampled)."""
+    noise = " OR ".join(f"contains(t, '{x}')" for x in ("%%%", "&&&", "$$$", "***", "###"))
+    digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {k + 1}, 1)) - 1) * {16 ** (7 - k)}::BIGINT" for k in range(8))
+    steps = [
+        f"mix_d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h FROM {table})",
+        f"""mix_e AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+            CASE WHEN contains(t, ' | ') THEN 'table' WHEN {noise} THEN 'noise' WHEN length(t) < 400 THEN 'note'
+                 WHEN length(t) > 20000 THEN 'book' ELSE 'prose' END AS topic,
+            greatest(1, len(regexp_extract_all(t, '{mixing.WORD}'))) AS tokens, ({digits}) / {2**32}.0::DOUBLE AS draw FROM mix_d)""",
+        "mix_0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight FROM mix_e GROUP BY ALL)",
+    ]
+    margins = list(mixing.MARGINS)
+    steps.append("mix_1 AS (SELECT *, " + ", ".join(f"sum(tokens) OVER (PARTITION BY {m}) AS of_{m}" for m in margins) + " FROM mix_0)")
+    steps.append("mix_2 AS (SELECT *, " + ", ".join(f"pow(of_{m}, {flatten}) / sum(pow(of_{m}, {flatten}) * tokens / of_{m}) OVER () AS to_{m}" for m in margins) + " FROM mix_1)")
+    last = "mix_2"
+    for k in range(sweeps):
+        for m in margins:
+            steps.append(f"mix_{k}_{m} AS (SELECT * REPLACE (weight * to_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM {last})")
+            last = f"mix_{k}_{m}"
+    steps.append(f"mix_s AS (SELECT *, weight * sum(tokens) OVER () / tokens AS rate, {budget}::DOUBLE AS scale FROM {last})")
+    last = "mix_s"
+    for k in range(mixing.CAP_ROUNDS):
+        steps.append(
+            f"""mix_s{k} AS (SELECT * EXCLUDE (want, whole, part) REPLACE (scale * CASE WHEN part > 0 AND want > whole THEN (want - whole) / part ELSE 1 END AS scale) FROM (
+            SELECT *, {budget} * sum(tokens) OVER () AS want, sum(CASE WHEN scale * rate >= 1 THEN tokens ELSE 0 END) OVER () AS whole,
+                   sum(CASE WHEN scale * rate >= 1 THEN 0 ELSE scale * rate * tokens END) OVER () AS part FROM {last}))"""
+        )
+        last = f"mix_s{k}"
+    steps.append(
+        f"""mixed AS (SELECT doc_id, e.source, e.lang, topic, e.tokens, least(1.0, scale * rate) AS p, draw < least(1.0, scale * rate) AS sampled
+        FROM mix_e e JOIN {last} c USING (source, lang, topic))"""
+    )
+    return ",\n".join(steps)
+
+
+MIXING = f"""
+WITH {mixing_sql()}
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, sampled FROM mixed
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": MIXING, "op5_licenses": LICENSES, "op7_line_dedup": LINE_DEDUP}
