@@ -35,7 +35,7 @@ def _quoted(text: str) -> str:
 LICENSES = f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id
-  FROM (SELECT column0 AS license_id, sha256(array_to_string({_canonical("column1")}, ' ')) AS digest
+  FROM (SELECT col0 AS license_id, sha256(array_to_string({_canonical("col1")}, ' ')) AS digest
         FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}))
   GROUP BY digest),
 d AS (SELECT doc_id, {_canonical("text")} AS ls FROM documents),
