@@ -16,7 +16,9 @@ from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, real_id
 from chainloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+#: Odd multipliers of the min-hashes, and how many of these a class must share with a leader to be compared with it.
+_SEEDS = _MIX * np.arange(3, 15, 2, dtype=np.uint64)
+_SHARED = 2
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -25,7 +27,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
     mixed = np.zeros(len(words) - n + 1, np.uint64)
@@ -45,33 +47,54 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _counts(n: int, width: int, block: int):
-    """Sketch of how often shingles occur: counts by hash, as blocks; one set of blocks per task."""
+    """How often shingles occur by cell of their hash; one set of compressed blocks per task."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(width, np.int64)
+        counts, waiting, held = np.zeros(width, np.uint32), [], 0
         for batch in batches:
-            found = [shingles(t, n) for t in batch.column(0).to_pylist()]
-            if found:
-                counts += np.bincount((np.concatenate(found) % np.uint64(width)).astype(np.int64), minlength=width)
-        yield pa.record_batch([pa.array(range(width // block), pa.int32()), pa.array(list(counts.reshape(-1, block)), pa.list_(pa.int64()))], names=["block", "counts"])
+            for text in batch.column(0).to_pylist():
+                waiting.append((shingles(text, n) & np.uint64(width - 1)).astype(np.uint32))
+                held += len(waiting[-1])
+                if held > 2_000_000:
+                    counts += np.bincount(np.concatenate(waiting), minlength=width).astype(np.uint32)
+                    waiting, held = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=width).astype(np.uint32)
+        data = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(-1, block)]
+        yield pa.record_batch([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
 
     return of
 
 
-def frequency_ranks(docs: DataFrame, n: int, width: int = 1 << 18, block: int = 1 << 13) -> np.ndarray:
-    """For each of width cells, half the log2 of how often shingles of the cell occur, as one byte: an order from rare
-    to frequent over all documents. Its size is fixed, so it can go to every task; any order gives whole results, this
-    one keeps what many documents share out of the prefixes."""
-    summed = docs.select("text").mapInArrow(_counts(n, width, block), "block int, counts array<long>")
-    summed = summed.select("block", F.posexplode("counts").alias("cell", "n")).filter("n > 0").groupBy("block", "cell").agg(F.sum("n").alias("n"))
-    ranks = np.zeros(width, np.uint8)
-    for r in summed.select((F.col("block") * block + F.col("cell")).alias("cell"), F.round(2 * F.log2("n")).cast("int").alias("rank")).toLocalIterator():
-        ranks[r["cell"]] = r["rank"]
-    return ranks
+def _ranked(block: int):
+    """The blocks of a partition summed as they come, then ranked."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.setdefault(k, np.zeros(block, np.uint64))
+                sums[k] += np.frombuffer(zlib.decompress(data), np.uint32)
+        ranks = [np.round(3 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["block", "ranks"])
+
+    return of
+
+
+def frequency_ranks(docs: DataFrame, n: int, width: int = 1 << 23, block: int = 1 << 16) -> bytes:
+    """For each of width cells (a power of two) a third of the log2 of how often shingles of the cell occur, as one byte,
+    compressed: an order from rare to frequent over all documents. Its size is fixed, so it can go to every task; any
+    order gives whole results, this one keeps what many documents share out of the prefixes."""
+    counted = docs.select("text").mapInArrow(_counts(n, width, block), "block int, counts binary")
+    ranked = counted.repartition(16, "block").mapInArrow(_ranked(block), "block int, ranks binary")
+    table = np.zeros((width // block, block), np.uint8)
+    for r in ranked.toLocalIterator():
+        table[r["block"]] = np.frombuffer(r["ranks"], np.uint8)
+    return zlib.compress(table.tobytes(), 1)
 
 
 def _prefixes(n: int, percent: int, ranks: bytes):
-    """For each row: id, class of equal sets, size, and on its first sight in the task the prefix and four minima."""
+    """For each row: id, class of equal sets, size, and on its first sight in the task the prefix and minima."""
     table = np.frombuffer(zlib.decompress(ranks), np.uint8)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +112,7 @@ def _prefixes(n: int, percent: int, ranks: bytes):
                     continue
                 seen.add(name)
                 keep = len(s) - -(-percent * len(s) // 100) + 1
-                rank = table[(s % np.uint64(len(table))).astype(np.int64)]
+                rank = table[s & np.uint64(len(table) - 1)]
                 prefixes.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
                 minima.append([int((s * seed ^ (s >> np.uint64(31)) * _MIX).min()) - 2**63 for seed in _SEEDS])
             if len(seen) > 1_000_000:
@@ -165,16 +188,15 @@ def _verify(percent: int):
 
 
 def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, budget: int = 8_000_000) -> DataFrame:
-    """Links among pairs(class, home, group) and members(class, home, group, n): every query of a group against its
-    members with a smaller home. Groups with many queries are split, and groups share tasks, by the bytes they hold."""
-    asked = pairs.join(sets, "class")
-    loads = asked.groupBy("group").agg(F.sum(F.length("set")).alias("bytes"))
+    """Links among pairs(class, home, n, group) and members(class, home, group): every query of a group against its
+    members with a smaller home. Groups with many queries are split, and groups share tasks, by the bytes they ask."""
+    loads = pairs.groupBy("group").agg(F.sum(8 * F.col("n")).alias("bytes"))
     loads = materialize(loads.withColumn("parts", F.ceil(F.col("bytes") / budget).cast("int")))
     total = loads.agg(F.sum("bytes")).first()[0] or 0
     buckets = int(max(1, min(100_000, total // budget * 2)))
     bucket = F.pmod(F.xxhash64("group", "part"), F.lit(buckets)).alias("bucket")
-    asked = asked.join(loads.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    held = members.join(sets, "class").join(loads.select("group", "parts"), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = pairs.join(loads.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).join(sets, "class")
+    held = members.join(loads.select("group", "parts"), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "class")
     columns = ["group", "part", "class", "home", "set"]
     left, right = (x.select(bucket, *(F.col(c).alias(f"{c}_") for c in columns)).toDF("bucket", *columns) for x in (asked, held))
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_verify(percent), "a long, b long")
@@ -190,29 +212,29 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
 
     No link between different sets is lost, and groups of copies are not expanded into pairs:
     1. Each set's prefix, its rarest tokens, as many as a link must share one of, by a frequency sketch of fixed size.
-    2. First links: classes that share a min-hash with the smallest class that has it, verified; components of these.
+    2. First links: classes that share min-hashes with the smallest class that has them, verified; components of these.
     3. The token-group matrix: tokens in prefixes of at least two components, against groups of group_size similar
-       classes (a component's, or those that share their rarest such token). A class asks the groups that hold one of
-       its tokens and a class of a smaller component; the group's union of tokens bounds the overlap, and only groups
-       that can reach the threshold are opened.
+       classes (a component's, or those that share their least such token). A class asks the groups that hold one of
+       its tokens and a class of a smaller component, where the smaller set has the token in the shorter prefix that
+       two sets of its size need; the group's union of tokens bounds the overlap, and only groups that can reach the
+       threshold are opened.
     """
     rows = docs.select(id_or_none().alias("id"), "text")
-    ranks = zlib.compress(frequency_ranks(docs, n).tobytes(), 1)
-    made = materialize(rows.mapInArrow(_prefixes(n, percent, ranks), "id long, class long, n long, prefix array<long>, minima array<long>"))
+    made = materialize(rows.mapInArrow(_prefixes(n, percent, frequency_ranks(docs, n)), "id long, class long, n long, prefix array<long>, minima array<long>"))
     classes = made.filter("class is not null").groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
     shown = made.filter("prefix is not null")
 
     bands = shown.select("class", F.posexplode("minima").alias("band", "least"))
     leaders = bands.groupBy("band", "least").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader < last").drop("last")
-    first = bands.join(leaders, ["band", "least"]).filter("class > leader").select("class", "leader").distinct()
-    first = materialize(first)
+    first = bands.join(leaders, ["band", "least"]).filter("class > leader").groupBy("class", "leader").count().filter(F.col("count") >= _SHARED)
+    first = materialize(first.select("class", "leader"))
     sets = _needed_sets(first.select("class").union(first.select("leader")), classes, rows, n)
-    asked = first.select("class", F.col("class").alias("home"), F.col("leader").alias("group"))
+    asked = first.select("class", F.col("class").alias("home"), F.col("leader").alias("group")).join(classes.select("class", "n"), "class")
     held = first.select(F.col("leader").alias("group")).distinct().select("group", F.col("group").alias("class"), F.col("group").alias("home"))
     links = materialize(_links(asked, held, sets, percent))
     homes = materialize(components(links).select(F.col("node").alias("class"), F.col("component").alias("home")))
 
-    more = _matrix_links(shown, classes, homes, rows, n, percent, group_size)
+    more = _matrix_links(shown, classes, homes, sets, rows, n, percent, group_size)
     final = components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("home"))
     placed = classes.join(final, "class", "left").select("class", "doc", F.coalesce("home", "class").alias("home"))
     smallest = placed.groupBy("home").agg(F.min(real_id("doc")).alias("component_id"))
@@ -225,28 +247,32 @@ def _needed_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, n: int)
     """(class, set) of the classes wanted, from one document of each; texts are hashed again only for those."""
     picked = materialize(classes.join(wanted.toDF("class").distinct(), "class", "left_semi").select("class", "doc"))
     texts = rows.mapInArrow(_sets(n, _wanted_bits(picked.select("doc"))), "id long, set binary")
-    one = texts.join(picked, texts["id"] == picked["doc"]).select("class", "set")
-    return materialize(one.withColumn("n", F.length("set")).dropDuplicates(["class"]).drop("n"))
+    found = materialize(texts.join(picked, texts["id"] == picked["doc"]).select("class", "set"))
+    return found if found.count() == picked.count() else found.dropDuplicates(["class"])  # rows that repeat a doc_id
 
 
-def _matrix_links(shown: DataFrame, classes: DataFrame, homes: DataFrame, rows: DataFrame, n: int, percent: int, group_size: int) -> DataFrame:
-    tokens = shown.select("class", "n", F.explode("prefix").alias("token"))
-    shared = _of_several(tokens)
-    shared = materialize(shared.join(homes, "class", "left").withColumn("home", F.coalesce("home", "class")))
-    spans = shared.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter("low < high").select("token")
-    live = materialize(shared.join(spans, "token").select("token", "class", "n", "home").distinct())
+def _matrix_links(shown: DataFrame, classes: DataFrame, homes: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int, group_size: int) -> DataFrame:
+    tokens = shown.select("class", "n", F.posexplode("prefix").alias("at", "token"))
+    short = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    shared = _of_several(tokens.select("token", "class", (2 * F.col("n") + short.cast("int")).alias("n")))
+    shared = shared.join(homes, "class", "left").select("token", "class", F.coalesce("home", "class").alias("home"), F.shiftright("n", 1).alias("n"), (F.col("n") % 2 == 1).alias("short"))
+    shared = materialize(shared)
+    spans = shared.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.max("short").alias("short")).filter("low < high and short")
+    live = materialize(shared.join(spans.select("token"), "token"))
 
     keys = live.groupBy("class", "home", "n").agg(F.min("token").alias("token"))
     sizes = keys.groupBy("home").agg(F.count("*").alias("many"))
     keys = keys.join(sizes, "home").select("class", "home", "n", F.when(F.col("many") > 1, F.xxhash64("home", F.lit(0))).otherwise(F.xxhash64("token", F.lit(1))).alias("key"))
     parts = keys.groupBy("key").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
     grouped = materialize(keys.join(parts, "key").select("class", "home", "n", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("group")))
-    matrix = live.join(grouped.select("class", "group"), "class").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("home").alias("low"))
+    matrix = live.join(grouped.select("class", "group"), "class").groupBy("token", "group")
+    matrix = matrix.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("home").alias("low"), F.max("short").alias("any_short"))
     meets = (F.col("low") < F.col("home")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    pairs = materialize(live.join(matrix, "token").filter(meets).select("class", "home", "group").distinct())
-    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi")
-    sets = _needed_sets(pairs.select("class").union(held.select("class")), classes, rows, n)
-    return _links(pairs, held, sets, percent)
+    meets &= (F.col("any_short") & (F.col("least") <= F.col("n"))) | (F.col("short") & (F.col("most") >= F.col("n")))
+    pairs = materialize(live.join(matrix, "token").filter(meets).select("class", "home", "n", "group").distinct())
+    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "home", "group")
+    more = pairs.select("class").union(held.select("class")).distinct().join(sets.select("class"), "class", "left_anti")
+    return _links(pairs, held, sets.unionByName(_needed_sets(more, classes, rows, n)), percent)
 
 
 def _of_several(tokens: DataFrame) -> DataFrame:
