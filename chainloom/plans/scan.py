@@ -80,7 +80,7 @@ def by_prefix(above: DataFrame, below: DataFrame, keys: Sequence[str], path: str
 def related(matched: DataFrame, entity: DataFrame, relation: Relation) -> DataFrame:
     """Rows of an entity that relate to a matched row."""
     if relation.path is None:
-        return entity.join(matched.select(*relation.keys).distinct(), list(relation.keys), "left_semi")
+        return entity.join(matched.select(*relation.keys).distinct(), list(relation.keys), "left_semi").select(*entity.columns)
     up = relation.side == "parents"
     pairs = by_prefix(entity if up else matched, matched if up else entity, relation.keys, relation.path)
     side = "above" if up else "below"
