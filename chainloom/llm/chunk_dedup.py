@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.llm.common import id_or_none, materialize, real_id
+from chainloom.llm.common import id_or_none, materialize, real_id, small_batches
 
 #: A random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20_240_229).integers(0, 2**32, 256, dtype=np.uint32)
@@ -89,7 +89,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 28, mean_bits: int = 4, l
     Digests are combined before their first shuffle, so that what many documents hold is a row per task; what repeats is
     joined back to the chunks, which Spark splits where a digest is frequent.
     """
-    chunks = docs.select(id_or_none().alias("id"), "text").mapInArrow(_chunks(mean_bits, least, most), "high long, low long, id long, start int, end int, words int")
+    chunks = small_batches(docs).select(id_or_none().alias("id"), "text").mapInArrow(_chunks(mean_bits, least, most), "high long, low long, id long, start int, end int, words int")
     repeated = chunks.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     found = chunks.join(materialize(repeated), ["high", "low"]).select("id", "start", "end", "words", "first").distinct()
     order = Window.partitionBy("id").orderBy("start")

@@ -42,6 +42,15 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(df: DataFrame, most: str = "2m") -> DataFrame:
+    """df, after bounding what the session sends to Python at once: texts are long, and a batch of them is held several
+    times over on either side. A bound that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) in ("67108864b", "64m", "-1", None):
+        df.sparkSession.conf.set(key, most)
+    return df
+
+
 def id_or_none(column: str = "doc_id") -> Column:
     """The id for joins, with NO_ID for null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

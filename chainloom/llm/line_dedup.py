@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize
+from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, small_batches
 
 _HALF = 1 << 63
 
@@ -47,7 +47,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> t
     A key is a 128-bit digest in columns high and low; counting combines before its shuffle, so that a line which
     a third of all documents hold is one row per task.
     """
-    keyed = docs.select(id_or_none().alias("id"), "text").mapInArrow(_keys(min_chars), "high long, low long, id long")
+    keyed = small_batches(docs).select(id_or_none().alias("id"), "text").mapInArrow(_keys(min_chars), "high long, low long, id long")
     counted = keyed.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
     return keyed, materialize(counted.filter(F.col("n_docs") >= min_docs))
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.llm.common import small_batches
+
 # A general list of insults, phrases in which they are none, and look-alikes.
 INSULTS = (
     "idiot", "moron", "scum", "loser", "pathetic", "worthless", "trash", "clown", "disgusting", "stupid",
@@ -70,7 +72,7 @@ class Matcher:
         hits = [(end - size + 1, end, weight) for end, (size, weight) in self._automaton.iter(folded)]
         spared = [(a, b) for a, b, weight in hits if not weight]
         total = sum(w for a, b, w in hits if w and not any(x <= a and b <= y for x, y in spared))
-        return total, folded.count(" ")
+        return float(total), folded.count(" ") if len(folded) > 1 else 0
 
     def score(self, text: str) -> float:
         return float(_curve(np.array([self.measure(text)]), self._curve)[0])
@@ -200,5 +202,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Whole texts are matched in one pass each. Null and empty texts score as no hits do. Labels, lang, source and
     doc_id are no inputs. No shuffle; rows that repeat score alike. No documents: no rows.
     """
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = small_batches(docs).select(F.struct("*").alias("row"), "text")
     return rows.mapInArrow(_scored(lexicon), f"row {rows.schema['row'].dataType.simpleString()}, score double, weight double")
