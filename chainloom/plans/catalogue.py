@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions import u256
@@ -44,16 +44,21 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
 
 
+def whole(column: str, width: int) -> Column:
+    """Whole division."""
+    return F.expr(f"{column} div {width}")
+
+
 def logs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """lineitem as logs: block_number, tx, address, topic0, topic1 and further columns."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.floor(F.col("l_orderkey") / 10).alias("block_number"), F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("address"), F.col("l_returnflag").alias("topic0"), F.col("l_linestatus").alias("topic1"), *columns)
+    return rows.select(whole("l_orderkey", 10).alias("block_number"), F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("address"), F.col("l_returnflag").alias("topic0"), F.col("l_linestatus").alias("topic1"), *columns)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as transactions: block_number, tx, transaction_index, sender, status."""
     rows = table(spark, sf_dir, "orders")
-    return rows.select(F.floor(F.col("o_orderkey") / 10).alias("block_number"), F.col("o_orderkey").alias("tx"), (F.col("o_orderkey") % 10).alias("transaction_index"), F.col("o_custkey").alias("sender"), F.col("o_orderstatus").alias("status"))
+    return rows.select(whole("o_orderkey", 10).alias("block_number"), F.col("o_orderkey").alias("tx"), (F.col("o_orderkey") % 10).alias("transaction_index"), F.col("o_custkey").alias("sender"), F.col("o_orderstatus").alias("status"))
 
 
 _LOGS = "(SELECT l_orderkey // 10 AS block_number, l_orderkey AS tx, l_partkey AS address, l_returnflag AS topic0, l_linestatus AS topic1, * FROM lineitem)"
@@ -68,7 +73,7 @@ _MATCH = "(block_number BETWEEN 10 AND 60 AND address IN (1, 5, 17, 42, 100, 150
 
 @query(f"SELECT block_number, tx, address, topic0, topic1 FROM {_LOGS} WHERE {_MATCH}")
 def q_log_filter(spark, sf_dir):
-    return scan(logs(spark, sf_dir), _REQUESTS, ["tx", "address", "topic0", "topic1"])
+    return scan(logs(spark, sf_dir), _REQUESTS, ["tx", "address", "topic0", "topic1"], key=("tx", 10))
 
 
 @query("""WITH r(start, stop, name) AS (VALUES (0, 100, 'a'), (50, 150, 'b'), (150, 150, 'c'), (300, NULL, 'd'), (400, 500, 'e')),
@@ -85,7 +90,7 @@ def q_range_merge(spark, sf_dir):
 LEFT JOIN (SELECT * FROM {_LOGS} WHERE {_MATCH}) l ON l.block_number = b.number GROUP BY b.number""")
 def q_include_all_blocks(spark, sf_dir):
     blocks = transactions(spark, sf_dir).select(F.col("block_number").alias("number")).distinct()
-    found = with_all_blocks(blocks, scan(logs(spark, sf_dir), _REQUESTS))
+    found = with_all_blocks(blocks, scan(logs(spark, sf_dir), _REQUESTS, key=("tx", 10)))
     return found.groupBy("number").agg(F.count("tx").alias("n_logs"), F.countDistinct("tx").alias("n_txs"))
 
 
@@ -97,14 +102,14 @@ OR EXISTS (SELECT 1 FROM {_LOGS} l WHERE l.tx = t.tx AND block_number >= 40 AND
 def q_related_tx(spark, sf_dir):
     tables = {"log": logs(spark, sf_dir), "transaction": transactions(spark, sf_dir)}
     asked = {"log": _REQUESTS, "transaction": [Request(where={"sender": [7, 8, 9]})]}
-    return scan_all(tables, asked, _RELATED, {"transaction": ["tx", "sender"]})["transaction"]
+    return scan_all(tables, asked, _RELATED, {"transaction": ["tx", "sender"]}, key=("tx", 10))["transaction"]
 
 
 @query(f"""SELECT DISTINCT block_number, tx, address, topic0, topic1, l_linenumber, l_quantity FROM {_LOGS} WHERE {_MATCH}
 OR tx IN (SELECT tx FROM {_LOGS} WHERE block_number >= 40 AND address IN (3, 7, 42) AND topic1 = 'O')""")
 def q_related_logs(spark, sf_dir):
     tables = {"log": logs(spark, sf_dir, "l_linenumber", "l_quantity"), "transaction": transactions(spark, sf_dir)}
-    return scan_all(tables, {"log": _REQUESTS}, _RELATED)["log"].distinct()
+    return scan_all(tables, {"log": _REQUESTS}, _RELATED, key=("tx", 10))["log"].distinct()
 
 
 @query(f"""SELECT address, count(*) AS n FROM {_LOGS} WHERE address IN (SELECT p_partkey FROM part WHERE p_size < 5) GROUP BY address""")
@@ -115,7 +120,7 @@ def q_in_list(spark, sf_dir):
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    return parts.select(F.col("p_partkey").alias("child"), F.col("p_brand").alias("factory"), F.col("p_size").alias("size"), F.floor(F.col("p_partkey") / 10).alias("created"))
+    return parts.select(F.col("p_partkey").alias("child"), F.col("p_brand").alias("factory"), F.col("p_size").alias("size"), whole("p_partkey", 10).alias("created"))
 
 
 @query("""SELECT p_brand AS factory, count(*) AS n_logs, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -147,7 +152,7 @@ def q_tx_lookup(spark, sf_dir):
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as instructions: the binary digits of p_partkey % 40 + 1 spell the path, so 1 is above 10 and 11."""
     digits = F.bin(F.col("p_partkey") % 40 + 1)
-    return table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).alias("tx"), F.col("p_partkey").alias("key"), F.transform(F.sequence(F.lit(1), F.length(digits)), lambda k: F.substring(digits, k, F.lit(1))).alias("path"))
+    return table(spark, sf_dir, "part").select(whole("p_partkey", 40).alias("tx"), F.col("p_partkey").alias("key"), F.transform(F.sequence(F.lit(1), F.length(digits)), lambda k: F.substring(digits, k, F.lit(1))).alias("path"))
 
 
 _PATHS = "(SELECT p_partkey // 40 AS tx, p_partkey AS key, bin(p_partkey % 40 + 1) AS path FROM part)"
@@ -212,7 +217,7 @@ def q_keep_newest_n(spark, sf_dir):
 @query("""SELECT number, max(CASE WHEN number % 7 = 0 THEN number - 12 END) OVER (ORDER BY number ROWS UNBOUNDED PRECEDING) AS floor, number > 600 AS above
 FROM (SELECT DISTINCT event_id // 10 AS number FROM events)""")
 def q_rollback_chain(spark, sf_dir):
-    headers = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("number")).distinct()
+    headers = table(spark, sf_dir, "events").select(whole("event_id", 10).alias("number")).distinct()
     batches = headers.withColumn("finalized", F.when(F.col("number") % 7 == 0, F.col("number") - 12))
     return running_floor(batches, "number", "finalized").select("number", "floor", (F.col("number") > 600).alias("above"))
 
@@ -228,7 +233,7 @@ b AS (SELECT id, max_by(event_type, seq) AS v FROM m WHERE block_number <= 300 G
 SELECT o.id, CASE WHEN a.id IS NOT NULL THEN 'surviving' WHEN b.id IS NOT NULL THEN 'baseline' ELSE 'delete' END AS action, coalesce(a.v, b.v) AS event_type
 FROM o LEFT JOIN a USING (id) LEFT JOIN b USING (id)""")
 def q_compensation(spark, sf_dir):
-    revisions = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 10).alias("block_number"), "event_type")
+    revisions = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), whole("event_id", 10).alias("block_number"), "event_type")
     folded = latest_per_key(revisions.filter("block_number <= 300"), ["id"], ["seq"])
     return compensate(revisions.filter("block_number > 300"), folded, ["id"], "block_number", "seq", 600, ["event_type"])
 
@@ -294,7 +299,7 @@ FROM (SELECT *, lpad(printf('%x', o_orderkey * 7919 + 1), 64, '0') AS h FROM ord
 def q_hex_fns(spark, sf_dir):
     h = F.lpad(F.lower(F.hex(F.col("o_orderkey") * 7919 + 1)), 64, "0")
     rows = table(spark, sf_dir, "orders")
-    return rows.select(F.col("o_orderkey").alias("tx"), topic_address(h, "41").alias("address"), data_prefix(h, 4).alias("prefix"), block_name(F.floor(F.col("o_orderkey") / 10)).alias("block_name"), row_id(F.lit("ns"), "o_orderkey", "o_custkey").alias("row_id"), sequence_hex("o_orderkey").alias("seq"))
+    return rows.select(F.col("o_orderkey").alias("tx"), topic_address(h, "41").alias("address"), data_prefix(h, 4).alias("prefix"), block_name(whole("o_orderkey", 10)).alias("block_name"), row_id(F.lit("ns"), "o_orderkey", "o_custkey").alias("row_id"), sequence_hex("o_orderkey").alias("seq"))
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE (props::JSON ->> '$.k')::BIGINT IN (1, 2, 3, 50, 60)")
@@ -348,7 +353,7 @@ def q_decode_transfer(spark, sf_dir):
 @query("""SELECT o_orderkey // 10 AS number, o_orderkey % 3 AS node, (o_orderkey % 3 + 1) * 250 AS delay_ms FROM orders WHERE o_orderkey % 10 < 3""")
 def q_head_lag(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 3")
-    number, node = F.floor(F.col("o_orderkey") / 10), F.col("o_orderkey") % 3
+    number, node = whole("o_orderkey", 10), F.col("o_orderkey") % 3
     at = F.timestamp_millis(F.lit(1_700_000_000_000) + 1000 * number)
     batches = rows.select(number.alias("number"), at.alias("at")).distinct()
     heads = rows.select(number.alias("number"), node.alias("node"), (at - F.make_dt_interval(secs=(node + 1) * 0.25)).alias("at"))
@@ -387,6 +392,6 @@ SELECT c_custkey AS k, -1::BIGINT AS v FROM customer WHERE c_custkey NOT IN (SEL
 def q_undo(spark, sf_dir):
     current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"))
     rows = table(spark, sf_dir, "orders").filter("o_orderkey >= 8000 and floor(o_orderkey / 10) > 900")
-    images = rows.select(F.col("o_custkey").alias("k"), F.floor(F.col("o_orderkey") / 10).alias("block_number"), F.when(F.col("o_orderkey") % 4 == 0, "INSERT").otherwise("UPDATE").alias("op"), F.col("o_orderkey").alias("v"))
+    images = rows.select(F.col("o_custkey").alias("k"), whole("o_orderkey", 10).alias("block_number"), F.when(F.col("o_orderkey") % 4 == 0, "INSERT").otherwise("UPDATE").alias("op"), F.col("o_orderkey").alias("v"))
     first = images.groupBy("k", "block_number").agg(F.min_by("op", "v").alias("op"), F.min("v").alias("v"))
     return undo(current, first, ["k"], "block_number", "op", 900)

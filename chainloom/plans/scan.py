@@ -49,9 +49,26 @@ def any_of(requests: Iterable[Request], block: str) -> Column:
     return reduce(lambda a, b: a | b, [r.matches(block) for r in requests], F.lit(False))
 
 
-def scan(rows: DataFrame, requests: Sequence[Request], fields: Sequence[str] | None = None, block: str = "block_number") -> DataFrame:
+def bounding(requests: Iterable[Request], block: str, key: tuple[str, int] | None = None) -> Column:
+    """What every match fulfils, in terms that file scans can check: ranges and lists of numbers, not text, whose case the
+    scan cannot ignore. key: (column, width), if the block is that stored column divided by width."""
+    parts = []
+    for r in requests:
+        column, width = key or (block, 1)
+        mine = F.col(column) >= r.range.start * width
+        if r.range.stop is not None:
+            mine &= F.col(column) <= r.range.stop * width + width - 1
+        for name, values in r.where.items():
+            values = list(values) if isinstance(values, (list, tuple, set, frozenset)) else [values]
+            if values and not isinstance(values[0], str):
+                mine &= F.col(name).isin(values)
+        parts.append(mine)
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def scan(rows: DataFrame, requests: Sequence[Request], fields: Sequence[str] | None = None, block: str = "block_number", key: tuple[str, int] | None = None) -> DataFrame:
     """Rows that any request matches, once each, with the chosen fields. The bounds and lists reach the file scan."""
-    found = rows.filter(any_of(requests, block))
+    found = rows.filter(bounding(requests, block, key)).filter(any_of(requests, block))
     return found.select(*dict.fromkeys([block, *fields])) if fields else found
 
 
@@ -87,17 +104,17 @@ def related(matched: DataFrame, entity: DataFrame, relation: Relation) -> DataFr
     return pairs.select(f"{side}.*").distinct()
 
 
-def scan_all(tables: Mapping[str, DataFrame], requests: Mapping[str, Sequence[Request]], relations: Mapping[tuple[str, str], Relation], fields: Mapping[str, Sequence[str]] | None = None, block: str = "block_number") -> dict[str, DataFrame]:
+def scan_all(tables: Mapping[str, DataFrame], requests: Mapping[str, Sequence[Request]], relations: Mapping[tuple[str, str], Relation], fields: Mapping[str, Sequence[str]] | None = None, block: str = "block_number", key: tuple[str, int] | None = None) -> dict[str, DataFrame]:
     """For each entity the rows that its requests match or that relate to a match of another, once each.
 
     relations: by (entity of the match, name in include).
     """
     found: dict[str, list[DataFrame]] = {}
     for entity, asked in requests.items():
-        found.setdefault(entity, []).append(scan(tables[entity], asked, block=block))
+        found.setdefault(entity, []).append(scan(tables[entity], asked, block=block, key=key))
         for name in dict.fromkeys(n for r in asked for n in r.include):
             link = relations[entity, name]
-            matched = scan(tables[entity], [r for r in asked if name in r.include], block=block)
+            matched = scan(tables[entity], [r for r in asked if name in r.include], block=block, key=key)
             found.setdefault(link.to, []).append(related(matched, tables[link.to], link))
     out = {}
     for entity, parts in found.items():
