@@ -1,0 +1,111 @@
+"""A streaming source over an HTTP gateway of blocks, as a Python data source.
+
+    spark.dataSource.register(GatewaySource)
+    lines = spark.readStream.format("chain_gateway").option("url", url).option("query", json).load()
+    blocks = parsed(lines, "evm")
+
+The gateway answers a POST of the query with one JSON block a line (200), nothing at the head (204), or the canonical
+blocks after a rewrite (409).
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Iterator, Mapping, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+from chainloom.errors import ForkError
+from chainloom.sources.schemas import block_type
+
+# Statuses to try again, and pauses between in seconds.
+AGAIN = frozenset({429, 502, 503, 504, 521, 522, 523, 524})
+PAUSES = (0.01, 0.1, 0.5, 2.0, 10.0, 20.0)
+
+
+def ask(url: str, query: Mapping | None = None, pauses: Sequence[float] = PAUSES) -> tuple[int, bytes, dict]:
+    """(status, body, headers) of a request, tried again after its Retry-After or the pauses; a 409 that names canonical
+    blocks is a ForkError."""
+    body = None if query is None else json.dumps(query).encode()
+    for pause in (*pauses, None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"content-type": "application/json"}), timeout=60) as r:
+                return r.status, r.read(), dict(r.headers)
+        except urllib.error.HTTPError as e:
+            if e.code == 409:
+                known = json.loads(e.read() or b"{}").get("previousBlocks") or []
+                if known:
+                    raise ForkError([(b["number"], b["hash"]) for b in known]) from None
+            if e.code not in AGAIN or pause is None:
+                raise
+            time.sleep(float(e.headers.get("Retry-After") or pause))
+        except urllib.error.URLError:
+            if pause is None:
+                raise
+            time.sleep(pause)
+    raise AssertionError
+
+
+class _Reader(SimpleDataSourceStreamReader):
+    def __init__(self, options: Mapping[str, str]) -> None:
+        self._url, self._query = options["url"].rstrip("/"), json.loads(options.get("query", "{}"))
+        self._route = "finalized-stream" if options.get("finalized", "false") == "true" else "stream"
+        self._most = int(options.get("maxBlocksPerTrigger", "1000"))
+
+    def initialOffset(self) -> dict:
+        return {"next": int(self._query.get("fromBlock", 0)), "parent": self._query.get("parentBlockHash")}
+
+    def _blocks(self, start: Mapping, last: int | None) -> Iterator[tuple[int, str, str]]:
+        stop = self._query.get("toBlock")
+        stop = last if stop is None else stop if last is None else min(stop, last)
+        query = {**self._query, "fromBlock": start["next"]} | ({"toBlock": stop} if stop is not None else {})
+        if start.get("parent"):
+            query["parentBlockHash"] = start["parent"]
+        if stop is not None and start["next"] > stop:
+            return
+        status, body, _ = ask(f"{self._url}/{self._route}", query)
+        for line in body.decode().splitlines() if status == 200 else ():
+            if line:
+                header = json.loads(line)["header"]
+                yield header["number"], header.get("hash"), line
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        found = list(self._blocks(start, start["next"] + self._most - 1))
+        if not found:
+            return iter(()), start
+        number, name, _ = found[-1]
+        return iter([(line,) for _, _, line in found]), {"next": number + 1, "parent": name}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([(line,) for _, _, line in self._blocks(start, end["next"] - 1)])
+
+
+class GatewaySource(DataSource):
+    """Options: url, query (JSON), finalized (only final blocks), maxBlocksPerTrigger."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chain_gateway"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Reader(self.options)
+
+
+def parsed(lines: DataFrame, family: str, fields: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Blocks from JSON lines under the family's type; a line that breaks it fails the job."""
+    return lines.select(F.from_json("value", block_type(family, fields), {"mode": "FAILFAST"}).alias("b")).select("b.*")
+
+
+def head(url: str, finalized: bool = False) -> tuple[int, str] | None:
+    """The gateway's newest block, or newest final one."""
+    _, body, _ = ask(f"{url.rstrip('/')}/{'finalized-head' if finalized else 'head'}")
+    found = json.loads(body or b"null")
+    return (found["number"], found["hash"]) if found else None

@@ -28,7 +28,8 @@ class Sink(Protocol):
 def batch_writer(outputs: Mapping[str, Output], sink: Sink, finality: int) -> Callable[[DataFrame, int], None]:
     """What foreachBatch calls: one cached scan feeds all outputs; empty batches are skipped; blocks at or below the
     cursor are left out, so a batch that is run again adds nothing twice; a first block that does not follow the cursor's
-    raises ForkError. The floor is finality blocks below the batch's last.
+    raises ForkError. The floor is the batch's last block that is finality blocks or more below
+    its end, if it has one.
 
     Only headers, one small row per block of the batch and above the floor, come to the driver.
     """
@@ -46,8 +47,10 @@ def batch_writer(outputs: Mapping[str, Output], sink: Sink, finality: int) -> Ca
             first = ends["first"]
             if parent and now.cursor and first["number"] == now.cursor.number + 1 and now.cursor.hash and first[parent] != now.cursor.hash:
                 raise ForkError([(first["number"] - 1, first[parent])])
-            floor = Block(max(0, ends["last"] - finality))
-            kept = fresh.filter(F.col("header.number") > floor.number).select("header.number", "header.hash")
+            limit = ends["last"] - finality
+            final = fresh.filter(F.col("header.number") <= limit).agg(F.max_by(F.struct("header.number", "header.hash"), "header.number").alias("b")).first()["b"]
+            floor = Block(final["number"], final["hash"]) if final else None
+            kept = fresh.filter(F.col("header.number") > limit).select("header.number", "header.hash")
             headers = [Block(r["number"], r["hash"]) for r in kept.collect()] or [Block(ends["last"], None)]
             tables = entities(fresh)
             sink.write({name: f(tables) for name, f in outputs.items()}, headers, floor)

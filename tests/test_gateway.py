@@ -1,0 +1,95 @@
+import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from chainloom.errors import ForkError
+from chainloom.operators.forks import Block
+from chainloom.sinks.tables import SnapshotSink
+from chainloom.sources.gateway import GatewaySource, ask, head, parsed
+from chainloom.streaming import pipe
+
+FIELDS = {"header": ["number", "hash", "parentHash"], "logs": ["logIndex", "address"]}
+
+
+def block(n, name, parent):
+    return {"header": {"number": n, "hash": name, "parentHash": parent}, "logs": [{"logIndex": 0, "address": f"a{name}"}]}
+
+
+class Gateway(BaseHTTPRequestHandler):
+    chain, failures = [], []
+
+    def _send(self, status, body=b""):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        last = self.chain[-1]["header"]
+        self._send(200, json.dumps({"number": last["number"], "hash": last["hash"]}).encode())
+
+    def do_POST(self):
+        q = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.failures:
+            return self._send(self.failures.pop())
+        names = {b["header"]["number"]: b["header"]["hash"] for b in self.chain}
+        if q.get("parentBlockHash") and names.get(q["fromBlock"] - 1) != q["parentBlockHash"]:
+            return self._send(409, json.dumps({"previousBlocks": [{"number": n, "hash": h} for n, h in names.items()]}).encode())
+        found = [b for b in self.chain if q["fromBlock"] <= b["header"]["number"] <= q.get("toBlock", 10**9)]
+        self._send(200 if found else 204, "".join(json.dumps(b) + "\n" for b in found).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def url():
+    server = HTTPServer(("127.0.0.1", 0), Gateway)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_requests(url):
+    Gateway.chain, Gateway.failures = [block(1, "1", "0")], [503, 429]
+    status, body, _ = ask(f"{url}/stream", {"fromBlock": 0}, (0, 0, 0))
+    assert status == 200 and json.loads(body)["header"]["hash"] == "1"
+    assert ask(f"{url}/stream", {"fromBlock": 5})[0] == 204
+    assert head(url) == (1, "1")
+    with pytest.raises(ForkError) as e:
+        ask(f"{url}/stream", {"fromBlock": 2, "parentBlockHash": "x"})
+    assert e.value.canonical == [(1, "1")]
+
+
+def test_stream_and_fork(spark, url, tmp_path):
+    Gateway.chain, Gateway.failures = [block(n, str(n), str(n - 1)) for n in range(1, 6)], [503]
+    spark.dataSource.register(GatewaySource)
+    sink = SnapshotSink(spark, str(tmp_path / "s"), "p")
+
+    def stream(epoch):
+        _, now = sink.log.load()
+        query = {"fromBlock": now.cursor.number + 1, "parentBlockHash": now.cursor.hash} if now.cursor else {"fromBlock": 1}
+        lines = spark.readStream.format("chain_gateway").option("url", url).option("query", json.dumps(query)).option("maxBlocksPerTrigger", 2).load()
+        return parsed(lines, "evm", FIELDS)
+
+    outputs = {"logs": lambda t: t["logs"].select("block_number", "address")}
+    canonical = lambda: [Block(b["header"]["number"], b["header"]["hash"]) for b in Gateway.chain]
+
+    def drain(checkpoint):
+        query = pipe.start(stream(0), outputs, sink, checkpoint, 2, once=False)
+        last = Gateway.chain[-1]["header"]["hash"]
+        for _ in range(120):
+            if not query.isActive or (sink.log.load()[1].cursor or Block(0)).hash == last:
+                break
+            time.sleep(0.5)
+        error = query.exception()
+        query.stop()
+        return error
+
+    assert drain(str(tmp_path / "c0")) is None
+    assert sink.read("logs").count() == 5
+    Gateway.chain = Gateway.chain[:3] + [block(4, "4a", "3"), block(5, "5a", "4a"), block(6, "6a", "5a")]
+    assert ForkError.code in str(drain(str(tmp_path / "c1")))
+    assert sink.rollback(canonical()[2:]) in (Block(3, "3"), Block(4, "4"))
