@@ -26,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors
-    and tells the optimizer the true size of what follows."""
+    and tells the optimizer the true size of what follows. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chainloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
