@@ -21,7 +21,8 @@ def word(hex_text: Column | str) -> Column:
 def limb(w: Column | str, k: int) -> Column:
     """Limb k of a word, 0 the lowest, as DECIMAL(20,0)."""
     w = F.col(w) if isinstance(w, str) else w
-    return F.conv(F.substring(w, WORD - 16 * (k + 1) + 1, 16), 16, 10).cast("decimal(20,0)")
+    part = F.substring(w, WORD - 16 * (k + 1) + 1, 16)
+    return F.when(part == "0" * 16, F.lit(0).cast("decimal(20,0)")).otherwise(F.conv(part, 16, 10).cast("decimal(20,0)"))
 
 
 def small(w: Column | str) -> Column:

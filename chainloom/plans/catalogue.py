@@ -330,14 +330,12 @@ def q_outbox_seq(spark, sf_dir):
     return sequenced(transactions(spark, sf_dir), "block_number", ["transaction_index"], 1000).select("tx", "seq")
 
 
-@query("SELECT l_suppkey, sum(l_partkey::HUGEINT * 1000000000000000000 * l_orderkey + l_linenumber)::VARCHAR AS total FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey, sum(l_partkey::HUGEINT * l_orderkey * 18446744073709551616 + l_linenumber)::VARCHAR AS total FROM lineitem GROUP BY l_suppkey")
 def q_u256_sum(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    low = (F.col("l_partkey") * F.col("l_orderkey")).cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("l_linenumber")
-    high = F.floor(low / F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
-    rest = (low - high * F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)")
-    digits = lambda x: F.lpad(F.conv(x.cast("string"), 10, 16), 16, "0")
-    return u256.sums(rows.select("l_suppkey", u256.word(F.concat(digits(high), digits(rest))).alias("w")), ["l_suppkey"], "w", "total")
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    high, low = F.col("l_partkey") * F.col("l_orderkey"), F.col("l_linenumber").cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", u256.word(F.concat(digits(high), digits(low))).alias("w"))
+    return u256.sums(rows, ["l_suppkey"], "w", "total")
 
 
 @query("""SELECT l_orderkey AS tx, l_linenumber, '0x' || lpad(printf('%x', l_suppkey), 40, '0') AS from_address, '0x' || lpad(printf('%x', l_partkey), 40, '0') AS to_address, (l_orderkey * 1000000007)::VARCHAR AS value
