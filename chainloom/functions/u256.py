@@ -13,8 +13,8 @@ WORD = 64
 
 def word(hex_text: Column | str) -> Column:
     """Hex with or without 0x as 64 lower-case digits; null beyond 256 bits. The order of these is numeric order."""
-    h = F.lower(F.regexp_replace(F.col(hex_text) if isinstance(hex_text, str) else hex_text, "^0[xX]", ""))
-    short = F.regexp_replace(h, "^0+", "")
+    h = F.lower(F.col(hex_text) if isinstance(hex_text, str) else hex_text)
+    short = F.ltrim(F.when(F.startswith(h, F.lit("0x")), F.substring(h, 3, 1_000_000)).otherwise(h), F.lit("0"))
     return F.when(F.length(short) <= WORD, F.lpad(short, WORD, "0"))
 
 
