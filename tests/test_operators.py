@@ -152,3 +152,13 @@ def test_scalars(spark):
     assert [tuple(r) for r in df.select(scalars.return_payload("asm"), scalars.script_kind("kind")).collect()] == [("hello", "OP_RETURN"), ("0x00ff", "unknown"), (None, "P2PKH")]
     one = spark.range(1).select(scalars.varint_size(F.lit(127)), scalars.varint_size(F.lit(128)), scalars.parsed_number(F.lit("1,000_0")), scalars.scaled(F.lit(1500000), 6), scalars.sorted_map(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))
     assert tuple(one.first()) == (1, 2, 10000, 1.5, {"a": 2, "b": 1})
+
+
+def test_throughput(spark):
+    from chainloom.operators.progress import throughput
+
+    df = spark.createDataFrame([(k, 1_700_000_000_000 + 1000 * k + 60_000 * (k >= 3), 100 * k, 10) for k in range(5)], "batch long, ms long, block long, bytes long")
+    got = throughput(df.withColumn("at", F.timestamp_millis("ms")), 1000, frame=3).orderBy("batch").collect()
+    assert [r["blocks_per_second"] for r in got][:4] == [0.0, 100.0, 100.0, 0.0]
+    assert got[2]["bytes_per_second"] == 15.0 and got[2]["percent"] == 20.0 and got[2]["seconds_left"] == 8.0
+    assert got[3]["seconds_left"] is None
