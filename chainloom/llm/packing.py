@@ -22,6 +22,8 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 _MEMO_WORDS, _MEMO_CHARS = 300_000, 64
 _CAPITALS = frozenset(chr(c) for c in range(0x41, 0xDF) if chr(c).isupper())
+#: Pieces of one length are numbered in buckets of about so many; the buckets' counts are one row each.
+BUCKET_ROWS = 1_000
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -251,13 +253,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = _slots(plan(counts, capacity))
 
-    buckets = max(1, -(-max(counts.values(), default=0) // 20_000))
     cells = ["length", "bucket"]
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.col("row").cast("string"), "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = salted.groupBy(*cells).count()
-    before = sizes.select(*cells, (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
+    parts = pieces.sparkSession.createDataFrame([(size, -(-c // BUCKET_ROWS)) for size, c in counts.items()], "length long, parts int")
+    name = F.xxhash64(F.col("row").cast("string"), "piece", "ids_crc32")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(name, F.col("parts")).cast("int")).drop("parts")
+    before = salted.groupBy(*cells).count()
+    before = before.select(*cells, (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     order = Window.partitionBy(*cells).orderBy("piece", "start", "ids_crc32", *(F.col(f"row.{c}") for c in keep))
-    ranked = salted.withColumn("nth", F.row_number().over(order)).join(F.broadcast(before) if buckets <= 16 else before, cells)
+    ranked = salted.withColumn("nth", F.row_number().over(order)).join(before, cells)
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "nth", "before")
     out = T.StructType([f for f in ranked.schema if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     placed = ranked.mapInArrow(_placed(slots), out)
