@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, real_id
+from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, real_id, small_batches
 from chainloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -55,11 +55,11 @@ def _counts(n: int, width: int, block: int):
             for text in batch.column(0).to_pylist():
                 waiting.append((shingles(text, n) & np.uint64(width - 1)).astype(np.uint32))
                 held += len(waiting[-1])
-                if held > 2_000_000:
-                    counts += np.bincount(np.concatenate(waiting), minlength=width).astype(np.uint32)
+                if held > 200_000:
+                    np.add.at(counts, np.concatenate(waiting), np.uint32(1))
                     waiting, held = [], 0
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=width).astype(np.uint32)
+            np.add.at(counts, np.concatenate(waiting), np.uint32(1))
         data = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(-1, block)]
         yield pa.record_batch([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["block", "counts"])
 
@@ -94,7 +94,8 @@ def frequency_ranks(docs: DataFrame, n: int, width: int = 1 << 23, block: int =
 
 
 def _prefixes(n: int, percent: int, ranks: bytes):
-    """For each row: id, class of equal sets, size, and on its first sight in the task the prefix and minima."""
+    """For each row: id, class of equal sets, size, and on its first sight in the task the prefix and minima. A prefix
+    token is its rank (under 128) and 55 bits of its hash, so that the order of tokens is the order of prefixes."""
     table = np.frombuffer(zlib.decompress(ranks), np.uint8)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,8 @@ def _prefixes(n: int, percent: int, ranks: bytes):
                     continue
                 seen.add(name)
                 keep = len(s) - -(-percent * len(s) // 100) + 1
-                rank = table[s & np.uint64(len(table) - 1)]
-                prefixes.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
+                rank = table[s & np.uint64(len(table) - 1)].astype(np.uint64)
+                prefixes.append(np.sort((rank << np.uint64(55)) | (s >> np.uint64(9)))[:keep].view(np.int64))
                 minima.append([int((s * seed ^ (s >> np.uint64(31)) * _MIX).min()) - 2**63 for seed in _SEEDS])
             if len(seen) > 1_000_000:
                 seen.clear()  # only spares repeats within a task
@@ -160,49 +161,62 @@ def _wanted_bits(ids: DataFrame, width: int = 1 << 23) -> bytes:
 
 def _verify(percent: int):
     """Within a bucket of groups: bound each query by the group's token union and compare it with the members of groups
-    that qualify."""
-
-    def of(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        groups = {key: rows for key, rows in members.groupby(["group", "part"], sort=False)}
-        for key, asking in queries.groupby(["group", "part"], sort=False):
-            rows = groups.get(key)
-            if rows is None:
+    that qualify, until they are connected; the links returned span what the links found connect."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b, tree = [], [], {}
+
+        def root(x: int) -> int:
+            while tree.setdefault(x, x) != x:
+                tree[x] = tree[tree[x]]
+                x = tree[x]
+            return x
+
+        for _, both in rows.groupby(["group", "part"], sort=False):
+            held, asking = both[~both["asks"]], both[both["asks"]]
+            if not len(held) or not len(asking):
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
-            sizes, homes, names = np.array([len(x) for x in sets]), rows["home"].to_numpy(), rows["class"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in held["set"]]
+            sizes, names = np.array([len(x) for x in sets]), held["class"].to_numpy()
+            many, homes = held["many"].to_numpy(), held["home"].to_numpy()
             union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-            for name, home, data in zip(asking["class"], asking["home"], asking["set"], strict=True):
+            for name, own, home, data in zip(asking["class"], asking["many"], asking["home"], asking["set"], strict=True):
                 mine = np.frombuffer(data, np.uint64)
                 if 100 * overlap(mine, union) < percent * len(mine):
                     continue
-                fits = (homes < home) & (100 * sizes >= percent * len(mine)) & (percent * sizes <= 100 * len(mine))
+                fits = (many > own) | ((many == own) & (homes > home))
+                fits &= (100 * sizes >= percent * len(mine)) & (percent * sizes <= 100 * len(mine))
                 for k in np.flatnonzero(fits):
+                    left, right = root(int(name)), root(int(names[k]))
+                    if left == right:
+                        continue
                     common = overlap(mine, sets[k])
                     if 100 * common >= percent * (len(mine) + sizes[k] - common):
                         a.append(name)
                         b.append(names[k])
+                        tree[left] = right
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return of
 
 
 def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, budget: int = 8_000_000) -> DataFrame:
-    """Links among pairs(class, home, n, group) and members(class, home, group): every query of a group against its
-    members with a smaller home. Groups with many queries are split, and groups share tasks, by the bytes they ask."""
+    """Links among pairs(class, standing, n, group) and members(class, standing, group): every query of a group against
+    its members of a higher standing (many, home). Groups with many queries are split, and groups share tasks, by the bytes they ask."""
     loads = pairs.groupBy("group").agg(F.sum(8 * F.col("n")).alias("bytes"))
     loads = materialize(loads.withColumn("parts", F.ceil(F.col("bytes") / budget).cast("int")))
     total = loads.agg(F.sum("bytes")).first()[0] or 0
     buckets = int(max(1, min(100_000, total // budget * 2)))
     bucket = F.pmod(F.xxhash64("group", "part"), F.lit(buckets)).alias("bucket")
-    asked = pairs.join(loads.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).join(sets, "class")
-    held = members.join(loads.select("group", "parts"), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "class")
-    columns = ["group", "part", "class", "home", "set"]
-    left, right = (x.select(bucket, *(F.col(c).alias(f"{c}_") for c in columns)).toDF("bucket", *columns) for x in (asked, held))
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_verify(percent), "a long, b long")
+    asked = pairs.join(loads.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    held = members.join(loads.select("group", "parts"), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["group", "part", "class", "standing.many", "standing.home"]
+    both = asked.select(*columns, F.lit(True).alias("asks")).unionByName(held.select(*columns, F.lit(False).alias("asks")))
+    with_sets = both.join(sets, "class").select(bucket, "group", "part", "class", "many", "home", "asks", "set")
+    return with_sets.groupBy("bucket").applyInPandas(_verify(percent), "a long, b long")
 
 
-def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int = 32) -> DataFrame:
+def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int = 128) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     Two documents link when the Jaccard similarity of their sets of distinct n-word shingles is percent / 100 or more.
@@ -214,14 +228,14 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     1. Each set's prefix, its rarest tokens, as many as a link must share one of, by a frequency sketch of fixed size.
     2. First links: classes that share min-hashes with the smallest class that has them, verified; components of these.
     3. The token-group matrix: tokens in prefixes of at least two components, against groups of group_size similar
-       classes (a component's, or those that share their least such token). A class asks the groups that hold one of
-       its tokens and a class of a smaller component, where the smaller set has the token in the shorter prefix that
-       two sets of its size need; the group's union of tokens bounds the overlap, and only groups that can reach the
-       threshold are opened.
+       classes (a component's, or those of like size that share their most frequent such token). A class asks the groups that
+       hold its tokens and a class of a larger component (ties: a larger name). Up to the last common prefix token all
+       common tokens are known, so their number and its place bound the overlap; then the group's union of all tokens
+       does, and only groups that can reach the threshold are opened.
     """
-    rows = docs.select(id_or_none().alias("id"), "text")
-    made = materialize(rows.mapInArrow(_prefixes(n, percent, frequency_ranks(docs, n)), "id long, class long, n long, prefix array<long>, minima array<long>"))
-    classes = made.filter("class is not null").groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
+    rows = small_batches(docs).select(id_or_none().alias("id"), "text")
+    made = materialize(rows.mapInArrow(_prefixes(n, percent, frequency_ranks(rows, n)), "id long, class long, n long, prefix array<long>, minima array<long>"))
+    classes = made.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID)).groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
     shown = made.filter("prefix is not null")
 
     bands = shown.select("class", F.posexplode("minima").alias("band", "least"))
@@ -229,15 +243,16 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     first = bands.join(leaders, ["band", "least"]).filter("class > leader").groupBy("class", "leader").count().filter(F.col("count") >= _SHARED)
     first = materialize(first.select("class", "leader"))
     sets = _needed_sets(first.select("class").union(first.select("leader")), classes, rows, n)
-    asked = first.select("class", F.col("class").alias("home"), F.col("leader").alias("group")).join(classes.select("class", "n"), "class")
-    held = first.select(F.col("leader").alias("group")).distinct().select("group", F.col("group").alias("class"), F.col("group").alias("home"))
+    standing = lambda many, home: F.struct(F.lit(many).cast("long").alias("many"), F.col(home).alias("home"))
+    asked = first.select("class", standing(1, "class").alias("standing"), F.col("leader").alias("group")).join(classes.select("class", "n"), "class")
+    held = first.select(F.col("leader").alias("group")).distinct().select("group", F.col("group").alias("class"), standing(2, "group").alias("standing"))
     links = materialize(_links(asked, held, sets, percent))
     homes = materialize(components(links).select(F.col("node").alias("class"), F.col("component").alias("home")))
 
     more = _matrix_links(shown, classes, homes, sets, rows, n, percent, group_size)
     final = components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("home"))
     placed = classes.join(final, "class", "left").select("class", "doc", F.coalesce("home", "class").alias("home"))
-    smallest = placed.groupBy("home").agg(F.min(real_id("doc")).alias("component_id"))
+    smallest = placed.groupBy("home").agg(F.min("doc").alias("component_id"))
     found = materialize(placed.join(smallest, "home").select("class", "component_id"))
     out = made.select("id", "class", "n").join(found, "class", "left")
     return out.select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id") != NO_ID, F.coalesce("component_id", "id")).alias("component_id"))
@@ -252,25 +267,31 @@ def _needed_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, n: int)
 
 
 def _matrix_links(shown: DataFrame, classes: DataFrame, homes: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int, group_size: int) -> DataFrame:
-    tokens = shown.select("class", "n", F.posexplode("prefix").alias("at", "token"))
-    short = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    shared = _of_several(tokens.select("token", "class", (2 * F.col("n") + short.cast("int")).alias("n")))
-    shared = shared.join(homes, "class", "left").select("token", "class", F.coalesce("home", "class").alias("home"), F.shiftright("n", 1).alias("n"), (F.col("n") % 2 == 1).alias("short"))
-    shared = materialize(shared)
-    spans = shared.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.max("short").alias("short")).filter("low < high and short")
-    live = materialize(shared.join(spans.select("token"), "token"))
-
-    keys = live.groupBy("class", "home", "n").agg(F.min("token").alias("token"))
-    sizes = keys.groupBy("home").agg(F.count("*").alias("many"))
-    keys = keys.join(sizes, "home").select("class", "home", "n", F.when(F.col("many") > 1, F.xxhash64("home", F.lit(0))).otherwise(F.xxhash64("token", F.lit(1))).alias("key"))
+    tokens = shown.select("class", F.posexplode("prefix").alias("at", "token"))
+    shared = _of_several(tokens.select("token", "class", "at"))
+    shared = materialize(shared.join(homes, "class", "left").withColumn("home", F.coalesce("home", "class")))
+    spans = shared.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("holders")).filter("low < high")
+    live = materialize(shared.join(spans.select("token", "holders"), "token"))
+
+    keys = live.groupBy("class", "home").agg(F.max_by("token", F.struct("holders", "token")).alias("token"))
+    ends = shown.select("class", "n", F.element_at("prefix", -1).alias("end"))
+    keys = keys.join(ends, "class").groupBy("class", "home", "token").agg(F.min("n").alias("n"), F.min("end").alias("end"))
+    keys = keys.join(keys.groupBy("home").agg(F.count("*").alias("many")), "home").withColumn("standing", F.struct("many", "home"))
+    alone = F.xxhash64("token", F.floor(F.log2("n") * 4), F.shiftright("end", 55), F.lit(1))
+    keys = keys.withColumn("key", F.when(F.col("many") > 1, F.xxhash64("home", F.lit(0))).otherwise(alone))
     parts = keys.groupBy("key").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
-    grouped = materialize(keys.join(parts, "key").select("class", "home", "n", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("group")))
-    matrix = live.join(grouped.select("class", "group"), "class").groupBy("token", "group")
-    matrix = matrix.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("home").alias("low"), F.max("short").alias("any_short"))
-    meets = (F.col("low") < F.col("home")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    meets &= (F.col("any_short") & (F.col("least") <= F.col("n"))) | (F.col("short") & (F.col("most") >= F.col("n")))
-    pairs = materialize(live.join(matrix, "token").filter(meets).select("class", "home", "n", "group").distinct())
-    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "home", "group")
+    grouped = materialize(keys.join(parts, "key").select("class", "n", "end", "standing", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("group")))
+    groups = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("end").alias("first_end"), F.max("standing").alias("top"))
+
+    matrix = live.join(grouped.select("class", "group"), "class").select("token", "group").distinct().join(groups, "group")
+    asking = live.select("token", "class", "at").join(grouped.select("class", "n", "standing"), "class")
+    meets = (F.col("standing") < F.col("top")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    met = asking.join(matrix, "token").filter(meets).groupBy("class", "standing", "n", "group", "least")
+    whole = F.col("token") <= F.col("first_end")  # up to there the prefixes of all members are known
+    met = met.agg(F.count(F.when(whole, True)).alias("common"), F.coalesce(F.max(F.when(whole, F.col("at"))), F.lit(-1)).alias("at"))
+    needs = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
+    pairs = materialize(met.filter(F.col("common") + F.col("n") - F.col("at") - 1 >= needs).select("class", "standing", "n", "group"))
+    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "standing", "group")
     more = pairs.select("class").union(held.select("class")).distinct().join(sets.select("class"), "class", "left_anti")
     return _links(pairs, held, sets.unionByName(_needed_sets(more, classes, rows, n)), percent)
 
@@ -303,10 +324,10 @@ def _of_several(tokens: DataFrame) -> DataFrame:
                     parts.insert(1, (token[:1], name[:1], size[:1]))
                     out[0] = True
             last = (token[-1], name[-1], size[-1], bool(out[-1]))
-            yield pa.record_batch([pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in range(3)], names=["token", "class", "n"])
+            yield pa.record_batch([pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in range(3)], names=["token", "class", "at"])
 
-    dealt = tokens.select("token", "class", "n").repartition("token").sortWithinPartitions("token", "class")
-    return dealt.mapInArrow(of, "token long, class long, n long")
+    dealt = tokens.select("token", "class", F.col("at").cast("long")).repartition("token").sortWithinPartitions("token", "class")
+    return dealt.mapInArrow(of, "token long, class long, at long")
 
 
 __all__ = ["BLANKS", "frequency_ranks", "ngram_groups", "overlap", "shingles"]
