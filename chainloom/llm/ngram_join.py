@@ -104,7 +104,7 @@ def _prefixes(n: int, percent: int, ranks: bytes):
             classes, sizes, prefixes, minima = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
-                name = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                name = _class(s.tobytes())
                 classes.append(name if len(s) else None)
                 sizes.append(len(s))
                 if not len(s) or name in seen:
@@ -125,37 +125,52 @@ def _prefixes(n: int, percent: int, ranks: bytes):
 
 
 def _sets(n: int, bits: bytes):
-    """Shingle sets of the rows whose id may be wanted: those whose bit is set."""
-    table = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8))
+    """(id, class, set) of the rows that may be wanted: those whose bit is set, each class once in a task and id."""
+    table = np.frombuffer(zlib.decompress(bits), np.uint8)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            mine = np.flatnonzero(table[_bit(ids, len(table))])
-            texts = batch.column(1).take(pa.array(mine)).to_pylist()
-            yield pa.record_batch([pa.array(ids[mine]), pa.array([shingles(t, n).tobytes() for t in texts], pa.binary())], names=["id", "set"])
+            at = _bit(ids, 8 * len(table))
+            mine = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            found: list[tuple[int, int, bytes]] = []
+            for k, text in zip(ids[mine].tolist(), batch.column(1).take(pa.array(mine)).to_pylist(), strict=True):
+                data = shingles(text, n).tobytes()
+                name = _class(data)
+                if data and (k, name) not in seen:
+                    seen.add((k, name))
+                    found.append((k, name, data))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=["id", "class", "set"])
 
     return of
 
 
+def _class(data: bytes) -> int:
+    """The name of a set, given as bytes: equal sets have equal names."""
+    return xxhash.xxh3_64_intdigest(data) >> 1
+
+
 def _bit(ids: np.ndarray, width: int) -> np.ndarray:
     return ((ids.astype(np.uint64) * _MIX) >> np.uint64(20)).astype(np.int64) % width
 
 
-def _wanted_bits(ids: DataFrame, width: int = 1 << 23) -> bytes:
-    """A bit table of fixed size with the bit of each id set; a filter before an exact join."""
+def _wanted_bits(ids: DataFrame, width: int = 1 << 26) -> bytes:
+    """A bit table of fixed size with the bit of each id set; a filter before an exact one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(width, np.uint8)
+        table = np.zeros(width // 8, np.uint8)
         for batch in batches:
-            table[_bit(batch.column(0).to_numpy(), width)] = 1
-        parts = np.packbits(table).reshape(256, -1)
+            at = _bit(batch.column(0).to_numpy(), width)
+            np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = table.reshape(256, -1)
         used = [k for k in range(256) if parts[k].any()]
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "bits"])
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in used], pa.binary())], names=["part", "bits"])
 
     table = np.zeros((256, width // 8 // 256), np.uint8)
     for r in ids.mapInArrow(of, "part int, bits binary").toLocalIterator():
-        table[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+        table[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return zlib.compress(table.tobytes(), 1)
 
 
@@ -259,10 +274,12 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
 
 
 def _needed_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(class, set) of the classes wanted, from one document of each; texts are hashed again only for those."""
-    picked = materialize(classes.join(wanted.toDF("class").distinct(), "class", "left_semi").select("class", "doc"))
-    texts = rows.mapInArrow(_sets(n, _wanted_bits(picked.select("doc"))), "id long, set binary")
-    found = materialize(texts.join(picked, texts["id"] == picked["doc"]).select("class", "set"))
+    """(class, set) of the classes wanted, from one document of each; texts are hashed again only for those. What the bit
+    table lets through by chance is named by its ids and classes alone, so that sets are not shuffled to be filtered."""
+    picked = materialize(classes.join(wanted.toDF("class").distinct(), "class", "left_semi").select(F.col("doc").alias("id"), "class"))
+    found = materialize(rows.mapInArrow(_sets(n, _wanted_bits(picked.select("id"))), "id long, class long, set binary"))
+    chance = materialize(found.select("id", "class").join(picked, ["id", "class"], "left_anti").distinct())
+    found = found.join(chance, ["id", "class"], "left_anti").select("class", "set")
     return found if found.count() == picked.count() else found.dropDuplicates(["class"])  # rows that repeat a doc_id
 
 

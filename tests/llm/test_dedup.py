@@ -106,6 +106,14 @@ def test_ngrams_of_odd_rows(spark):
     assert ngram_join.ngram_groups(df.limit(0)).count() == 0
 
 
+def test_ngrams_of_an_id_with_two_texts(spark):
+    base = [f"w{k}" for k in range(40)]
+    near, other = base[:39] + ["x"], [f"v{k}" for k in range(40)]
+    rows = [(4, " ".join(other)), (4, " ".join(base)), (9, " ".join(near)), (11, " ".join(other[1:]))]
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(4, 36, 4), (4, 36, 4), (9, 36, 4), (11, 35, 4)]
+
+
 def test_gear_chunks():
     rng = random.Random(0)
     for size in (0, 1, 23, 24, 100, 5000):
