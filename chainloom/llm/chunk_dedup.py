@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks cut by a gear rolling hash, compared by digest."""
+"""Substring dedup: runs of words with content-defined anchors from a gear rolling hash, compared by digest."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from chainloom.llm.common import id_or_none, materialize, real_id, small_batches
 
 #: A random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20_240_229).integers(0, 2**32, 256, dtype=np.uint32)
-_HALF = 1 << 63
+#: Words that an anchor depends on: 64 bits, shifted by 8 a word.
+ANCHOR_WORDS = 8
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -44,60 +45,84 @@ def chunk_ends(data: bytes, mean_bits: int, least: int, most: int) -> list[int]:
     return ends
 
 
-def one_blank(data: bytes) -> tuple[bytes, np.ndarray]:
-    """The bytes with one space for each run of blanks, and where each comes from, with the length at the end."""
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends, and its 64-bit hash; words are what blanks part."""
     raw = np.frombuffer(data, np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    stay = ~blank
-    stay[:1] = True
-    stay[1:] |= ~blank[:-1]
-    return np.where(blank, np.uint8(32), raw)[stay].tobytes(), np.append(np.flatnonzero(stay), len(raw))
+    blank = np.concatenate(([True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]))
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    hashes = (xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
+    return starts, ends, np.fromiter(hashes, np.uint64, len(starts))
 
 
-def _chunks(mean_bits: int, least: int, most: int):
+def anchors_of(hashes: np.ndarray, least_words: int) -> np.ndarray:
+    """For each run of least_words words, the smallest gear hash in it: h = 256 h + word in 64 bits, so that it depends
+    on the last ANCHOR_WORDS words. Equal runs have equal anchors, whatever stands around them."""
+    if len(hashes) < least_words:
+        return np.empty(0, np.int64)
+    h = hashes.copy()
+    for width in (1, 2, 4):
+        h[width:] += h[:-width] << np.uint64(8 * width)
+    width = least_words - ANCHOR_WORDS + 1
+    return np.lib.stride_tricks.sliding_window_view(h[ANCHOR_WORDS - 1 :], width).min(axis=1).view(np.int64)
+
+
+def _anchors(least_words: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0).to_numpy(), [np.empty(0, np.int64)]
+            for text in batch.column(1).to_pylist():
+                found.append(np.unique(anchors_of(words_of((text or "").encode("utf-8", "surrogatepass"))[2], least_words)))
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, [len(x) for x in found[1:]]))], names=["anchor", "id"])
+
+    return of
+
+
+def _runs(least_words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 200):
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, text in zip(ids[k : k + 200], texts[k : k + 200], strict=True):
-                    data, places = one_blank((text or "").encode("utf-8", "surrogatepass"))
-                    start = 0
-                    for end in chunk_ends(data, mean_bits, least, most):
-                        part = data[start:end]
-                        digest = xxhash.xxh3_128_intdigest(part)
-                        for column, value in zip(out, ((digest >> 64) - _HALF, (digest & (2**64 - 1)) - _HALF, doc, places[start], places[end], part.count(b" ")), strict=True):
-                            column.append(value)
-                        start = end
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["high", "low", "id", "start", "end", "words"])
+            for doc, text, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, ends, hashes = words_of((text or "").encode("utf-8", "surrogatepass"))
+                at = np.flatnonzero(np.isin(anchors_of(hashes, least_words), np.array(anchors, np.int64)))
+                if not len(at):
+                    continue
+                view = memoryview(hashes.tobytes())
+                digests = b"".join([xxhash.xxh3_128_digest(view[8 * k : 8 * (k + least_words)]) for k in at.tolist()])
+                both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                columns = (both[:, 0], both[:, 1], np.full(len(at), doc, np.int64), at.astype(np.int32), starts[at].astype(np.int32), ends[at + least_words - 1].astype(np.int32))
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=["high", "low", "id", "word", "start", "end"])
 
     return of
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 28, mean_bits: int = 4, least: int = 24, most: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """Passages that repeat across documents, one row per passage and document that holds it: doc_id, start, end (bytes
-    of the UTF-8 text, end exclusive), words (about), first_doc_id (the smallest doc_id that holds its first chunk),
+    of the UTF-8 text, end exclusive), words, first_doc_id (the smallest doc_id that holds its first least_words words),
     keeps (whether that is this document).
 
-    Texts, with runs of blanks as one space, are cut into chunks of least + 2**mean_bits bytes on average; a chunk repeats if documents of at least two ids
-    hold its digest. Repeated chunks that follow one another are one passage, and it counts from least_words word ends on.
-    A shared passage loses up to a chunk at either end, so passages of 50 words or more are found; insertions before it
-    don't matter. Null and empty texts have no chunks. Rows that repeat a doc_id are one document; a null doc_id counts as
-    the smallest and is returned as null. Texts of any length are read whole. No documents: no rows.
+    Words are what blanks part. A run of least_words words (8 at least) repeats if documents of at least two ids hold
+    it; every such run is found, and what such runs cover is a passage, exact to the word at both ends, periodic texts
+    included. Runs that this document keeps and runs that it doesn't are passages of their own, which may overlap.
+    Null and empty texts have no runs. Rows that repeat a doc_id are one document; a null doc_id counts as the smallest
+    and is returned as null. Texts of any length are read whole. No documents: no rows.
 
-    Digests are combined before their first shuffle, so that what many documents hold is a row per task; what repeats is
-    joined back to the chunks, which Spark splits where a digest is frequent.
+    Anchors, content-defined by a gear hash over words, about one for 22 words, are compared first; only runs whose
+    anchor repeats are hashed. Anchors and digests are combined before their first shuffle, so that what many documents
+    hold is a row per task; what repeats is joined back, which Spark splits where a digest is frequent.
     """
-    chunks = small_batches(docs).select(id_or_none().alias("id"), "text").mapInArrow(_chunks(mean_bits, least, most), "high long, low long, id long, start int, end int, words int")
-    repeated = chunks.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    found = chunks.join(materialize(repeated), ["high", "low"]).select("id", "start", "end", "words", "first").distinct()
-    order = Window.partitionBy("id").orderBy("start")
-    fresh = (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("start")).cast("int")
-    passages = found.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order)).groupBy("id", "passage")
-    passages = passages.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("first", "start").alias("first"))
-    passages = passages.filter(F.col("words") >= least_words)
-    return passages.select(real_id("id").alias("doc_id"), "start", "end", "words", real_id("first").alias("first_doc_id"), (F.col("id") == F.col("first")).alias("keeps"))
+    if least_words < ANCHOR_WORDS:
+        raise ValueError(f"least_words is {ANCHOR_WORDS} at least")
+    texts = small_batches(docs).select(id_or_none().alias("id"), "text")
+    anchors = texts.mapInArrow(_anchors(least_words), "anchor long, id long")
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor")
+    of_doc = anchors.join(materialize(shared), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    runs = materialize(texts.join(of_doc, "id")).mapInArrow(_runs(least_words), "high long, low long, id long, word int, start int, end int")
+    repeated = runs.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    found = runs.join(materialize(repeated), ["high", "low"]).select("id", "word", "start", "end", "first", (F.col("id") == F.col("first")).alias("keeps"))
+    order = Window.partitionBy("id", "keeps").orderBy("word")
+    fresh = F.coalesce((F.col("word") > F.lag("word").over(order) + least_words).cast("int"), F.lit(1))
+    passages = found.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order)).groupBy("id", "keeps", "passage")
+    passages = passages.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + least_words).alias("words"), F.min_by("first", "word").alias("first"))
+    return passages.select(real_id("id").alias("doc_id"), "start", "end", "words", real_id("first").alias("first_doc_id"), "keeps")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -208,3 +208,34 @@ def test_nearest(spark):
     few = vptree.nearest(vectors(spark, rows[:4]), F.col("vec_id") == 0)
     assert few.count() == 3
     assert vptree.nearest(vectors(spark, []).limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def brute_passages(docs, least=50):
+    """By document: which words runs of least words cover that another document holds, and which of them a smaller one holds."""
+    held, covered = {}, {}
+    runs = {d: [tuple(t.split()[k : k + least]) for k in range(len(t.split()) - least + 1)] for d, t in docs}
+    for d, rs in runs.items():
+        for r in rs:
+            held.setdefault(r, set()).add(d)
+    for d, rs in runs.items():
+        for k, r in enumerate(rs):
+            if len(held[r]) > 1:
+                covered.setdefault((d, min(held[r]) == d), set()).update(range(k, k + least))
+    return covered
+
+
+def test_every_passage_of_50_words_is_found(spark):
+    rng, docs = random.Random(11), []
+    for k in range(150):
+        passage = " ".join(words(rng, rng.choice([49, 50, 51, 51, 55, 60])))
+        if k % 10 == 0:
+            passage = " ".join(rng.choice("ab") for _ in range(51))  # 101 bytes
+        docs += [(2 * k + j, f"{' '.join(words(rng, rng.randrange(40)))} {passage} {' '.join(words(rng, rng.randrange(40)))}") for j in (0, 1)]
+    docs += [(900, "again " * 70), (901, "other " + "again " * 60), (902, docs[7][1] + " " + docs[9][1]), (903, docs[9][1] + " x " + docs[0][1])]
+    got = {}
+    for r in chunk_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        data = dict(docs)[r["doc_id"]].encode()
+        from_word = len(data[: r["start"]].split())
+        assert r["words"] == len(data[r["start"] : r["end"]].split()) and r["keeps"] == (r["first_doc_id"] == r["doc_id"])
+        got.setdefault((r["doc_id"], r["keeps"]), set()).update(range(from_word, from_word + r["words"]))
+    assert got == brute_passages(docs)
