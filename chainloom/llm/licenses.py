@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,13 @@ KNOWN = (
         "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 )
+#: Titles that stand above a text that has none of its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+}
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorise", "authorize"), ("non commercial", "noncommercial"))
 COPYRIGHT = r"(?m)^[^\n\p{L}\p{N}(©]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORDS = r"[^\p{L}\p{N}\n]+"
@@ -43,8 +54,17 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
-def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license_id, digest) of the canonical texts."""
+@cache
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """KNOWN, and the entire texts and standard headers of license_texts.json, as they are and under the usual titles."""
+    shipped = json.loads((Path(__file__).parent / "license_texts.json").read_text("utf-8"))
+    texts = [(x["license_id"], x["text"]) for x in shipped]
+    return (*KNOWN, *texts, *((name, f"{title}\n\n{text}") for name, text in texts for title in TITLES.get(name, ())))
+
+
+def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(license_id, digest) of the canonical texts, by default of known_texts()."""
+    texts = known_texts() if texts is None else texts
     lines = spark.createDataFrame(list(texts), "license_id string, text string").withColumn("lines", _lines(canonical()))
     return lines.select("license_id", F.sha2(F.array_join("lines", " "), 256).alias("digest")).distinct()
 

@@ -98,6 +98,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_entire_license_texts(spark):
+    texts = [t for t in licenses.known_texts() if t not in licenses.KNOWN]
+    docs = [(k, f"Copyright (c) 2024 Someone\n\n{text.upper()}\n") for k, (_, text) in enumerate(texts)]
+    mit = next(text for name, text in texts if name == "MIT")
+    docs += [(900, mit.replace("\n", " ")), (901, mit + "\nand more")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(texts)} | {900: "MIT", 901: None}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0", "GPL-3.0-or-later"} <= set(got.values())
+
+
 def test_mixing(spark):
     rng = random.Random(0)
     docs = [(k, "word " * rng.randrange(1, 90), rng.choice(["en", "en", "de"]), "big" if k % 3 else f"s{k % 5}") for k in range(3000)] + [(9001, None, None, None), (9002, "", "en", "big"), (None, "a b", "de", "s1"), (1, "again", "en", "big")]
