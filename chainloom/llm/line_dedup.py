@@ -45,10 +45,16 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> t
     """(every document's distinct line keys, the keys in at least min_docs documents with n_docs and their keeper).
 
     A key is a 128-bit digest in columns high and low; counting combines before its shuffle, so that a line which
-    a third of all documents hold is one row per task.
+    a third of all documents hold is one row per task. Rows count first; where rows repeat an id, what they count too
+    often is taken off again.
     """
-    keyed = small_batches(docs).select(id_or_none().alias("id"), "text").mapInArrow(_keys(min_chars), "high long, low long, id long")
-    counted = keyed.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+    texts, schema = small_batches(docs).select(id_or_none().alias("id"), "text"), "high long, low long, id long"
+    keyed = texts.mapInArrow(_keys(min_chars), schema)
+    counted = keyed.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    again = materialize(texts.groupBy("id").count().filter("count > 1").select("id"))
+    twice = texts.join(again, "id", "left_semi").mapInArrow(_keys(min_chars), schema).groupBy("high", "low", "id").agg((F.count("*") - 1).alias("extra"))
+    twice = twice.filter("extra > 0").groupBy("high", "low").agg(F.sum("extra").alias("extra"))
+    counted = counted.join(twice, ["high", "low"], "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("extra", F.lit(0))).drop("extra")
     return keyed, materialize(counted.filter(F.col("n_docs") >= min_docs))
 
 
@@ -78,8 +84,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     Lines are split at \\n and compared stripped of blanks and with A-Z lower-cased. A key of min_chars code points
     or more that min_docs documents or more hold loses all its lines except in the largest doc_id holding it.
-    Null or empty text: one empty line, kept. A row counts as a document, and rows that repeat the largest doc_id
-    all keep the line; a null doc_id counts as the smallest. Repeated lines within the keeper stay. Extra columns
+    Null or empty text: one empty line, kept. Rows that repeat a doc_id count as one document, and those of the
+    largest doc_id all keep the line; a null doc_id counts as the smallest. Repeated lines within the keeper stay. Extra columns
     pass through in row. No documents: no rows.
     """
     keyed, repeated = repeated_lines(docs, min_chars, min_docs)

@@ -62,6 +62,12 @@ def test_lines_of_odd_ids(spark):
     assert got == [(0, ""), (1, ""), (3, LINE), (3, LINE)]
 
 
+def test_rows_of_one_id_count_once(spark):
+    df = spark.createDataFrame([(1, LINE), (1, LINE), (2, LINE), (4, f"{LINE}s"), (5, f"{LINE}s"), (5, f"{LINE}s"), (6, f"{LINE}s")], "doc_id long, text string")
+    got = sorted((r["row"]["doc_id"], r["kept_text"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(1, LINE), (1, LINE), (2, LINE), (4, ""), (5, ""), (5, ""), (6, f"{LINE}s")]
+
+
 def words(rng, n):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
