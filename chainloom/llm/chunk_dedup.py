@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.llm.common import id_or_none, materialize, real_id, small_batches
+from chainloom.llm.common import id_or_none, in_slices, materialize, real_id
 
 #: A random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20_240_229).integers(0, 2**32, 256, dtype=np.uint32)
@@ -111,11 +111,11 @@ def repeated_spans(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """
     if least_words < ANCHOR_WORDS:
         raise ValueError(f"least_words is {ANCHOR_WORDS} at least")
-    texts = small_batches(docs).select(id_or_none().alias("id"), "text")
-    anchors = texts.mapInArrow(_anchors(least_words), "anchor long, id long")
+    texts = docs.select(id_or_none().alias("id"), "text")
+    anchors = texts.mapInArrow(in_slices(_anchors(least_words)), "anchor long, id long")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor")
     of_doc = anchors.join(materialize(shared), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    runs = materialize(texts.join(of_doc, "id")).mapInArrow(_runs(least_words), "high long, low long, id long, word int, start int, end int")
+    runs = materialize(texts.join(of_doc, "id")).mapInArrow(in_slices(_runs(least_words)), "high long, low long, id long, word int, start int, end int")
     repeated = runs.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     found = runs.join(materialize(repeated), ["high", "low"]).select("id", "word", "start", "end", "first", (F.col("id") == F.col("first")).alias("keeps"))
     order = Window.partitionBy("id", "keeps").orderBy("word")
@@ -142,4 +142,4 @@ def drop_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     another document keeps; a character that a cut would split goes with it."""
     lost = spans.filter(~F.col("keeps")).groupBy(id_or_none().alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select(F.struct("*").alias("row"), "text", id_or_none().alias("id")).join(lost, "id", "left").select("row", "text", "spans")
-    return rows.mapInArrow(_without, f"row {rows.schema['row'].dataType.simpleString()}, kept_text string")
+    return rows.mapInArrow(in_slices(_without), f"row {rows.schema['row'].dataType.simpleString()}, kept_text string")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,13 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (tests) gets a folder of its own; a cluster has none to fall back on, since a folder of this machine would be
+    empty on every other."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chainloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -44,13 +51,20 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(df: DataFrame, most: str = "2m") -> DataFrame:
-    """df, after bounding what the session sends to Python at once: texts are long, and a batch of them is held several
-    times over on either side. A bound that the session has set itself stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key) in ("67108864b", "64m", "-1", None):
-        df.sparkSession.conf.set(key, most)
-    return df
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_slices(f: Callable[[Batches], Batches], most: int = 2_000_000) -> Callable[[Batches], Batches]:
+    """f for mapInArrow, given slices of about most bytes (one row at least): texts are long, and what is made of a batch
+    is held several times over."""
+
+    def slices(batches: Batches) -> Batches:
+        for batch in batches:
+            step = max(1, int(len(batch) * most / max(1, batch.nbytes)))
+            for k in range(0, len(batch), step):
+                yield batch.slice(k, step)
+
+    return lambda batches: f(slices(batches))
 
 
 def id_or_none(column: str = "doc_id") -> Column:

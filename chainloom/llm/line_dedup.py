@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, small_batches
+from chainloom.llm.common import BLANKS, NO_ID, id_or_none, in_slices, materialize
 
 _HALF = 1 << 63
 
@@ -48,11 +48,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> t
     a third of all documents hold is one row per task. Rows count first; where rows repeat an id, what they count too
     often is taken off again.
     """
-    texts, schema = small_batches(docs).select(id_or_none().alias("id"), "text"), "high long, low long, id long"
-    keyed = texts.mapInArrow(_keys(min_chars), schema)
+    texts, schema = docs.select(id_or_none().alias("id"), "text"), "high long, low long, id long"
+    keyed = texts.mapInArrow(in_slices(_keys(min_chars)), schema)
     counted = keyed.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     again = materialize(texts.groupBy("id").count().filter("count > 1").select("id"))
-    twice = texts.join(again, "id", "left_semi").mapInArrow(_keys(min_chars), schema).groupBy("high", "low", "id").agg((F.count("*") - 1).alias("extra"))
+    twice = texts.join(again, "id", "left_semi").mapInArrow(in_slices(_keys(min_chars)), schema).groupBy("high", "low", "id").agg((F.count("*") - 1).alias("extra"))
     twice = twice.filter("extra > 0").groupBy("high", "low").agg(F.sum("extra").alias("extra"))
     counted = counted.join(twice, ["high", "low"], "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("extra", F.lit(0))).drop("extra")
     return keyed, materialize(counted.filter(F.col("n_docs") >= min_docs))
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     per_doc = lost.groupBy("id").agg(F.collect_set("high").alias("lost"))
     rows = docs.select(F.struct("*").alias("row"), "text", id_or_none().alias("id")).join(per_doc, "id", "left")
     schema = f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long"
-    return rows.select("row", "text", "lost").mapInArrow(_rebuild(min_chars), schema)
+    return rows.select("row", "text", "lost").mapInArrow(in_slices(_rebuild(min_chars)), schema)
 
 
 __all__ = ["NO_ID", "dedup_lines", "line_key", "repeated_lines"]

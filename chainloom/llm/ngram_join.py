@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,13 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import BLANKS, NO_ID, id_or_none, materialize, real_id, small_batches
+from chainloom.llm.common import BLANKS, NO_ID, Batches, id_or_none, in_slices, materialize, real_id, release
 from chainloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers of the min-hashes, and how many of these a class must share with a leader to be compared with it.
 _SEEDS = _MIX * np.arange(3, 15, 2, dtype=np.uint64)
 _SHARED = 2
+#: Tokens of this rank, about 2,000 occurrences, and above are dealt by token and class, so that no task gets all of one.
+_HOT_RANK = 33
+#: Bytes of sets that meet in one task, about.
+_TASK_BYTES = 8_000_000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -49,7 +51,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _counts(n: int, width: int, block: int):
     """How often shingles occur by cell of their hash; one set of compressed blocks per task."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         counts, waiting, held = np.zeros(width, np.uint32), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -69,7 +71,7 @@ def _counts(n: int, width: int, block: int):
 def _ranked(block: int):
     """The blocks of a partition summed as they come, then ranked."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -85,10 +87,10 @@ def frequency_ranks(docs: DataFrame, n: int, width: int = 1 << 23, block: int =
     """For each of width cells (a power of two) a third of the log2 of how often shingles of the cell occur, as one byte,
     compressed: an order from rare to frequent over all documents. Its size is fixed, so it can go to every task; any
     order gives whole results, this one keeps what many documents share out of the prefixes."""
-    counted = docs.select("text").mapInArrow(_counts(n, width, block), "block int, counts binary")
-    ranked = counted.repartition(16, "block").mapInArrow(_ranked(block), "block int, ranks binary")
+    counted = docs.select("text").mapInArrow(in_slices(_counts(n, width, block)), "block int, counts binary")
+    ranked = counted.repartition("block").mapInArrow(_ranked(block), "block int, ranks binary")
     table = np.zeros((width // block, block), np.uint8)
-    for r in ranked.toLocalIterator():
+    for r in ranked.collect():  # width bytes in all
         table[r["block"]] = np.frombuffer(r["ranks"], np.uint8)
     return zlib.compress(table.tobytes(), 1)
 
@@ -98,7 +100,7 @@ def _prefixes(n: int, percent: int, ranks: bytes):
     token is its rank (under 128) and 55 bits of its hash, so that the order of tokens is the order of prefixes."""
     table = np.frombuffer(zlib.decompress(ranks), np.uint8)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
             classes, sizes, prefixes, minima = [], [], [], []
@@ -128,7 +130,7 @@ def _sets(n: int, bits: bytes):
     """(id, class, set) of the rows that may be wanted: those whose bit is set, each class once in a task and id."""
     table = np.frombuffer(zlib.decompress(bits), np.uint8)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -159,7 +161,7 @@ def _bit(ids: np.ndarray, width: int) -> np.ndarray:
 def _wanted_bits(ids: DataFrame, width: int = 1 << 26) -> bytes:
     """A bit table of fixed size with the bit of each id set; a filter before an exact one."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         table = np.zeros(width // 8, np.uint8)
         for batch in batches:
             at = _bit(batch.column(0).to_numpy(), width)
@@ -169,14 +171,49 @@ def _wanted_bits(ids: DataFrame, width: int = 1 << 26) -> bytes:
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in used], pa.binary())], names=["part", "bits"])
 
     table = np.zeros((256, width // 8 // 256), np.uint8)
-    for r in ids.mapInArrow(of, "part int, bits binary").toLocalIterator():
+    for r in ids.mapInArrow(of, "part int, bits binary").repartition("part").mapInArrow(_merged, "part int, bits binary").collect():
         table[r["part"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return zlib.compress(table.tobytes(), 1)
 
 
+def _merged(batches: Batches) -> Batches:
+    """The bit tables of each part as one."""
+    whole: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bits = np.frombuffer(zlib.decompress(data), np.uint8)
+            whole[k] = bits | whole[k] if k in whole else bits
+    yield pa.record_batch([pa.array(list(whole), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in whole.values()], pa.binary())], names=["part", "bits"])
+
+
+class _Group:
+    """The sets of a group's members as rows of a matrix over the union of their tokens: for each token who has it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.union, starts = np.unique(tokens[order], return_index=True)
+        self._owners, self._starts = owners[order], np.append(starts, len(tokens))
+
+    def qualifying(self, mine: np.ndarray, percent: int) -> np.ndarray:
+        """Members whose similarity with a set is percent or more; the group is opened only if its union allows any."""
+        if 100 * len(self.union) < percent * len(mine):
+            return np.empty(0, np.int64)
+        at = np.searchsorted(self.union, mine)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == mine]
+        if 100 * len(at) < percent * len(mine):
+            return np.empty(0, np.int64)
+        count = self._starts[at + 1] - self._starts[at]
+        shift = np.repeat(self._starts[at] - np.cumsum(count) + count, count)
+        common = np.bincount(self._owners[np.arange(len(shift)) + shift], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (len(mine) + self.sizes - common))
+
+
 def _verify(percent: int):
-    """Within a bucket of groups: bound each query by the group's token union and compare it with the members of groups
-    that qualify, until they are connected; the links returned span what the links found connect."""
+    """Within a bucket of groups: bound each class that asks by the group's token union and find the members that it is
+    linked with; the links returned span what the links found connect."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         a, b, tree = [], [], {}
@@ -187,48 +224,47 @@ def _verify(percent: int):
                 x = tree[x]
             return x
 
-        for _, both in rows.groupby(["group", "part"], sort=False):
-            held, asking = both[~both["asks"]], both[both["asks"]]
-            if not len(held) or not len(asking):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        names, homes = rows["class"].tolist(), rows["home"].to_numpy()
+        meetings: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for k, roles in enumerate(rows["roles"]):
+            for group, part, asks in np.asarray(roles).reshape(-1, 3).tolist():
+                meetings.setdefault((group, part), ([], []))[asks].append(k)
+        for held, asking in meetings.values():
+            if not held or not asking:
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in held["set"]]
-            sizes, names = np.array([len(x) for x in sets]), held["class"].to_numpy()
-            many, homes = held["many"].to_numpy(), held["home"].to_numpy()
-            union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-            for name, own, home, data in zip(asking["class"], asking["many"], asking["home"], asking["set"], strict=True):
-                mine = np.frombuffer(data, np.uint64)
-                if 100 * overlap(mine, union) < percent * len(mine):
-                    continue
-                fits = (many > own) | ((many == own) & (homes > home))
-                fits &= (100 * sizes >= percent * len(mine)) & (percent * sizes <= 100 * len(mine))
-                for k in np.flatnonzero(fits):
-                    left, right = root(int(name)), root(int(names[k]))
-                    if left == right:
-                        continue
-                    common = overlap(mine, sets[k])
-                    if 100 * common >= percent * (len(mine) + sizes[k] - common):
-                        a.append(name)
-                        b.append(names[k])
+            group = _Group([sets[k] for k in held])
+            for k in asking:
+                for m in group.qualifying(sets[k], percent).tolist():
+                    left, right = root(names[k]), root(names[held[m]])
+                    if homes[k] != homes[held[m]] and left != right:
+                        a.append(names[k])
+                        b.append(names[held[m]])
                         tree[left] = right
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return of
 
 
-def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, budget: int = 8_000_000) -> DataFrame:
-    """Links among pairs(class, standing, n, group) and members(class, standing, group): every query of a group against
-    its members of a higher standing (many, home). Groups with many queries are split, and groups share tasks, by the bytes they ask."""
-    loads = pairs.groupBy("group").agg(F.sum(8 * F.col("n")).alias("bytes"))
-    loads = materialize(loads.withColumn("parts", F.ceil(F.col("bytes") / budget).cast("int")))
+def _links(asked: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of different homes: asked(class, home, n, group) against held(class, home, n, group).
+
+    Groups that are asked much are split into parts by the bytes that ask; every part has all members. Parts are dealt
+    to buckets, and a set goes once to each bucket that needs it. The caller has bounded the members of a group.
+    """
+    loads = asked.groupBy("group").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    loads = materialize(loads.select("group", "bytes", F.ceil(F.col("bytes") / _TASK_BYTES).cast("long").alias("parts")))
     total = loads.agg(F.sum("bytes")).first()[0] or 0
-    buckets = int(max(1, min(100_000, total // budget * 2)))
-    bucket = F.pmod(F.xxhash64("group", "part"), F.lit(buckets)).alias("bucket")
-    asked = pairs.join(loads.select("group", "parts"), "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    held = members.join(loads.select("group", "parts"), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["group", "part", "class", "standing.many", "standing.home"]
-    both = asked.select(*columns, F.lit(True).alias("asks")).unionByName(held.select(*columns, F.lit(False).alias("asks")))
-    with_sets = both.join(sets, "class").select(bucket, "group", "part", "class", "many", "home", "asks", "set")
-    return with_sets.groupBy("bucket").applyInPandas(_verify(percent), "a long, b long")
+    least = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, int(total // _TASK_BYTES))
+    asks = asked.join(loads, "group").select("class", "home", "group", F.pmod(F.xxhash64("class"), "parts").alias("part"), F.lit(1).cast("long").alias("asks"))
+    holds = held.join(loads, "group").select("class", "home", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).cast("long").alias("asks"))
+    roles = asks.unionByName(holds).withColumn("bucket", F.pmod(F.xxhash64("group", "part"), F.lit(buckets)))
+    roles = roles.groupBy("class", "home", "bucket").agg(F.flatten(F.collect_list(F.array("group", "part", "asks"))).alias("roles"))
+    dealt = roles.join(sets.dropDuplicates(["class"]), "class").select("bucket", "class", "home", "roles", "set")
+    found = materialize(dealt.groupBy("bucket").applyInPandas(_verify(percent), "a long, b long"))
+    release(loads)
+    return found
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int = 128) -> DataFrame:
@@ -236,87 +272,123 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
 
     Two documents link when the Jaccard similarity of their sets of distinct n-word shingles is percent / 100 or more.
     Documents without words link with nothing; equal sets are one class and are compared once. Shingles are 64-bit
-    hashes. A null doc_id keeps its row, counts as no node, and has a null component. Rows that repeat a doc_id have
-    its component. No documents: no rows.
+    hashes. A null doc_id keeps its row, counts as no node, and has a null component. Rows that repeat a doc_id with
+    different texts are nodes of their own under one id. No documents: no rows.
 
     No link between different sets is lost, and groups of copies are not expanded into pairs:
     1. Each set's prefix, its rarest tokens, as many as a link must share one of, by a frequency sketch of fixed size.
-    2. First links: classes that share min-hashes with the smallest class that has them, verified; components of these.
-    3. The token-group matrix: tokens in prefixes of at least two components, against groups of group_size similar
-       classes (a component's, or those of like size that share their most frequent such token). A class asks the groups that
-       hold its tokens and a class of a larger component (ties: a larger name). Up to the last common prefix token all
-       common tokens are known, so their number and its place bound the overlap; then the group's union of all tokens
-       does, and only groups that can reach the threshold are opened.
+    2. First links: classes that share min-hashes with the class of their bucket that has the most common ones,
+       verified; the components of these links are the homes.
+    3. The token-group matrix: tokens in prefixes of at least two homes, against groups of group_size similar classes
+       (of one home, or of homes of one class with like size and a frequent token in common). Groups meet on tokens,
+       never classes: a group asks those of larger homes (ties: larger names) that can reach the threshold by their
+       sizes, the number of common tokens and the place of these. Then a class of the group that asks is bounded by
+       the other's union of all tokens, and only groups that qualify are opened.
     """
-    rows = small_batches(docs).select(id_or_none().alias("id"), "text")
-    made = materialize(rows.mapInArrow(_prefixes(n, percent, frequency_ranks(rows, n)), "id long, class long, n long, prefix array<long>, minima array<long>"))
-    classes = made.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID)).groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
+    rows = docs.select(id_or_none().alias("id"), "text")
+    prefixes = in_slices(_prefixes(n, percent, frequency_ranks(rows, n)))
+    made = materialize(rows.mapInArrow(prefixes, "id long, class long, n long, prefix array<long>, minima array<long>"))
+    named = materialize(made.select("id", "class", "n"))
+    classes = named.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID)).groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
+    classes = materialize(classes)
     shown = made.filter("prefix is not null")
 
-    bands = shown.select("class", F.posexplode("minima").alias("band", "least"))
-    leaders = bands.groupBy("band", "least").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader < last").drop("last")
-    first = bands.join(leaders, ["band", "least"]).filter("class > leader").groupBy("class", "leader").count().filter(F.col("count") >= _SHARED)
-    first = materialize(first.select("class", "leader"))
+    first = materialize(_leaders(shown.select("class", "minima")).join(classes.select("class", "n"), "class"))
     sets = _needed_sets(first.select("class").union(first.select("leader")), classes, rows, n)
-    standing = lambda many, home: F.struct(F.lit(many).cast("long").alias("many"), F.col(home).alias("home"))
-    asked = first.select("class", standing(1, "class").alias("standing"), F.col("leader").alias("group")).join(classes.select("class", "n"), "class")
-    held = first.select(F.col("leader").alias("group")).distinct().select("group", F.col("group").alias("class"), standing(2, "group").alias("standing"))
-    links = materialize(_links(asked, held, sets, percent))
+    asked = first.select("class", F.col("class").alias("home"), "n", F.col("leader").alias("group"))
+    held = first.select(F.col("leader").alias("class"), F.col("leader").alias("home"), F.col("leader").alias("group")).distinct()
+    links = _links(asked, held, sets, percent)
     homes = materialize(components(links).select(F.col("node").alias("class"), F.col("component").alias("home")))
+    release(first)
 
-    more = _matrix_links(shown, classes, homes, sets, rows, n, percent, group_size)
-    final = components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("home"))
+    asked, held = _matrix(shown, homes, percent, group_size)
+    release(made)
+    more = materialize(asked.select("class").union(held.select("class")).distinct().join(sets.select("class"), "class", "left_anti"))
+    others = _needed_sets(more, classes, rows, n)
+    later = _links(asked, held, sets.unionByName(others), percent)
+    for done in (sets, others, more, asked, held, homes):
+        release(done)
+
+    final = components(links.unionByName(later)).select(F.col("node").alias("class"), F.col("component").alias("home"))
     placed = classes.join(final, "class", "left").select("class", "doc", F.coalesce("home", "class").alias("home"))
     smallest = placed.groupBy("home").agg(F.min("doc").alias("component_id"))
-    found = materialize(placed.join(smallest, "home").select("class", "component_id"))
-    out = made.select("id", "class", "n").join(found, "class", "left")
+    found = placed.join(smallest, "home").select("class", "component_id")
+    out = named.join(found, "class", "left")
     return out.select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id") != NO_ID, F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def _leaders(shown: DataFrame) -> DataFrame:
+    """(class, leader): in each bucket of classes with a common min-hash the leader is the class whose min-hashes are
+    most common, most likely the one that the others are copies of; classes that share _SHARED with it are its pairs."""
+    bands = shown.select("class", F.posexplode("minima").alias("band", "least"))
+    crowds = materialize(bands.groupBy("band", "least").agg(F.count("*").alias("many")).filter("many > 1"))
+    shared = materialize(bands.join(crowds, ["band", "least"]).select("class", "band", "least", "many"))
+    score = shared.groupBy("class").agg(F.sum("many").alias("score"))
+    leaders = shared.join(score, "class").groupBy("band", "least").agg(F.max_by("class", F.struct("score", "class")).alias("leader"))
+    pairs = shared.join(leaders, ["band", "least"]).filter("class <> leader").groupBy("class", "leader").count().filter(F.col("count") >= _SHARED)
+    return pairs.select("class", "leader")
+
+
 def _needed_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(class, set) of the classes wanted, from one document of each; texts are hashed again only for those. What the bit
-    table lets through by chance is named by its ids and classes alone, so that sets are not shuffled to be filtered."""
-    picked = materialize(classes.join(wanted.toDF("class").distinct(), "class", "left_semi").select(F.col("doc").alias("id"), "class"))
-    found = materialize(rows.mapInArrow(_sets(n, _wanted_bits(picked.select("id"))), "id long, class long, set binary"))
-    chance = materialize(found.select("id", "class").join(picked, ["id", "class"], "left_anti").distinct())
-    found = found.join(chance, ["id", "class"], "left_anti").select("class", "set")
-    return found if found.count() == picked.count() else found.dropDuplicates(["class"])  # rows that repeat a doc_id
-
-
-def _matrix_links(shown: DataFrame, classes: DataFrame, homes: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int, group_size: int) -> DataFrame:
-    tokens = shown.select("class", F.posexplode("prefix").alias("at", "token"))
-    shared = _of_several(tokens.select("token", "class", "at"))
+    """(class, set) of the classes wanted, from one document of each, and of others by chance; texts are hashed again only
+    where the bit table has their id. A class has more than one row where its document's id repeats."""
+    picked = materialize(classes.join(wanted.toDF("class").distinct(), "class", "left_semi").select(F.col("doc").alias("id")))
+    found = materialize(rows.mapInArrow(in_slices(_sets(n, _wanted_bits(picked))), "id long, class long, set binary").select("class", "set"))
+    release(picked)
+    return found
+
+
+def _matrix(shown: DataFrame, homes: DataFrame, percent: int, group_size: int) -> tuple[DataFrame, DataFrame]:
+    """(asked, held) for _links: the pairs of groups that can hold a link, by the classes that ask and the members."""
+    shared = _of_several(shown.select("class", F.posexplode("prefix").alias("at", "token")))
     shared = materialize(shared.join(homes, "class", "left").withColumn("home", F.coalesce("home", "class")))
     spans = shared.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("holders")).filter("low < high")
     live = materialize(shared.join(spans.select("token", "holders"), "token"))
+    release(shared)
 
     keys = live.groupBy("class", "home").agg(F.max_by("token", F.struct("holders", "token")).alias("token"))
-    ends = shown.select("class", "n", F.element_at("prefix", -1).alias("end"))
-    keys = keys.join(ends, "class").groupBy("class", "home", "token").agg(F.min("n").alias("n"), F.min("end").alias("end"))
-    keys = keys.join(keys.groupBy("home").agg(F.count("*").alias("many")), "home").withColumn("standing", F.struct("many", "home"))
+    keys = keys.join(shown.select("class", "n", F.element_at("prefix", -1).alias("end")), "class")
+    keys = keys.groupBy("class", "home", "token").agg(F.min("n").alias("n"), F.min("end").alias("end"))  # each class once
+    keys = materialize(keys.join(keys.groupBy("home").agg(F.count("*").alias("many")), "home"))
     alone = F.xxhash64("token", F.floor(F.log2("n") * 4), F.shiftright("end", 55), F.lit(1))
-    keys = keys.withColumn("key", F.when(F.col("many") > 1, F.xxhash64("home", F.lit(0))).otherwise(alone))
-    parts = keys.groupBy("key").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
-    grouped = materialize(keys.join(parts, "key").select("class", "n", "end", "standing", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")).alias("group")))
-    groups = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("end").alias("first_end"), F.max("standing").alias("top"))
-
-    matrix = live.join(grouped.select("class", "group"), "class").select("token", "group").distinct().join(groups, "group")
-    asking = live.select("token", "class", "at").join(grouped.select("class", "n", "standing"), "class")
-    meets = (F.col("standing") < F.col("top")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    met = asking.join(matrix, "token").filter(meets).groupBy("class", "standing", "n", "group", "least")
-    whole = F.col("token") <= F.col("first_end")  # up to there the prefixes of all members are known
-    met = met.agg(F.count(F.when(whole, True)).alias("common"), F.coalesce(F.max(F.when(whole, F.col("at"))), F.lit(-1)).alias("at"))
-    needs = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
-    pairs = materialize(met.filter(F.col("common") + F.col("n") - F.col("at") - 1 >= needs).select("class", "standing", "n", "group"))
-    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "standing", "group")
-    more = pairs.select("class").union(held.select("class")).distinct().join(sets.select("class"), "class", "left_anti")
-    return _links(pairs, held, sets.unionByName(_needed_sets(more, classes, rows, n)), percent)
+    keyed = keys.withColumn("key", F.when(F.col("many") > 1, F.xxhash64("home", F.lit(0))).otherwise(alone))
+    parts = keyed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / group_size, F.sum(8 * F.col("n")) / _TASK_BYTES)).alias("parts"))
+    grouped = keyed.join(parts, "key").withColumn("group", F.xxhash64("key", F.pmod(F.xxhash64("class"), "parts")))
+    grouped = materialize(grouped.select("class", "home", "n", "end", "many", "group"))
+    release(keys)
+    groups = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("end").alias("first_end"), F.max("many").alias("many"), F.max("home").alias("home"), F.count("*").alias("members"))
+
+    # a class of n tokens that has a token at place at, and common tokens up to there, has at most n - at - 1 more
+    slack = 100 * F.col("n") - (100 + percent) * F.col("at")
+    matrix = live.join(grouped.select("class", "n", "group"), "class").groupBy("token", "group").agg(F.max(slack).alias("slack"))
+    matrix = materialize(matrix.join(groups, "group"))
+    release(live)
+    asking = matrix.select("token", *(F.col(c).alias(f"my_{c}") for c in matrix.columns if c not in ("token", "first_end")))
+    rank = F.struct("my_many", "my_group") < F.struct(F.col("many").alias("my_many"), F.col("group").alias("my_group"))
+    meets = F.when(F.col("many") > 1, rank & ((F.col("my_many") == 1) | (F.col("my_home") != F.col("home"))))
+    meets = meets.otherwise(rank | ((F.col("my_group") == F.col("group")) & (F.col("members") > 1)))
+    meets &= (100 * F.col("most") >= percent * F.col("my_least")) & (percent * F.col("least") <= 100 * F.col("my_most"))
+    met = asking.join(matrix, "token").filter(meets).groupBy("my_group", "group", "my_members", "my_most", "least", "most")
+    whole = F.when(F.col("token") <= F.col("first_end"), F.col("my_slack"))  # up to there the prefixes of all members are known
+    met = met.agg(F.count(whole).alias("common"), F.count("*").alias("tokens"), F.max(whole).alias("widest"), F.min(whole).alias("last"))
+    # a class alone is bounded by its last common token; of several one may have only common tokens that are not whole
+    slack = F.when(F.col("my_members") == 1, F.col("last")).when(F.col("common") == F.col("tokens"), F.col("widest"))
+    reach = F.coalesce((100 + percent) * (F.col("common") - 1) + slack, 100 * F.col("my_most"))
+    pairs = materialize(met.filter(reach >= percent * F.col("least")).select("my_group", "group", "least", "most"))
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    members = grouped.select("class", "home", "n", F.col("group").alias("my_group"))
+    asked = materialize(members.join(pairs, "my_group").filter(fits).select("class", "home", "n", "group"))
+    held = materialize(grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "home", "group"))
+    for done in (matrix, grouped, pairs):
+        release(done)
+    return asked, held
 
 
 def _of_several(tokens: DataFrame) -> DataFrame:
-    """The rows of tokens that more than one class has, in one shuffle: runs of equal tokens in sorted partitions."""
+    """The rows of tokens that more than one class has, in one shuffle: runs of equal tokens in sorted partitions. Tokens
+    of a high rank go on unseen, dealt by token and class."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Batches) -> Batches:
         last: tuple | None = None  # the row before this batch, and whether it is out already
         for batch in batches:
             token, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -329,7 +401,7 @@ def _of_several(tokens: DataFrame) -> DataFrame:
             token, name, size = token[fresh], name[fresh], size[fresh]
             if not len(token):
                 continue
-            out = np.zeros(len(token), bool)
+            out = (token >> 55) >= _HOT_RANK
             same = token[1:] == token[:-1]
             out[1:] |= same
             out[:-1] |= same
@@ -343,7 +415,8 @@ def _of_several(tokens: DataFrame) -> DataFrame:
             last = (token[-1], name[-1], size[-1], bool(out[-1]))
             yield pa.record_batch([pa.array(np.concatenate([p[k] for p in parts]), pa.int64()) for k in range(3)], names=["token", "class", "at"])
 
-    dealt = tokens.select("token", "class", F.col("at").cast("long")).repartition("token").sortWithinPartitions("token", "class")
+    hot = F.when(F.shiftright("token", 55) >= _HOT_RANK, F.pmod(F.xxhash64("class"), F.lit(1024))).otherwise(0)
+    dealt = tokens.select("token", "class", F.col("at").cast("long")).repartition(F.col("token"), hot).sortWithinPartitions("token", "class")
     return dealt.mapInArrow(of, "token long, class long, at long")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chainloom.llm.common import materialize, small_batches
+from chainloom.llm.common import in_slices, materialize
 
 #: (length, how many) of the pieces of a sequence, in order, and how many sequences look so.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -246,10 +246,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     pieces are numbered within their length in salted buckets and find their place by number. Rows that repeat are
     packed each. No documents: no rows.
     """
-    rows = small_batches(docs).select(F.struct(*keep).alias("row"), "text")
+    rows = docs.select(F.struct(*keep).alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
     made = f"row {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), made))
+    pieces = materialize(rows.mapInArrow(in_slices(_pieces(tokenizer, capacity, end_id, with_ids)), made))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = _slots(plan(counts, capacity))
 

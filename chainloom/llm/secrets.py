@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import small_batches
+from chainloom.llm.common import in_slices
 
 from chainloom.llm.automaton import Automaton, Scanner, compile_rules, spans
 
@@ -82,7 +82,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[
     The automaton is compiled on the driver and goes to the tasks as arrays; a text of any length is one pass over its
     bytes. Null text: as empty, no spans. Rows that repeat are scanned each. No shuffle. No documents: no rows.
     """
-    rows = small_batches(docs).select(F.struct(*keep).alias("row"), "text")
+    rows = docs.select(F.struct(*keep).alias("row"), "text")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>"
     return rows.mapInArrow(_scan(automaton(tuple(rules)), tuple(rules)), schema).select("row.*", "spans")
 

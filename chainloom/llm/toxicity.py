@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import small_batches
+from chainloom.llm.common import in_slices
 
 # A general list of insults, phrases in which they are none, and look-alikes.
 INSULTS = (
@@ -141,10 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_si
     try:
         many = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
         n_toxic, n_clean = many.get(1, 0), many.get(0, 0)
-        toxic = texts.filter("toxic = 1").mapInArrow(_stems_of(*stem_sizes, None), "toxic int, stems array<string>")
+        toxic = texts.filter("toxic = 1").mapInArrow(in_slices(_stems_of(*stem_sizes, None)), "toxic int, stems array<string>")
         common = toxic.select(F.explode("stems").alias("stem")).groupBy("stem").count().filter(F.col("count") >= support)
         wanted = {s: k for k, s in enumerate({*INSULTS, *(r["stem"] for r in common.orderBy(F.desc("count"), "stem").limit(100_000).collect())})}
-        seen = texts.mapInArrow(_stems_of(*stem_sizes, wanted), "toxic int, stems array<int>")
+        seen = texts.mapInArrow(in_slices(_stems_of(*stem_sizes, wanted)), "toxic int, stems array<int>")
         clean_with = {r["stem"]: r["count"] for r in seen.filter("toxic = 0").select(F.explode("stems").alias("stem")).groupBy("stem").count().collect()}
         toxic_docs = [r["stems"] for r in seen.filter("toxic = 1").select("stems").collect()]
         toxic_with: dict[int, set[int]] = defaultdict(set)
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_si
         chosen = _cover({s: toxic_with[k] for s, k in wanted.items() if weight[s] >= least_weight}, weight, support, most_stems)
         weights = {s: max(1.0, weight[s] / least_weight) for s in INSULTS if not any(s.startswith(c) for c in chosen) and not clean_with.get(wanted[s], 0)} | {s: weight[s] / least_weight for s in chosen}
         lexicon = Lexicon(weights, found={s: len(toxic_with[wanted[s]]) for s in weights})
-        measured = texts.mapInArrow(_measured(lexicon), "toxic int, total double, words long").toPandas()
+        measured = texts.mapInArrow(in_slices(_measured(lexicon)), "toxic int, total double, words long").toPandas()
     finally:
         texts.unpersist()
     if not n_toxic or not n_clean:
@@ -202,5 +202,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Whole texts are matched in one pass each. Null and empty texts score as no hits do. Labels, lang, source and
     doc_id are no inputs. No shuffle; rows that repeat score alike. No documents: no rows.
     """
-    rows = small_batches(docs).select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(_scored(lexicon), f"row {rows.schema['row'].dataType.simpleString()}, score double, weight double")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return rows.mapInArrow(in_slices(_scored(lexicon)), f"row {rows.schema['row'].dataType.simpleString()}, score double, weight double")
