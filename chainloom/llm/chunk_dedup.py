@@ -1,9 +1,7 @@
-"""Substring dedup: runs of words with content-defined anchors from a gear rolling hash, compared by digest."""
+"""Substring dedup: content-defined chunks of words, cut by a gear rolling hash and compared by digest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,40 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.llm.common import id_or_none, in_slices, materialize, real_id
+from chainloom.llm.common import Batches, id_or_none, in_slices, materialize, real_id, release
 
-#: A random 32-bit number for each byte, from a fixed seed.
-GEAR = np.random.default_rng(20_240_229).integers(0, 2**32, 256, dtype=np.uint32)
 #: Words that an anchor depends on: 64 bits, shifted by 8 a word.
 ANCHOR_WORDS = 8
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash at each byte: h = 2 h + gear[byte] in 32 bits, so that it depends on the last 32 bytes. Sums of the
-    last 1, 2, 4, ... bytes are doubled in turn instead of going byte by byte."""
-    h = GEAR[data]
-    for width in (1, 2, 4, 8, 16):
-        h[width:] += h[:-width] << np.uint32(width)
-    return h
-
-
-def chunk_ends(data: bytes, mean_bits: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks: behind bytes at which the top mean_bits of the hash are zero, at least least bytes and at most
-    most bytes from the last end. Where two texts share more than a chunk, they soon cut at the same places."""
-    if not data:
-        return []
-    h = rolling(np.frombuffer(data, np.uint8))
-    ends, last = [], 0
-    for end in [*(np.flatnonzero(h < np.uint32(1 << (32 - mean_bits))) + 1).tolist(), len(data)]:
-        while end - last > most:
-            last += most
-            ends.append(last)
-        if end - last >= least or (end == len(data) and end > last):
-            last = end
-            ends.append(end)
-    return ends
-
-
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word starts and ends, and its 64-bit hash; words are what blanks part."""
     raw = np.frombuffer(data, np.uint8)
@@ -66,70 +36,111 @@ def anchors_of(hashes: np.ndarray, least_words: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(h[ANCHOR_WORDS - 1 :], width).min(axis=1).view(np.int64)
 
 
-def _anchors(least_words: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def chunks_of(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first run, last run) of each chunk: the runs that follow one another with one anchor, told by the word
+    they start at. A chunk's words are those of its runs, so chunks overlap and their number is about one for 22 words."""
+    anchors = anchors_of(hashes, least_words)
+    if not len(anchors):
+        return anchors, np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+    return anchors[starts], starts, np.append(starts[1:], len(anchors)) - 1
+
+
+_CHUNK = "anchor long, digest long, id long, key long, word int, last int, start int, end int"
+_RUN = "anchor long, digest long, id long, key long, word int, start int, end int"
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _chunks(least_words: int):
+    """(id, key, text) to the chunks of each text with the digest of their words."""
+
+    def of(batches: Batches) -> Batches:
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), [np.empty(0, np.int64)]
-            for text in batch.column(1).to_pylist():
-                found.append(np.unique(anchors_of(words_of((text or "").encode("utf-8", "surrogatepass"))[2], least_words)))
-            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, [len(x) for x in found[1:]]))], names=["anchor", "id"])
+            columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, ends, hashes = words_of(_bytes(text))
+                anchors, first, last = chunks_of(hashes, least_words)
+                view = memoryview(hashes.tobytes())
+                digests = [xxhash.xxh3_64_intdigest(view[8 * a : 8 * (b + least_words)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                found = (anchors, np.array(digests, np.uint64).view(np.int64), np.full(len(first), doc, np.int64), np.full(len(first), key, np.int64), *(x.astype(np.int32) for x in (first, last, starts[first], ends[last + least_words - 1])))
+                for column, values in zip(columns, found, strict=True):
+                    column.append(values)
+            if columns[0]:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=_names(_CHUNK))
 
     return of
 
 
 def _runs(least_words: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, text, anchors) to the runs whose anchor is one of these, with the digest of their words."""
+
+    def of(batches: Batches) -> Batches:
         for batch in batches:
-            for doc, text, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                starts, ends, hashes = words_of((text or "").encode("utf-8", "surrogatepass"))
-                at = np.flatnonzero(np.isin(anchors_of(hashes, least_words), np.array(anchors, np.int64)))
-                if not len(at):
-                    continue
+            for doc, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, ends, hashes = words_of(_bytes(text))
+                anchors = anchors_of(hashes, least_words)
+                at = np.flatnonzero(np.isin(anchors, np.array(wanted, np.int64)))
                 view = memoryview(hashes.tobytes())
-                digests = b"".join([xxhash.xxh3_128_digest(view[8 * k : 8 * (k + least_words)]) for k in at.tolist()])
-                both = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                columns = (both[:, 0], both[:, 1], np.full(len(at), doc, np.int64), at.astype(np.int32), starts[at].astype(np.int32), ends[at + least_words - 1].astype(np.int32))
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=["high", "low", "id", "word", "start", "end"])
+                digests = np.array([xxhash.xxh3_64_intdigest(view[8 * k : 8 * (k + least_words)]) for k in at.tolist()], np.uint64).view(np.int64)
+                columns = (anchors[at], digests, np.full(len(at), doc, np.int64), np.full(len(at), key, np.int64), *(x.astype(np.int32) for x in (at, starts[at], ends[at + least_words - 1])))
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=_names(_RUN))
 
     return of
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 def repeated_spans(docs: DataFrame, least_words: int = 50) -> DataFrame:
-    """Passages that repeat across documents, one row per passage and document that holds it: doc_id, start, end (bytes
-    of the UTF-8 text, end exclusive), words, first_doc_id (the smallest doc_id that holds its first least_words words),
-    keeps (whether that is this document).
+    """Passages that repeat across documents, one row per passage and text that holds it: doc_id, text_hash (Spark's
+    xxhash64 of the text, to tell texts of one doc_id apart), start, end (bytes of the UTF-8 text, end exclusive), words,
+    first_doc_id (the smallest doc_id that holds its first least_words words), keeps (whether that is this one).
 
     Words are what blanks part. A run of least_words words (8 at least) repeats if documents of at least two ids hold
     it; every such run is found, and what such runs cover is a passage, exact to the word at both ends, periodic texts
     included. Runs that this document keeps and runs that it doesn't are passages of their own, which may overlap.
-    Null and empty texts have no runs. Rows that repeat a doc_id are one document; a null doc_id counts as the smallest
-    and is returned as null. Texts of any length are read whole. No documents: no rows.
-
-    Anchors, content-defined by a gear hash over words, about one for 22 words, are compared first; only runs whose
-    anchor repeats are hashed. Anchors and digests are combined before their first shuffle, so that what many documents
-    hold is a row per task; what repeats is joined back, which Spark splits where a digest is frequent.
+    Null and empty texts have no runs. Rows that repeat a doc_id are one document, whose texts have passages each; rows
+    without a doc_id are one document, the smallest, returned as null. Texts of any length are read whole; texts
+    without blanks are one word and have no passages. No documents: no rows.
+
+    Each text is cut into content-defined chunks: runs whose smallest gear hash is the same. Where all chunks of an
+    anchor have one digest, the chunk repeats as a whole and no run of it is looked at. Only for anchors whose chunks
+    differ, that is, near the ends of passages, single runs are compared by digest. Counts combine before their shuffle,
+    so that what many documents hold is a row per task; what repeats is joined back, which Spark splits where an anchor
+    or a digest is frequent.
     """
     if least_words < ANCHOR_WORDS:
         raise ValueError(f"least_words is {ANCHOR_WORDS} at least")
-    texts = docs.select(id_or_none().alias("id"), "text")
-    anchors = texts.mapInArrow(in_slices(_anchors(least_words)), "anchor long, id long")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor")
-    of_doc = anchors.join(materialize(shared), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    runs = materialize(texts.join(of_doc, "id")).mapInArrow(in_slices(_runs(least_words)), "high long, low long, id long, word int, start int, end int")
-    repeated = runs.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    found = runs.join(materialize(repeated), ["high", "low"]).select("id", "word", "start", "end", "first", (F.col("id") == F.col("first")).alias("keeps"))
-    order = Window.partitionBy("id", "keeps").orderBy("word")
-    fresh = F.coalesce((F.col("word") > F.lag("word").over(order) + least_words).cast("int"), F.lit(1))
-    passages = found.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order)).groupBy("id", "keeps", "passage")
-    passages = passages.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + least_words).alias("words"), F.min_by("first", "word").alias("first"))
-    return passages.select(real_id("id").alias("doc_id"), "start", "end", "words", real_id("first").alias("first_doc_id"), "keeps")
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(id_or_none().alias("id"), F.xxhash64("text").alias("key"), "text")
+    chunks = materialize(texts.mapInArrow(in_slices(_chunks(least_words)), _CHUNK))
+    ends = [f("id").alias(name) for f, name in ((F.min, "first"), (F.max, "last_id"))]
+    known = chunks.groupBy("anchor").agg(*ends, F.min("digest").alias("a"), F.max("digest").alias("b"))
+    known = known.filter("first < last_id").select("anchor", "first", (F.col("a") == F.col("b")).alias("even"))
+    shared = materialize(chunks.join(materialize(known), "anchor").drop("digest"))
+    release(chunks)
+    wanted = shared.filter("not even").groupBy("id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    runs = materialize(texts.dropDuplicates(["id", "key"]).join(wanted, ["id", "key"]).mapInArrow(in_slices(_runs(least_words)), _RUN))
+    repeated = runs.groupBy("anchor", "digest").agg(*ends).filter("first < last_id").drop("last_id")
+    place = ("id", "key", "word", "last", "start", "end", "first")
+    found = runs.join(materialize(repeated), ["anchor", "digest"]).withColumn("last", F.col("word")).select(*place)
+    found = found.unionByName(shared.filter("even").select(*place)).withColumn("keeps", F.col("id") == F.col("first"))
+
+    order = Window.partitionBy("id", "key", "keeps").orderBy("word")
+    fresh = F.coalesce((F.col("word") > F.lag("last").over(order) + least_words).cast("int"), F.lit(1))
+    passages = found.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order)).groupBy("id", "key", "keeps", "passage")
+    passages = passages.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("word") + least_words).alias("words"), F.min_by("first", "word").alias("first"))
+    return passages.select(real_id("id").alias("doc_id"), F.col("key").alias("text_hash"), "start", "end", "words", real_id("first").alias("first_doc_id"), "keeps")
+
+
+def _without(batches: Batches) -> Batches:
     for batch in batches:
         out = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            data, at, kept = (text or "").encode("utf-8", "surrogatepass"), 0, []
+            data, at, kept = _bytes(text), 0, []
             for span in sorted(spans or [], key=lambda s: s["start"]):
                 kept.append(data[at : span["start"]])
                 at = max(at, span["end"])
@@ -140,6 +151,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per row of docs: row (a struct of all its columns) and kept_text, without the passages of spans that
     another document keeps; a character that a cut would split goes with it."""
-    lost = spans.filter(~F.col("keeps")).groupBy(id_or_none().alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.struct("*").alias("row"), "text", id_or_none().alias("id")).join(lost, "id", "left").select("row", "text", "spans")
+    mine = ["id", "key"]
+    lost = spans.filter(~F.col("keeps")).groupBy(id_or_none().alias("id"), F.col("text_hash").alias("key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), "text", id_or_none().alias("id"), F.xxhash64("text").alias("key")).join(lost, mine, "left").select("row", "text", "spans")
     return rows.mapInArrow(in_slices(_without), f"row {rows.schema['row'].dataType.simpleString()}, kept_text string")

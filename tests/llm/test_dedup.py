@@ -120,19 +120,15 @@ def test_ngrams_of_an_id_with_two_texts(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(4, 36, 4), (4, 36, 4), (9, 36, 4), (11, 35, 4)]
 
 
-def test_gear_chunks():
+def test_chunks():
+    """Chunks are the runs with one anchor: the least of the hashes h = 256 h + word in a run, of eight words each."""
     rng = random.Random(0)
-    for size in (0, 1, 23, 24, 100, 5000):
-        data = bytes(rng.choice(b"abcdef \n") for _ in range(size))
-        ends, last, h = [], 0, 0
-        for k, byte in enumerate(data):
-            h = ((h << 1) + int(chunk_dedup.GEAR[byte])) % 2**32
-            if k + 1 - last == 256 or (h < 2**28 and k + 1 - last >= 24):
-                last = k + 1
-                ends.append(last)
-        if last < size:
-            ends.append(size)
-        assert chunk_dedup.chunk_ends(data, 4, 24, 256) == ends
+    for size in (0, 7, 49, 50, 51, 400):
+        hashes = np.array([rng.choice([5, 7 << 40, rng.getrandbits(64)]) for _ in range(size)], np.uint64)
+        rolled = [sum(int(hashes[k - j]) << (8 * j) for j in range(8)) % 2**64 for k in range(7, size)]
+        anchors = [min(rolled[k : k + 43]) for k in range(size - 49)]
+        got = [(int(a) % 2**64, k) for a, first, last in zip(*chunk_dedup.chunks_of(hashes, 50), strict=True) for k in range(first, last + 1)]
+        assert got == [(a, k) for k, a in enumerate(anchors)]
 
 
 def test_repeated_passages(spark):
@@ -230,6 +226,19 @@ def brute_passages(docs, least=50):
     return covered
 
 
+def test_passages_of_repeated_and_missing_ids(spark):
+    """Texts under one doc_id, or under none, have their own passages and do not repeat each other."""
+    rng = random.Random(5)
+    passage, other = " ".join(words(rng, 60)), " ".join(words(rng, 55))
+    rows = [(1, passage), (4, f"{passage} end"), (4, " ".join(words(rng, 200))), (4, f"x {other}"), (4, f"y {other}"), (None, f"{other} z"), (None, f"q {other}"), (None, "n " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = chunk_dedup.repeated_spans(df)
+    got = sorted((r["doc_id"] or 0, r["words"], r["first_doc_id"] or 0, r["keeps"]) for r in spans.collect())
+    assert got == [(0, 55, 0, True)] * 2 + [(1, 60, 1, True)] + [(4, 55, 0, False)] * 2 + [(4, 60, 1, False)]
+    kept = sorted((r["row"]["doc_id"] or 0, r["kept_text"].strip()) for r in chunk_dedup.drop_repeats(df, spans).collect())
+    assert kept == sorted((d or 0, {rows[1][1]: "end", rows[3][1]: "x", rows[4][1]: "y"}.get(t, t).strip()) for d, t in rows)
+
+
 def test_every_passage_of_50_words_is_found(spark):
     rng, docs = random.Random(11), []
     for k in range(150):
