@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: iterative proportional fitting over cells, then calibrated sampling."""
+"""Mixing sources to target weights: bounded iterative proportional fitting over cells, then sampling."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.llm.common import materialize
+from chainloom.llm.common import materialize, release
 
 MARGINS = ("source", "lang", "topic")
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 #: Cells up to this many go to every task; more are joined by shuffle.
 BROADCAST_CELLS = 50_000
-CAP_ROUNDS = 8
+#: Sweeps over the margins before the fit is taken as it is, and how many of them are one job.
+MOST_SWEEPS, SWEEPS_A_JOB = 60, 10
 
 
 def token_weight(text: Column | str = "text") -> Column:
@@ -32,42 +33,66 @@ def topic_of(text: Column | str = "text") -> Column:
     )
 
 
-def rake(cells: DataFrame, margins: Sequence[str] = MARGINS, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = 6) -> DataFrame:
-    """cells(margins..., tokens) with weight: shares of all tokens, raked to the targets of each margin in turn, sweeps times.
+def wanted(cells: DataFrame, margin: str, budget: float, flatten: float = 0.7, given: Mapping[str, float] | None = None) -> DataFrame:
+    """(margin, to_margin): the tokens that each value shall have in the sample, budget of all tokens in all.
 
-    A margin's targets are the given shares, or else proportional to its tokens to the power flatten. Values without a
-    given share keep their own. The cells, one for each combination of values, fit one task, which needs no shuffle.
+    Shares are as given, or else proportional to the value's tokens to the power flatten; values without a given share
+    keep their own. No value can give more tokens than it has: those that fall short give all, and the others share what
+    is left in proportion. Values stand in the order in which they run out, so one pass over them settles who does. One
+    row per value goes through a window over all.
     """
-    out = cells.coalesce(1).withColumn("weight", F.col("tokens").cast("double"))
+    values = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("have"))
+    own = F.col("have") / F.sum("have").over(Window.partitionBy(F.lit(0)))
+    if given:
+        share = F.coalesce(F.create_map(*(F.lit(x) for pair in given.items() for x in pair))[F.col(margin)].cast("double"), own)
+    else:
+        share = F.pow("have", F.lit(flatten))
+    order = Window.partitionBy(F.lit(0)).orderBy("lasts", margin)
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(0))
+    rate = (budget * F.sum("have").over(everything) - F.coalesce(F.sum("have").over(before), F.lit(0.0))) / F.sum("share").over(after)
+    values = values.withColumn("share", F.greatest(share, F.lit(1e-12))).withColumn("lasts", F.col("have") / F.col("share")).withColumn("rate", rate)
+    fits = F.min(F.when(F.col("rate") <= F.col("lasts"), F.col("lasts"))).over(everything)
+    settled = F.coalesce(F.max(F.when(F.col("lasts") == fits, F.col("rate"))).over(everything), F.col("lasts"))
+    return values.select(margin, F.least("have", settled * F.col("share")).alias(f"to_{margin}"))
+
+
+def sweep(cells: DataFrame, margins: Sequence[str] = MARGINS) -> DataFrame:
+    """One step for each margin: the expected tokens of a value's cells scaled to what it shall have, no cell beyond its
+    own tokens."""
+    for m in margins:
+        cells = cells.withColumn("expected", F.least(F.col("tokens"), F.col("expected") * F.col(f"to_{m}") / F.sum("expected").over(Window.partitionBy(m))))
+    return cells
+
+
+def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-12) -> DataFrame:
+    """cells(margins..., tokens) with to_margin for each margin (see wanted), expected tokens and probability.
+
+    Raking and capping at probability 1 are one fit: sweeps go on until every margin is met within tolerance of all
+    tokens, or for MOST_SWEEPS where margins contradict each other; residuals() tells by how much. The cells, one for
+    each combination of values, fit one task, which needs no shuffle.
+    """
+    tokens = cells.agg(F.sum("tokens")).first()[0] or 0
+    out = cells.withColumn("tokens", F.col("tokens").cast("double")).withColumn("expected", budget * F.col("tokens"))
     for m in margins:
-        mine = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
-        out = out.withColumn(f"of_{m}", mine)
-        share = F.col(f"of_{m}") / F.sum("tokens").over(everything)
-        if targets and m in targets:
-            given = F.create_map(*(F.lit(x) for pair in targets[m].items() for x in pair))
-            out = out.withColumn(f"to_{m}", F.coalesce(given[F.col(m)].cast("double"), share))
-        else:
-            out = out.withColumn(f"to_{m}", F.pow(F.col(f"of_{m}"), F.lit(flatten)))
-        whole = F.sum(F.col(f"to_{m}") * F.col("tokens") / F.col(f"of_{m}")).over(everything)  # each value once
-        out = out.withColumn(f"to_{m}", F.col(f"to_{m}") / whole)
-    for _ in range(sweeps):
-        for m in margins:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"to_{m}") / F.sum("weight").over(Window.partitionBy(m)))
-    return out.select(*margins, "tokens", "weight")
-
-
-def calibrate(cells: DataFrame, budget: float) -> DataFrame:
-    """cells with probability: weight over tokens, scaled so that budget of all tokens is expected, and 1 at most."""
-    whole = Window.partitionBy(F.lit(0))
-    out = cells.withColumn("rate", F.col("weight") * F.sum("tokens").over(whole) / F.col("tokens")).withColumn("scale", F.lit(float(budget)))
-    for _ in range(CAP_ROUNDS):
-        capped = F.col("scale") * F.col("rate") >= 1
-        full = F.sum(F.when(capped, F.col("tokens")).otherwise(0)).over(whole)
-        part = F.sum(F.when(capped, 0.0).otherwise(F.col("scale") * F.col("rate") * F.col("tokens"))).over(whole)
-        want = budget * F.sum("tokens").over(whole)
-        out = out.withColumn("scale", F.col("scale") * F.when((part > 0) & (want > full), (want - full) / part).otherwise(1.0))
-    return out.withColumn("probability", F.least(F.lit(1.0), F.col("scale") * F.col("rate"))).drop("rate", "scale")
+        out = out.join(wanted(cells, m, budget, flatten, (targets or {}).get(m)), m)
+    out = materialize(out)
+    for _ in range(0, MOST_SWEEPS, SWEEPS_A_JOB):
+        before, out = out, out.coalesce(1)
+        for _ in range(SWEEPS_A_JOB):
+            out = sweep(out, margins)
+        out = materialize(out)
+        release(before)
+        off = max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
+        if off <= tolerance * tokens:
+            break
+    return out.withColumn("probability", F.least(F.lit(1.0), F.col("expected") / F.col("tokens")))
+
+
+def residuals(cells: DataFrame, margin: str) -> DataFrame:
+    """(margin, expected, wanted, off) of a raked table: how far each value is from what it shall have, in tokens."""
+    found = cells.groupBy(margin).agg(F.sum("expected").alias("expected"), F.first(f"to_{margin}").alias("wanted"))
+    return found.withColumn("off", F.col("expected") - F.col("wanted"))
 
 
 def draw(doc_id: Column | str = "doc_id", salt: str = "mix") -> Column:
@@ -76,18 +101,19 @@ def draw(doc_id: Column | str = "doc_id", salt: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{salt}"))), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = 0.6, sweeps: int = 6, salt: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = 0.6, salt: str = "mix") -> DataFrame:
     """One row per row of docs: row (a struct of all its columns), topic, tokens, probability, sampled.
 
-    Tokens are summed over all documents by source, language and topic, raked to the targets (see rake) and turned into
-    sampling probabilities (see calibrate); a document is sampled if its draw is below its cell's probability, so rows
-    that repeat a doc_id are sampled together. Null source, lang or text count as empty; an empty text weighs one token.
-    No documents: no rows. DataFrame operations only; the sums combine before their shuffle.
+    Tokens are summed over all documents by source, language and topic (the topic given, else a column topic, else
+    topic_of) and raked to the targets (see rake); a document is sampled if its draw is below its cell's probability, so
+    rows that repeat a doc_id are sampled together. Null source, lang or topic count as empty, as does a null text, and an
+    empty text weighs one token. No documents: no rows. DataFrame operations only; the sums combine before their shuffle.
     """
-    cell = [F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), (topic_of() if topic is None else topic).alias("topic")]
+    topic = topic if topic is not None else F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of()
+    cell = [F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), topic.alias("topic")]
     rows = docs.select(F.struct("*").alias("row"), *cell, token_weight().alias("tokens"), draw(salt=salt).alias("draw"))
-    sums = docs.select(*cell, token_weight().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    cells = materialize(calibrate(rake(sums, flatten=flatten, targets=targets, sweeps=sweeps), budget)).select(*MARGINS, "probability")
+    sums = materialize(docs.select(*cell, token_weight().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    cells = rake(sums, budget, flatten=flatten, targets=targets).select(*MARGINS, "probability")
     few = cells.count() <= BROADCAST_CELLS
     joined = rows.join(F.broadcast(cells) if few else cells, list(MARGINS))
     return joined.select("row", "topic", "tokens", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))

@@ -46,8 +46,8 @@ SELECT d.doc_id, license_id, coalesce(notices, '') AS notices FROM d LEFT JOIN w
 """
 
 
-def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0.6, sweeps: int = 6) -> str:
-    """The rows of mixing.mix as common table expressions, ending in mixed(doc_id, ..., probability, sampled)."""
+def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0.6) -> str:
+    """The rows of mixing.mix as common table expressions, ending in mixed(doc_id, ..., p, sampled)."""
     noise = " OR ".join(f"contains(t, '{x}')" for x in ("%%%", "&&&", "$$$", "***", "###"))
     digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {k + 1}, 1)) - 1) * {16 ** (7 - k)}::BIGINT" for k in range(8))
     steps = [
@@ -56,34 +56,30 @@ def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0
             CASE WHEN contains(t, ' | ') THEN 'table' WHEN {noise} THEN 'noise' WHEN length(t) < 400 THEN 'note'
                  WHEN length(t) > 20000 THEN 'book' ELSE 'prose' END AS topic,
             greatest(1, len(regexp_extract_all(t, '{mixing.WORD}'))) AS tokens, ({digits}) / {2**32}.0::DOUBLE AS draw FROM mix_d)""",
-        "mix_0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight FROM mix_e GROUP BY ALL)",
+        "mix_0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM mix_e GROUP BY ALL)",
+    ]
+    margins, swept = list(mixing.MARGINS), "r"
+    for m in margins:
+        steps += [
+            f"mix_{m} AS (SELECT {m}, sum(tokens) AS have, pow(sum(tokens), {flatten}) AS share FROM mix_0 GROUP BY {m})",
+            f"""mix_{m}_rate AS (SELECT *, have / share AS lasts, ({budget} * sum(have) OVER () - coalesce(sum(have) OVER (ORDER BY have / share, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(share) OVER (ORDER BY have / share, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM mix_{m})""",
+            f"mix_{m}_to AS (SELECT {m}, least(have, share * (SELECT rate FROM mix_{m}_rate WHERE rate <= lasts ORDER BY lasts, {m} LIMIT 1)) AS to_{m} FROM mix_{m})",
+        ]
+        swept = f"(SELECT * REPLACE (least(tokens, expected * to_{m} / sum(expected) OVER (PARTITION BY {m})) AS expected) FROM {swept})"
+    start = "mix_0 " + " ".join(f"JOIN mix_{m}_to USING ({m})" for m in margins)
+    columns = ", ".join([*margins, "tokens", *(f"to_{m}" for m in margins)])
+    steps += [
+        f"""r AS (SELECT 0 AS round, {columns}, {budget} * tokens AS expected FROM {start}
+            UNION ALL SELECT round + 1, {columns}, expected FROM {swept} WHERE round < {mixing.MOST_SWEEPS})""",
+        f"""mixed AS (SELECT doc_id, e.source, e.lang, topic, e.tokens, least(1.0, expected / c.tokens) AS p, draw < least(1.0, expected / c.tokens) AS sampled
+        FROM mix_e e JOIN (SELECT * FROM r WHERE round = {mixing.MOST_SWEEPS}) c USING (source, lang, topic))""",
     ]
-    margins = list(mixing.MARGINS)
-    steps.append("mix_1 AS (SELECT *, " + ", ".join(f"sum(tokens) OVER (PARTITION BY {m}) AS of_{m}" for m in margins) + " FROM mix_0)")
-    steps.append("mix_2 AS (SELECT *, " + ", ".join(f"pow(of_{m}, {flatten}) / sum(pow(of_{m}, {flatten}) * tokens / of_{m}) OVER () AS to_{m}" for m in margins) + " FROM mix_1)")
-    last = "mix_2"
-    for k in range(sweeps):
-        for m in margins:
-            steps.append(f"mix_{k}_{m} AS (SELECT * REPLACE (weight * to_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM {last})")
-            last = f"mix_{k}_{m}"
-    steps.append(f"mix_s AS (SELECT *, weight * sum(tokens) OVER () / tokens AS rate, {budget}::DOUBLE AS scale FROM {last})")
-    last = "mix_s"
-    for k in range(mixing.CAP_ROUNDS):
-        steps.append(
-            f"""mix_s{k} AS (SELECT * EXCLUDE (want, whole, part) REPLACE (scale * CASE WHEN part > 0 AND want > whole THEN (want - whole) / part ELSE 1 END AS scale) FROM (
-            SELECT *, {budget} * sum(tokens) OVER () AS want, sum(CASE WHEN scale * rate >= 1 THEN tokens ELSE 0 END) OVER () AS whole,
-                   sum(CASE WHEN scale * rate >= 1 THEN 0 ELSE scale * rate * tokens END) OVER () AS part FROM {last}))"""
-        )
-        last = f"mix_s{k}"
-    steps.append(
-        f"""mixed AS (SELECT doc_id, e.source, e.lang, topic, e.tokens, least(1.0, scale * rate) AS p, draw < least(1.0, scale * rate) AS sampled
-        FROM mix_e e JOIN {last} c USING (source, lang, topic))"""
-    )
     return ",\n".join(steps)
 
 
 MIXING = f"""
-WITH {mixing_sql()}
+WITH RECURSIVE {mixing_sql()}
 SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, sampled FROM mixed
 """
 
