@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -12,9 +11,11 @@ import numpy as np
 
 
 class _Nfa:
-    """States are numbers; moves[s] holds (set of bytes, next state), free[s] the next states without a byte."""
+    """States are numbers; moves[s] holds (set of bytes, next state), free[s] the next states without a byte. A backward
+    one reads what the expressions match from its end."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
+        self._turn = (lambda tree: reversed(list(tree))) if backward else iter
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.free: list[list[int]] = []
 
@@ -25,7 +26,7 @@ class _Nfa:
 
     def add(self, tree: Iterable, at: int, either_case: bool) -> int:
         """Append a parsed expression behind state at; the state behind it."""
-        for op, arg in tree:
+        for op, arg in self._turn(tree):
             if op in (sre.LITERAL, sre.IN):
                 to = self.state()
                 self.moves[at].append((_bytes_of(op, arg, either_case), to))
@@ -91,7 +92,8 @@ def _bytes_of(op, arg, either_case: bool) -> frozenset[int]:
 class Automaton:
     """table[state, class of a byte] is the next state; accepts[state] names the rules whose match ends there.
 
-    State 0 is the start. The automaton searches: whatever came before, a rule is reported wherever a match ends.
+    State 0 is the start. An automaton that searches reports a rule wherever a match ends (for a backward one: begins),
+    whatever came before; one that doesn't, only matches from its start on, and dead is the state that none follows.
     """
 
     names: tuple[str, ...]
@@ -100,10 +102,10 @@ class Automaton:
     accepts: tuple[tuple[int, ...], ...]
 
 
-def compile_rules(rules: Iterable[tuple[str, str, bool]]) -> Automaton:
+def compile_rules(rules: Iterable[tuple[str, str, bool]], backward: bool = False, search: bool = True) -> Automaton:
     """(name, expression, either case) of each rule to one minimal automaton: an automaton with free moves for each
     rule, subset construction over byte classes, then merging of states that nothing tells apart."""
-    nfa, begins, ends, names = _Nfa(), [], {}, []
+    nfa, begins, ends, names = _Nfa(backward), [], {}, []
     for k, (name, expression, either_case) in enumerate(rules):
         names.append(name)
         begins.append(nfa.state())
@@ -119,7 +121,7 @@ def compile_rules(rules: Iterable[tuple[str, str, bool]]) -> Automaton:
         accepts.append(tuple(sorted(ends[s] for s in now if s in ends)))
         row = []
         for byte in sample:
-            to = nfa.closed([t for s in now for chars, t in nfa.moves[s] if byte in chars]) | start
+            to = nfa.closed([t for s in now for chars, t in nfa.moves[s] if byte in chars]) | (start if search else frozenset())
             if to not in index:
                 index[to] = len(order)
                 order.append(to)
@@ -144,41 +146,73 @@ def _minimal(names: tuple[str, ...], classes: bytes, table: np.ndarray, accepts:
 
 
 class _Hit:
-    """A row of the table that notes the rules whose match ends in its state."""
+    """A row of the table that notes that a rule was found."""
 
-    __slots__ = ("row", "rules", "seen")
+    __slots__ = ("row", "seen")
 
-    def __init__(self, row: list, rules: tuple[int, ...], seen: set[int]) -> None:
-        self.row, self.rules, self.seen = row, rules, seen
+    def __init__(self, row: list, seen: list) -> None:
+        self.row, self.seen = row, seen
 
     def __getitem__(self, kind: int):
-        self.seen.update(self.rules)
+        self.seen[0] = True
         return self.row[kind]
 
 
 class Scanner:
-    """Runs an automaton over byte strings. Each row of its table holds the next rows themselves, so that a byte costs
-    one look-up."""
-
-    def __init__(self, automaton: Automaton) -> None:
-        self._classes, self._seen, self._names = automaton.classes, set(), automaton.names
-        rows: list[list] = [[] for _ in automaton.accepts]
-        states = [_Hit(row, rules, self._seen) if rules else row for row, rules in zip(rows, automaton.accepts, strict=True)]
-        for row, nexts in zip(rows, automaton.table.tolist(), strict=True):
+    """The spans of all rules in a text: one pass of their backward automaton over the bytes tells where matches begin,
+    and from there the rule's own automaton runs to the longest end. Rows of the table of the first hold the next rows
+    themselves, so that a byte costs one look-up; places are noted in a second pass, of texts with a match."""
+
+    def __init__(self, begins: Automaton, ends: Sequence[Automaton]) -> None:
+        self._begins, self._seen = begins, [False]
+        rows: list[list] = [[] for _ in begins.accepts]
+        states = [_Hit(row, self._seen) if rules else row for row, rules in zip(rows, begins.accepts, strict=True)]
+        for row, nexts in zip(rows, begins.table.tolist(), strict=True):
             row.extend(states[t] for t in nexts)
-        self._start = states[0]
-
-    def rules_in(self, data: bytes) -> list[str]:
-        """Names of the rules that match somewhere, in the rules' order, after one pass over the bytes."""
-        self._seen.clear()
-        state = self._start
-        for kind in data.translate(self._classes):
+        self._start, self._table = states[0], begins.table.tolist()
+        self._forward = [(a.classes, a.table.tolist(), [bool(x) for x in a.accepts], _dead(a)) for a in ends]
+
+    def begins(self, data: bytes) -> dict[int, list[int]]:
+        """For each rule found the places where a match begins, in order."""
+        kinds = data.translate(self._begins.classes)[::-1]
+        self._seen[0], state = False, self._start
+        for kind in kinds:
             state = state[kind]
-        if isinstance(state, _Hit):
-            self._seen.update(state.rules)
-        return [self._names[k] for k in sorted(self._seen)]
-
-
-def spans(pattern: re.Pattern, text: str, least: int, group: int = 0) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping matches of which the group has least characters or more, in code points."""
-    return [m.span() for m in pattern.finditer(text) if len(m.group(group)) >= least]
+        if not self._seen[0] and not isinstance(state, _Hit):
+            return {}
+        found: dict[int, list[int]] = {}
+        table, accepts, now = self._table, self._begins.accepts, 0
+        for k, kind in enumerate(kinds, 1):
+            now = table[now][kind]
+            for rule in accepts[now]:
+                found.setdefault(rule, []).append(len(data) - k)
+        return {rule: places[::-1] for rule, places in found.items()}
+
+    def end(self, rule: int, data: bytes, start: int) -> int:
+        """The longest end of the rule's match that begins at start."""
+        classes, table, accepts, dead = self._forward[rule]
+        now, end = 0, start
+        for k in range(start, len(data)):
+            now = table[now][classes[data[k]]]
+            if now == dead:
+                break
+            if accepts[now]:
+                end = k + 1
+        return end
+
+    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, rule, end) in bytes of the leftmost, longest matches of each rule that do not overlap."""
+        found = []
+        for rule, places in self.begins(data).items():
+            last = 0
+            for start in places:
+                if start >= last:
+                    last = self.end(rule, data, start)
+                    found.append((start, rule, last))
+        return sorted(found)
+
+
+def _dead(automaton: Automaton) -> int:
+    """The state that accepts nothing and leads to itself alone, or -1."""
+    table, accepts = automaton.table, automaton.accepts
+    return next((s for s in range(len(table)) if not accepts[s] and (table[s] == s).all()), -1)

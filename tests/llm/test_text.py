@@ -18,11 +18,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_automaton_finds_what_the_expressions_find():
-    rules = [("a", "ab*c", False), ("b", "(x|yz)[0-9]{2}", True), ("c", "q?rs", False)]
-    scanner, rng = Scanner(compile_rules(rules)), random.Random(0)
-    for _ in range(3000):
-        text = "".join(rng.choice("abcxyz019qrsXY") for _ in range(rng.randrange(12)))
-        assert scanner.rules_in(text.encode()) == [n for n, e, i in rules if re.search(e, text, re.I * i)]
+    rules = [("a", "ab*c", False), ("b", "(x|yz)[0-9]{2}", True), ("c", "q?rs+", False), ("d", "[0-9]{3,}", False)]
+    scanner = Scanner(compile_rules(rules, backward=True), [compile_rules([r], search=False) for r in rules])
+    rng = random.Random(0)
+    for _ in range(5000):
+        text = "".join(rng.choice("abbcxyz01yqrssXY") for _ in range(rng.randrange(14)))
+        want = sorted((m.start(), k, m.end()) for k, (_, e, i) in enumerate(rules) for m in re.finditer(e, text, re.I * i))
+        assert scanner.spans(text.encode()) == want
 
 
 def brute_spans(text):
@@ -43,6 +45,9 @@ def test_secrets(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1))
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_secrets(df).collect()}
     assert got == {k: brute_spans(t or "") for k, t in enumerate(texts)}
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_secrets(many).collect()}
+    assert found == {r["doc_id"]: brute_spans(r["text"] or "") for r in many.collect()}
     assert secrets.scan_secrets(df.limit(0)).count() == 0
     assert secrets.redact("a token = 'abcdefghijkl' b", brute_spans("a token = 'abcdefghijkl' b")) == "a [assign]' b"
 
