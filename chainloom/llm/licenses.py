@@ -75,18 +75,19 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     Texts are compared by the SHA-256 of their canonical form, so case, punctuation, copyright lines and equivalent
     spellings make no difference, and a text of any length costs one digest for each line and one for all. Empty and
-    null texts match nothing. Of several licences with one text the first by name counts. Rows that repeat a doc_id have
-    their findings together; extra columns are not read. The digests are hash-joined with the known ones, which Spark
+    null texts match nothing. Of several licences with one text the first by name counts. Each row has the findings
+    of its own text, also where rows repeat a doc_id or have none; extra columns are not read. The digests are hash-joined with the known ones, which Spark
     broadcasts only if they are small. No documents: no rows. DataFrame operations only.
     """
-    lines = docs.select(id_or_none().alias("id"), _lines(canonical()).alias("lines")).filter(F.size("lines") > 0)
+    row = [id_or_none().alias("id"), F.xxhash64("text").alias("key")]  # tells texts of one id apart
+    lines = docs.select(*row, _lines(canonical()).alias("lines")).filter(F.size("lines") > 0)
     whole = F.struct(F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.lit(True).alias("whole"))
     each = F.transform(F.array_distinct("lines"), lambda x: F.struct(F.sha2(x, 256).alias("digest"), F.lit(False).alias("whole")))
-    units = lines.select("id", F.explode(F.concat(F.array(whole), each)).alias("unit")).select("id", "unit.*")
+    units = lines.select("id", "key", F.explode(F.concat(F.array(whole), each)).alias("unit")).select("id", "key", "unit.*")
     one = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    found = units.join(one, "digest").groupBy("id").agg(
+    found = units.join(one, "digest").groupBy("id", "key").agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
     )
-    out = docs.select(id_or_none().alias("id")).join(found, "id", "left")
+    out = docs.select(*row).join(found, ["id", "key"], "left")
     return out.select(real_id("id").alias("doc_id"), "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

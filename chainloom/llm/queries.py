@@ -45,7 +45,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out() -> Column:
     """Rows that no fit may use the label of."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def learned_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Lexicon:

@@ -36,7 +36,7 @@ LICENSES = f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id
   FROM (SELECT col0 AS license_id, sha256(array_to_string({_canonical("col1")}, ' ')) AS digest
-        FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}))
+        FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.known_texts())}))
   GROUP BY digest),
 d AS (SELECT doc_id, {_canonical("text")} AS ls FROM documents),
 whole AS (SELECT doc_id, min(license_id) AS license_id FROM d JOIN known ON digest = sha256(array_to_string(ls, ' ')) WHERE len(ls) > 0 GROUP BY doc_id),

@@ -28,6 +28,10 @@ LOOKALIKES = {
 }
 
 
+#: The log of odds that weighs 1.
+_UNIT = 3.0
+
+
 class _Folds(dict):
     """Letters stay, look-alikes become Latin, marks and invisible characters go, all else is a space."""
 
@@ -70,9 +74,13 @@ class Matcher:
         """(sum of the weights of the hits outside exceptions, words)."""
         folded = fold(text)
         hits = [(end - size + 1, end, weight) for end, (size, weight) in self._automaton.iter(folded)]
-        spared = [(a, b) for a, b, weight in hits if not weight]
-        total = sum(w for a, b, w in hits if w and not any(x <= a and b <= y for x, y in spared))
-        return float(total), folded.count(" ") if len(folded) > 1 else 0
+        total, reach = 0.0, -1  # of the phrases that begin no later, the farthest end
+        for start, order, end, weight in sorted((a, bool(w), b, w) for a, b, w in hits):
+            if not order:
+                reach = max(reach, end)
+            elif end > reach:
+                total += weight
+        return total, folded.count(" ") if len(folded) > 1 else 0
 
     def score(self, text: str) -> float:
         return float(_curve(np.array([self.measure(text)]), self._curve)[0])
@@ -126,14 +134,16 @@ def _measured(lexicon: Lexicon):
     return of
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_sizes: tuple[int, int] = (4, 8), support: int = 5, least_weight: float = 3.0, most_stems: int = 500) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_sizes: tuple[int, int] = (4, 8), support: int = 5, least_odds: float = 2.0) -> Lexicon:
     """A lexicon with weights and a calibration from labelled rows: docs(doc_id, text), labels(doc_id, toxic).
 
-    The bounded sample is the sample_rows rows of labels with the smallest hash of doc_id. From its toxic documents come
-    word beginnings that support of them or more have; a weight is the log of how much more often toxic documents have
-    it than others. A greedy cover takes the stem that adds most toxic documents, until none adds support of them; so
-    words that only copies of one document share do not enter beside the stem that explains them. Insults of the fixed
-    list that the sample does not contradict are added. No labels: the fixed list with a default calibration.
+    The bounded sample is the sample_rows rows of labels with the smallest hash of doc_id; all else is bounded by it.
+    From its toxic documents come the word beginnings that support of them or more have; a weight is the log of how much
+    more often toxic documents have a stem than others, and stems whose weight is least_odds or more even after taking
+    off two standard errors are taken, so that chance finds in few documents are not. A greedy cover
+    takes the stem that adds most toxic documents, until none adds support of them; so words that only copies of one
+    document share do not enter beside the stem that explains them. Insults of the fixed list that the sample does not
+    contradict are added. No labels: the fixed list with a default calibration.
     """
     rows = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -141,19 +151,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_si
     try:
         many = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
         n_toxic, n_clean = many.get(1, 0), many.get(0, 0)
-        toxic = texts.filter("toxic = 1").mapInArrow(in_slices(_stems_of(*stem_sizes, None)), "toxic int, stems array<string>")
-        common = toxic.select(F.explode("stems").alias("stem")).groupBy("stem").count().filter(F.col("count") >= support)
-        wanted = {s: k for k, s in enumerate({*INSULTS, *(r["stem"] for r in common.orderBy(F.desc("count"), "stem").limit(100_000).collect())})}
-        seen = texts.mapInArrow(in_slices(_stems_of(*stem_sizes, wanted)), "toxic int, stems array<int>")
-        clean_with = {r["stem"]: r["count"] for r in seen.filter("toxic = 0").select(F.explode("stems").alias("stem")).groupBy("stem").count().collect()}
-        toxic_docs = [r["stems"] for r in seen.filter("toxic = 1").select("stems").collect()]
+        stems = texts.mapInArrow(in_slices(_stems_of(*stem_sizes, None)), "toxic int, stems array<string>")
+        counts = stems.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
+        weighed = counts.withColumn("weight", F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("fine") + 0.5) / (n_clean + 1)))
+        sure = F.col("weight") - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("fine") + 0.5)) >= least_odds
+        listed = F.col("stem").isin(list(INSULTS))
+        found = weighed.filter(((F.col("bad") >= support) & sure) | listed).select("*", sure.alias("sure")).orderBy("stem").collect()
+        weight = {s: float(np.log(0.5 / (n_toxic + 1)) - np.log(0.5 / (n_clean + 1))) for s in INSULTS} | {r["stem"]: r["weight"] for r in found}
+        clean_with, sure_ones = {r["stem"]: r["fine"] for r in found}, {r["stem"] for r in found if r["sure"] and r["bad"] >= support}
+        wanted = {s: k for k, s in enumerate(sorted(weight))}
+        seen = texts.filter("toxic = 1").mapInArrow(in_slices(_stems_of(*stem_sizes, wanted)), "toxic int, stems array<int>")
         toxic_with: dict[int, set[int]] = defaultdict(set)
-        for d, stems in enumerate(toxic_docs):
-            for s in stems:
+        for d, r in enumerate(seen.select("stems").toLocalIterator()):
+            for s in r["stems"]:
                 toxic_with[s].add(d)
-        weight = {s: float(np.log((len(toxic_with[k]) + 0.5) / (n_toxic + 1)) - np.log((clean_with.get(k, 0) + 0.5) / (n_clean + 1))) for s, k in wanted.items()}
-        chosen = _cover({s: toxic_with[k] for s, k in wanted.items() if weight[s] >= least_weight}, weight, support, most_stems)
-        weights = {s: max(1.0, weight[s] / least_weight) for s in INSULTS if not any(s.startswith(c) for c in chosen) and not clean_with.get(wanted[s], 0)} | {s: weight[s] / least_weight for s in chosen}
+        chosen = _cover({s: toxic_with[k] for s, k in wanted.items() if s in sure_ones}, weight, support)
+        weights = {s: max(1.0, weight[s] / _UNIT) for s in INSULTS if not any(s.startswith(c) for c in chosen) and not clean_with.get(s)} | {s: weight[s] / _UNIT for s in chosen}
         lexicon = Lexicon(weights, found={s: len(toxic_with[wanted[s]]) for s in weights})
         measured = texts.mapInArrow(in_slices(_measured(lexicon)), "toxic int, total double, words long").toPandas()
     finally:
@@ -164,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, stem_si
     return Lexicon(weights, curve=curve, found=lexicon.found)
 
 
-def _cover(docs_with: dict[str, set[int]], weight: Mapping[str, float], support: int, most: int) -> list[str]:
+def _cover(docs_with: dict[str, set[int]], weight: Mapping[str, float], support: int) -> list[str]:
     """Stems by the toxic documents they add, each count checked again before it is taken; of equals the longest."""
     import heapq
 
@@ -172,7 +185,7 @@ def _cover(docs_with: dict[str, set[int]], weight: Mapping[str, float], support:
     heapq.heapify(heap)
     covered: dict[int, int] = defaultdict(int)
     chosen: list[str] = []
-    while heap and len(chosen) < most:
+    while heap:
         gain, size, stem = heapq.heappop(heap)
         now = -sum(covered[d] == 0 for d in docs_with[stem])
         if -now < support:
