@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import materialize
+from chainloom.llm.common import Batches, in_slices, materialize, release
 from chainloom.llm.components import components
 from chainloom.llm.vectors import matrix, packed, unpacked, usable
 
 _SLACK = 1e-9
+#: Components of the sample that centres are fitted on, and products held at once when vectors are compared with centres.
+_SAMPLE_VALUES, _PRODUCTS = 4_000_000, 4_000_000
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -32,10 +33,12 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -
 
 
 def fit_cells(vectors: DataFrame, sample_rows: int, cell_rows: int) -> dict[tuple, np.ndarray]:
-    """Centres by (group, dimension), fitted on the sample_rows vectors with the smallest hash; a group has one centre
-    for each cell_rows of its vectors, as far as its share of the sample allows (8 rows a centre)."""
-    total = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("label", F.size("v").alias("dim"), "v").collect()
+    """Centres by (group, dimension), fitted on a bounded sample: the vectors with the smallest hash, sample_rows of them
+    and _SAMPLE_VALUES components at most. A group has one centre for each cell_rows of its vectors, as far as its share
+    of the sample allows (8 rows a centre); beyond that cells grow with the input, and the result stays exact."""
+    ends = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    total, sample_rows = ends["n"], min(sample_rows, _SAMPLE_VALUES // max(1, ends["dim"] or 1))
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("label", F.size("v").alias("dim"), "v").collect()
     groups: dict[tuple, list] = {}
     for r in sample:
         groups.setdefault((r["label"], r["dim"]), []).append(r["v"])
@@ -48,6 +51,14 @@ def fit_cells(vectors: DataFrame, sample_rows: int, cell_rows: int) -> dict[tupl
     return fitted
 
 
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """Distances between unit centres, in single precision and in place: up to 2e-3 off."""
+    found = centres @ centres.T
+    found *= -2
+    found += 2
+    return np.sqrt(np.maximum(found, 0, out=found), out=found)
+
+
 def _assign(fitted: dict[tuple, np.ndarray], least: float):
     """Each vector at home in its nearest cell, and a guest in every later cell that can hold a vector linked with it.
 
@@ -55,32 +66,33 @@ def _assign(fitted: dict[tuple, np.ndarray], least: float):
     lies on c's side of the plane halfway between them, so x is at most d from that plane: x(h - c) <= d |h - c|.
     """
     reach = math.sqrt(2 - 2 * least) + _SLACK
+    names = ["id", "label", "dim", "cell", "home", "n", "v"]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "label", "dim", "cell", "home", "n", "v"]
+    def of(batches: Batches) -> Batches:
+        apart: dict[tuple, np.ndarray] = {}
         for batch in batches:
             ids, labels, dims, counts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3))
-            for dim in np.unique(dims):
-                for label in np.unique(labels[dims == dim]):
-                    mine = np.flatnonzero((dims == dim) & (labels == label))
+            for label, dim in sorted({(int(a), int(b)) for a, b in zip(labels, dims, strict=True)}):
+                centres = fitted.get((label, dim))
+                if centres is None:
+                    centres = np.zeros((1, dim))
+                if (label, dim) not in apart:
+                    apart = {(label, dim): _apart(centres.astype(np.float32))}
+                all_mine = np.flatnonzero((dims == dim) & (labels == label))
+                for mine in np.array_split(all_mine, math.ceil(len(all_mine) * len(centres) / _PRODUCTS)):
                     x = matrix(batch.column(4).take(pa.array(mine)))
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
                     unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                    centres = fitted.get((int(label), int(dim)))
-                    if centres is None:
-                        centres = np.zeros((1, dim))
                     cosines = unit @ centres.T
                     home = np.argmax(cosines, axis=1)
-                    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-                    short = cosines[np.arange(len(x)), home][:, None] - cosines <= reach * apart[home] + _SLACK
+                    # single precision only widens what counts as near
+                    short = cosines[np.arange(len(x)), home][:, None] - cosines <= reach * (apart[label, dim][home] + 2e-3) + _SLACK
                     short &= np.arange(len(centres))[None, :] > home[:, None]
                     row, cell = np.nonzero(short)
                     row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
                     at_home = np.arange(len(row)) < len(x)
-                    yield pa.record_batch(
-                        [pa.array(ids[mine][row]), pa.array(labels[mine][row].astype(np.int64)), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(at_home), pa.array(counts[mine][row]), packed(unit[row])],
-                        names=names,
-                    )
+                    columns = [pa.array(ids[mine][row]), pa.array(np.full(len(row), label)), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(at_home), pa.array(counts[mine][row])]
+                    yield pa.record_batch([*columns, packed(unit[row])], names=names)
 
     return of
 
@@ -124,7 +136,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     other rows linked directly, component_id is the smallest vec_id reachable, and kept marks it. Vectors that are null,
     empty, zero or hold null or non-finite components, have a null label or a null id link with nothing (n_links 0,
     themselves as component, kept). Vectors of different dimension don't link. Equal vectors are compared once. Rows
-    that repeat a vec_id count as rows of their own under one id. No vectors: no rows.
+    that repeat a vec_id count as rows of their own: each has the links of its own vector, and the smallest vec_id of
+    its component. No vectors: no rows.
 
     The cells only decide which blocks meet: a vector is also compared in every cell that can hold one of its links, so
     the result is exact for any cells. Cells are compared in blocks of block_rows and a task gets two blocks; counts and
@@ -134,9 +147,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     rows = rows.withColumn("ok", usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.concat_ws(",", F.col("v").cast("array<string>"))), 256)))
     good = rows.filter("ok")
-    distinct = materialize(good.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
+    distinct = materialize(good.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()))
     fitted = fit_cells(distinct, sample_rows, cell_rows)
-    assigned = distinct.select("vec_id", "label", F.size("v").alias("dim"), "n", "v").mapInArrow(_assign(fitted, least), "id long, label long, dim int, cell int, home boolean, n long, v binary")
+    assigned = distinct.select("node", "label", F.size("v").alias("dim"), "n", "v").mapInArrow(in_slices(_assign(fitted, least)), "id long, label long, dim int, cell int, home boolean, n long, v binary")
     assigned = materialize(assigned)
     cell = ["label", "dim", "cell"]
     sizes = assigned.groupBy(*cell, "home").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -155,8 +168,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     linked = materialize(dealt.groupBy(*cell, "i", "j", "g").applyInPandas(_block_links(least), "id long, root long, n_links long"))
     counts = linked.groupBy("id").agg(F.sum("n_links").alias("others"))
     groups = components(linked.select("id", "root"), "id", "root")
-    per_class = distinct.select("digest", "vec_id", "n").join(counts, distinct["vec_id"] == counts["id"], "left").join(groups, F.col("vec_id") == F.col("node"), "left")
-    per_class = materialize(per_class.select("digest", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    per_class = distinct.select("digest", "node", "vec_id", "n").join(counts, F.col("node") == counts["id"], "left").join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    per_class = per_class.select("digest", "vec_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    per_class = materialize(per_class)
+    smallest = per_class.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    per_class = per_class.join(smallest, "component").select("digest", "n_links", "component_id")
+    for done in (assigned, linked):
+        release(done)
     out = rows.select("vec_id", "digest").join(per_class, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.llm import chunk_dedup, embedding_dedup, line_dedup, ngram_join, vptree
+from chainloom.llm import chunk_dedup, embedding_dedup, line_dedup, ngram_join, queries, vptree
 from chainloom.llm.components import components
 
 
@@ -175,6 +175,29 @@ def test_near_vectors(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in copies) == [(2, 3, 2)] + [(3, 3, 2)] * 3
 
 
+def test_vectors_under_one_id(spark):
+    """Each row has the links of its own vector, also where an id comes with several."""
+    rows = [(5, 1, [1.0, 0.0]), (5, 1, [0.0, 1.0]), (6, 1, [1.0, 0.01]), (7, 1, [0.01, 1.0])]
+    got = embedding_dedup.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+
+
+def test_near_vector_query(spark, tmp_path):
+    """The query over a table with planted copies, against all pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 64))
+    x = np.concatenate([base, base[:150] + 0.1 * rng.normal(size=(150, 64)), base[:40]]).astype(np.float32)
+    labels = np.concatenate([rng.integers(0, 4, 400)] * 2)[: len(x)]
+    labels[400:550], labels[550:] = labels[:150], labels[:40]
+    spark.createDataFrame([(k, v.tolist(), int(y)) for k, (v, y) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(linked, False)
+    groups = union([(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)], range(len(x)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.op1_embedding_dedup(spark, str(tmp_path)).collect()}
+    assert linked.sum() > 300 and got == {k: (int(linked[k].sum()), groups[k], groups[k] == k) for k in range(len(x))}
+
+
 def test_trees(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 6))
