@@ -230,6 +230,9 @@ def test_nearest(spark):
         every[q] = np.inf
         order = np.lexsort((np.arange(300), every))[:10]
         assert [found[k + 1] for k in range(10)] == [(int(o), float(every[o])) for o in order]
+    relaxed = vptree.nearest(vectors(spark, rows), F.col("vec_id") % 3 == 0, factor=1.3, shard_rows=40, query_rows=20, leaf=8).collect()
+    hits = sum(r["vec_id"] in np.lexsort((np.arange(300), np.where(np.arange(300) == r["query_id"], np.inf, np.sqrt(((x[r["query_id"]] - x) ** 2).sum(axis=1)))))[:10] for r in relaxed)
+    assert len(relaxed) == 1000 and hits >= 900
     few = vptree.nearest(vectors(spark, rows[:4]), F.col("vec_id") == 0)
     assert few.count() == 3
     assert vptree.nearest(vectors(spark, []).limit(0), F.col("vec_id") == 0).count() == 0
