@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping, Sequence
+import re
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,9 +60,12 @@ def keccak256(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class Param:
+    """A parameter; parts are the members of a tuple, and the type spells them out, as signatures do."""
+
     name: str
     type: str
     indexed: bool = False
+    parts: tuple[Param, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -95,11 +99,14 @@ def events_of(description: str | Iterable[Mapping]) -> dict[str, Event]:
     found: dict[str, Event] = {}
     for e in entries:
         if e.get("type") == "event" and not e.get("anonymous"):
-            params = tuple(Param(p.get("name") or f"_{k}", _type_of(p), bool(p.get("indexed"))) for k, p in enumerate(e.get("inputs", ())))
-            found.setdefault(e["name"], Event(e["name"], params))
+            found.setdefault(e["name"], Event(e["name"], _params(e.get("inputs", ()))))
     return found
 
 
+def _params(entries: Iterable[Mapping]) -> tuple[Param, ...]:
+    return tuple(Param(p.get("name") or f"_{k}", _type_of(p), bool(p.get("indexed")), _params(p.get("components", ()))) for k, p in enumerate(entries))
+
+
 def selector(signature: str) -> str:
     return "0x" + keccak256(signature.encode()).hex()[:8]
 
@@ -119,24 +126,65 @@ def _value(word: Column, kind: str) -> Column:
     if kind.startswith("uint"):
         return F.conv(F.right(word, F.lit(8)), 16, 10).cast("long") if int(kind[4:] or 256) <= 32 else u256.decimal_text(word)
     if kind.startswith("int"):
-        negative = F.substring(word, 1, 1) > "7"
-        flipped = F.translate(word, "0123456789abcdef", "fedcba9876543210")
         if int(kind[3:] or 256) <= 32:
-            low = lambda w: F.conv(F.right(w, F.lit(8)), 16, 10).cast("long")
-            return F.when(negative, -low(flipped) - 1).otherwise(low(word))
-        low = u256.small(flipped)
-        return F.when(negative, F.concat(F.lit("-"), (low + 1).cast("decimal(38,0)").cast("string"))).otherwise(u256.decimal_text(word))
+            low = F.conv(F.right(word, F.lit(8)), 16, 10).cast("long")
+            return F.when(F.substring(word, 1, 1) > "7", low - 2**32).otherwise(low)
+        return u256.signed_text(word)
     if kind.startswith("bytes") and kind != "bytes":
         return F.concat(F.lit("0x"), F.substring(word, 1, 2 * int(kind[5:])))
     raise AbiError(f"{kind} is not a static type")
 
 
-def _tail(data: Column, place: Column, kind: str) -> Column:
-    """Dynamic bytes or text behind the head, at the offset that the word at place holds."""
-    number = lambda at: F.conv(F.substring(data, at, 16), 16, 10).cast("long").cast("int")
-    offset = number(place + 48) * 2 + 1
-    raw = F.substring(data, offset + 64, number(offset + 48) * 2)
-    return F.decode(F.unhex(raw), "UTF-8") if kind == "string" else F.concat(F.lit("0x"), raw)
+_ARRAY = re.compile(r"(.+)\[(\d*)\]$")
+
+
+def _size(p: Param) -> int | None:
+    """Words of a static parameter; None for a dynamic one, which has an offset in its place."""
+    if found := _ARRAY.match(p.type):
+        inner = _size(_element(p))
+        return inner * int(found[2]) if inner is not None and found[2] else None
+    if p.parts:
+        sizes = [_size(x) for x in p.parts]
+        return None if None in sizes else sum(sizes)
+    return None if p.type in ("bytes", "string") else 1
+
+
+def _element(p: Param) -> Param:
+    return Param(p.name, _ARRAY.match(p.type)[1], parts=p.parts)
+
+
+def _number(data: Column, at: Column) -> Column:
+    """The number in the word at a place (hex digits from 0) where offsets and lengths stand; null beyond the data."""
+    found = F.conv(F.substring(data, at + 49, F.lit(16)), 16, 10).cast("decimal(20,0)")
+    return F.when(found * 2 <= F.length(data), found.cast("int"))
+
+
+def _read(data: Column, at: Column, base: Column, p: Param) -> Column:
+    """The parameter whose head is at a place; offsets count from base, the place of the tuple or array around it."""
+    size = _size(p)
+    if size is None:
+        at = base + 2 * _number(data, at)
+    if found := _ARRAY.match(p.type):
+        element = _element(p)
+        count = F.lit(int(found[2])) if found[2] else _number(data, at)
+        first = at if found[2] else at + 64
+        step = 64 * (_size(element) or 1)
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).when(count == 0, F.array().cast("array<int>"))
+        return F.transform(places, lambda k: _read(data, first + k * step, first, element))
+    if p.parts:
+        return F.struct(*(_read(data, place, at, x).alias(x.name) for x, place in _places(at, p.parts)))
+    if p.type in ("bytes", "string"):
+        raw = F.substring(data, at + 65, 2 * _number(data, at))
+        return F.decode(F.unhex(raw), "UTF-8") if p.type == "string" else F.concat(F.lit("0x"), raw)
+    return _value(F.substring(data, at + 1, F.lit(64)), p.type)
+
+
+def _places(at: Column, params: Iterable[Param]) -> Iterator[tuple[Param, Column]]:
+    """The members of a tuple with the places of their heads."""
+    words = 0
+    for p in params:
+        yield p, at + 64 * words
+        words += _size(p) or 1
 
 
 def event_filter(event: Event, values: Mapping[str, Sequence] | None = None, topics: str = "topics") -> Column:
@@ -160,24 +208,46 @@ def encode(value, kind: str) -> str:
     return "0x" + (text.ljust(64, "0") if kind.startswith("bytes") else text.rjust(64, "0"))
 
 
-def decode(logs: DataFrame, events: Sequence[Event], topics: str = "topics", data: str = "data") -> DataFrame:
-    """logs with event (the name of the first event that matches, others go) and for each event a struct of its
-    parameters, null on logs of others. All by column expressions: static words are cut from the data by place, and
-    dynamic text and bytes by the offset they give; indexed dynamic parameters are their hash."""
+def same_topics(events: Iterable[Event]) -> list[tuple[str, str]]:
+    """Pairs of events that no log can tell apart: the same topic and number of indexed parameters."""
+    seen: dict[tuple[str, int], str] = {}
+    return [(seen[key], e.name) for e in events if (key := (e.topic, len(e.indexed))) in seen or seen.setdefault(key, e.name) != e.name]
+
+
+def decode(logs: DataFrame, events: Sequence[Event], topics: str = "topics", data: str = "data", on_error: str = "fail") -> DataFrame:
+    """logs with event (the name of the event that matches, others go) and for each event a struct of its parameters,
+    null on logs of others. All by column expressions: static words are cut from the data by place; text, bytes, arrays
+    and tuples are followed by the offsets they give, whatever their nesting. Indexed parameters that do not fit a topic
+    are their hash. Two events that no log can tell apart are refused.
+
+    Data that end before an event's head do: on_error 'fail' ends the job, 'drop' leaves the log out, 'keep' keeps it
+    without values; the last adds decode_error, which counts what was suppressed.
+    """
+    if twice := same_topics(events):
+        raise AbiError(f"no log tells these events apart: {twice}")
     body = F.regexp_replace(F.lower(F.col(data)), "^0x", "")
     name = reduce(lambda acc, e: F.coalesce(acc, F.when(event_filter(e, topics=topics), F.lit(e.name))), events, F.lit(None).cast("string"))
+    heads = {e.name: sum(_size(p) or 1 for p in e.params if not p.indexed) for e in events}
+    need = reduce(lambda acc, item: F.when(F.col("event") == item[0], 64 * item[1]).otherwise(acc), heads.items(), F.lit(0))
     named = logs.withColumn("event", name).filter(F.col("event").isNotNull())
+    short = F.coalesce(F.length(body), F.lit(0)) < need
+    if on_error == "drop":
+        named = named.filter(~short)
+    elif on_error == "keep":
+        named = named.withColumn("decode_error", F.when(short, F.lit("data end early")))
+    else:
+        named = named.withColumn("event", F.when(short, F.raise_error(F.concat(F.lit("data of a log end early: "), F.col("event")))).otherwise(F.col("event")))
     columns = []
     for e in events:
-        parts, topic_at, word_at = [], 1, 0
+        parts, topic_at = {}, 1
         for p in e.params:
             if p.indexed:
                 word = F.regexp_replace(F.lower(F.get(topics, F.lit(topic_at))), "^0x", "")
                 topic_at += 1
-                parts.append((_value(word, p.type) if p.type not in ("string", "bytes") else F.concat(F.lit("0x"), word)).alias(p.name))
-            else:
-                place = 64 * word_at + 1
-                word_at += 1
-                parts.append((_tail(body, F.lit(place), p.type) if p.type in ("string", "bytes") else _value(F.substring(body, place, 64), p.type)).alias(p.name))
-        columns.append(F.when(F.col("event") == e.name, F.struct(*parts)).alias(e.name))
+                hashed = p.parts or _ARRAY.match(p.type) or p.type in ("string", "bytes")
+                parts[p.name] = F.concat(F.lit("0x"), word) if hashed else _value(word, p.type)
+        start = F.lit(0)
+        parts |= {p.name: _read(body, place, start, p) for p, place in _places(start, [p for p in e.params if not p.indexed])}
+        mine = (F.col("event") == e.name) & ~short if on_error == "keep" else F.col("event") == e.name
+        columns.append(F.when(mine, F.struct(*(parts[p.name].alias(p.name) for p in e.params))).alias(e.name))
     return named.select(*named.columns, *columns)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainloom.errors import DeepForkError, StaleCanonicalError
+from chainloom.errors import StaleCanonicalError
 
 
 @dataclass(frozen=True, order=True)
@@ -29,29 +29,27 @@ def rollback_chain(headers: DataFrame, number: str, floor: int) -> DataFrame:
     return headers.filter(F.col(number) > floor).orderBy(F.desc(number))
 
 
-def resolve_fork(chain: Sequence[Block], canonical: Sequence[Block], finalized: Block | None = None, cursor: Block | None = None) -> Block:
-    """The newest block of ours that the source still has, by hash; its rows stay.
+def resolve_fork(records: Iterable[tuple[Sequence[Block], Block | None]], canonical: Sequence[Block], cursor: Block | None = None) -> Block | None:
+    """The newest block of ours that the source still has, by hash; its rows stay. None if there is no such block.
 
-    Ours are walked newest first and canonical blocks at or above the one visited are dropped when it does not match. When
-    no canonical block is left, the block visited is returned, to ask from there; a result below the finalized block is
-    none, and at the end the finalized block itself stands in. A handful of headers: the chain above the floor.
+    records, newest first: the chain above a finalized block, and that block. Our blocks are visited newest first, and
+    canonical blocks that are no older than one visited in vain can match no more. A block reached when none can match
+    is contradicted by nothing: it is returned, to ask from there, unless it is below the finalized block. Where exactly
+    one canonical block is left after a record and it is the finalized one, that stands in. A handful of headers each.
     """
     if cursor and canonical and max(b.number for b in canonical) < cursor.number:
         raise StaleCanonicalError(f"canonical blocks end before the cursor {cursor.number}")
-    known = {b.hash: b for b in canonical if b.hash is not None}
-    left = sorted(canonical)
-    for block in sorted(chain, reverse=True):
-        if finalized and block.number < finalized.number:
-            break
-        if block.hash is not None and block.hash in known and known[block.hash].number == block.number:
-            return block
-        while left and left[-1].number >= block.number:
-            left.pop()
-        if not left:
-            return block
-    if finalized:
-        return finalized
-    raise DeepForkError("no block of the chain is canonical")
+    left = {b.hash: b.number for b in canonical if b.hash is not None}
+    for chain, finalized in records:
+        for block in sorted(chain, key=lambda b: b.number, reverse=True):
+            if block.hash is not None and block.hash in left:
+                return Block(left[block.hash], block.hash)
+            if not left:
+                return None if finalized and block.number < finalized.number else block
+            left = {h: n for h, n in left.items() if n < block.number}
+        if chain and finalized and list(left) == [finalized.hash]:
+            return finalized
+    return None
 
 
 def common_block(chain: DataFrame, canonical: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
-from chainloom.errors import SinkError
+from chainloom.errors import DeepForkError, SinkError
 from chainloom.operators.forks import Block, resolve_fork
 from chainloom.sinks.fs import Folder
 
@@ -67,4 +67,7 @@ class StateLog:
     def fork(self, canonical: Sequence[Block]) -> Block:
         """The block that stays after a fork."""
         _, now = self.load()
-        return resolve_fork(now.chain, canonical, now.floor, now.cursor)
+        safe = resolve_fork([(now.chain, now.floor)], canonical, now.cursor)
+        if safe is None:
+            raise DeepForkError("no block of the chain is canonical")
+        return safe

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.errors import DeepForkError, DiscriminatorError, StaleCanonicalError
+from chainloom.errors import AbiError, DiscriminatorError, StaleCanonicalError
 from chainloom.functions import scalars, u256
 from chainloom.functions.abi import ERC20, Event, Param, decode, encode, event_filter, events_of, keccak256, selector
 from chainloom.functions.borsh import TOKEN_PROGRAM, Instruction, b58_to_hex, check_discriminators, decode_instructions, hex_to_b58
@@ -20,24 +20,51 @@ def chain(*names):
     return [Block(int("".join(c for c in n if c.isdigit())), n) for n in names]
 
 
+def old(*names):
+    """Blocks of a chain that another one replaced."""
+    return [Block(b.number, f"{b.hash}-old") for b in chain(*names)]
+
+
 @pytest.mark.parametrize(
-    ("ours", "canonical", "floor", "want"),
+    ("records", "canonical", "want"),
     [
-        (chain("1", "2", "3", "4", "5"), chain("2", "3", "4a", "5a"), Block(1, "1"), Block(3, "3")),
-        (chain("1", "2", "3"), chain("1", "2", "3"), None, Block(3, "3")),
-        (chain("5", "6", "7"), chain("6a", "7a"), Block(2, "2"), Block(6, "6")),
-        (chain("2", "3"), chain("1", "2a", "3a"), Block(1, "1"), Block(1, "1")),
+        ([(chain("5", "6", "7"), Block(4, "4"))], chain("5", "6a", "7a"), Block(5, "5")),
+        ([(old("5", "6"), Block(4, "4"))], chain("5", "6"), None),
+        ([([], Block(4, "4"))], chain("5", "6"), None),
+        ([], chain("5", "6"), None),
+        ([(old("6"), Block(5, "5"))], chain("5", "6"), Block(5, "5")),
+        ([(old("7"), Block(5, "5"))], chain("5", "6"), None),
+        ([(chain("8", "9", "10"), Block(7, "7")), (chain("5", "6", "7"), Block(4, "4"))], chain("8", "9a", "10a"), Block(8, "8")),
+        ([(old("8", "9"), Block(7, "7x")), (chain("6", "7"), Block(5, "5"))], chain("6", "7", "8", "9"), Block(7, "7")),
+        ([([], Block(9, "9")), ([], Block(7, "7")), (chain("5", "6"), Block(4, "4"))], chain("5", "6a"), Block(5, "5")),
+        ([(chain("5", "6", "7"), Block(3, "3"))], chain("7a"), Block(6, "6")),
+        ([(old("3"), Block(5, "5"))], chain("3"), None),
+        ([(chain("5", "6"), Block(4, "4")), (chain("3", "4"), Block(2, "2"))], chain("5", "6a"), Block(5, "5")),
+        ([(chain("5"), Block(4, "4"))], chain("5"), Block(5, "5")),
+        ([(chain("5", "6"), Block(4, "4"))], chain("10", "11"), Block(5, "5")),
+        ([(chain("5"), None)], chain("5"), Block(5, "5")),
+        ([(old("5"), None)], chain("5"), None),
+        ([(chain("3", "4", "5"), Block(1, "1"))], chain("4a", "5a"), Block(3, "3")),
+        ([(chain("1", "2", "3", "4", "5"), Block(1, "1"))], chain("2", "3", "4a", "5a"), Block(3, "3")),
+        ([(chain("2", "3"), Block(1, "1"))], chain("1a", "2a", "3a"), None),
+        ([(chain("2"), Block(1, "1"))], chain("1", "2a"), Block(1, "1")),
     ],
 )
-def test_fork(ours, canonical, floor, want):
-    assert resolve_fork(ours, canonical, floor) == want
+def test_fork(records, canonical, want):
+    assert resolve_fork(records, canonical) == want
+
+
+def test_fork_reads_no_more_records_than_it_needs():
+    def records():
+        yield chain("5", "6"), Block(4, "4")
+        raise AssertionError
 
+    assert resolve_fork(records(), chain("5", "6a")) == Block(5, "5")
 
-def test_fork_errors():
-    with pytest.raises(DeepForkError):
-        resolve_fork([], chain("1"))
+
+def test_stale_canonical_blocks():
     with pytest.raises(StaleCanonicalError):
-        resolve_fork(chain("1", "2"), chain("1"), cursor=Block(2, "2"))
+        resolve_fork([(chain("1", "2"), None)], chain("1"), cursor=Block(2, "2"))
 
 
 def test_floor_never_falls(spark):
@@ -122,6 +149,41 @@ def test_decode(spark):
     assert logs.filter(event_filter(event, {"who": "0x" + "cd" * 20})).count() == 0
 
 
+def word(n):
+    return (n % 2**256).to_bytes(32, "big").hex()
+
+
+@pytest.mark.parametrize("n", [0, 5, -5, -(2**126), -(2**126) - 1, -(2**200), 2**200 + 7, -(2**255), 2**255 - 1])
+def test_signed_words(spark, n):
+    event = Event("E", (Param("x", "int256"),))
+    logs = spark.createDataFrame([([event.topic], "0x" + word(n))], "topics array<string>, data string")
+    plan = decode(logs, [event])
+    assert plan.first()["E"]["x"] == str(n)
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decode_arrays_and_tuples(spark):
+    legs = (Param("who", "address"), Param("note", "string"))
+    event = Event("Batch", (Param("ids", "uint256[]"), Param("pair", "int8[2]"), Param("legs", "(address,string)[]", parts=legs), Param("fixed", "(uint8,bool)", parts=(Param("a", "uint8"), Param("b", "bool"))), Param("grid", "uint8[][]")))
+    text = lambda t: word(len(t)) + t.encode().hex().ljust(64 * (-(-len(t) // 32)), "0")
+    leg = lambda n, t: word(n) + word(64) + text(t)
+    ids, tuples = word(2) + word(7) + word(2**200), word(2) + word(64) + word(64 + len(leg(1, "a")) // 2) + leg(1, "a") + leg(2, "x" * 40)
+    grid = word(2) + word(64) + word(128) + word(1) + word(9) + word(0)
+    head, tails, at = [], "", 32 * 7
+    for part in (ids, -3, 4, tuples, 200, 1, grid):
+        head.append(word(part if isinstance(part, int) else at + len(tails) // 2))
+        tails += part if isinstance(part, str) else ""
+    logs = spark.createDataFrame([(1, [event.topic], "0x" + "".join(head) + tails), (2, [event.topic], "0x" + "".join(head)[:100])], "n int, topics array<string>, data string")
+    got = decode(logs, [event], on_error="keep").orderBy("n").collect()
+    assert got[0]["Batch"].asDict(True) == {"ids": ["7", str(2**200)], "pair": [-3, 4], "legs": [{"who": f"0x{1:040x}", "note": "a"}, {"who": f"0x{2:040x}", "note": "x" * 40}], "fixed": {"a": 200, "b": True}, "grid": [[9], []]}
+    assert got[1]["Batch"] is None and got[1]["decode_error"]
+    assert decode(logs, [event], on_error="drop").count() == 1
+    with pytest.raises(Exception, match="end early"):
+        decode(logs, [event]).collect()
+    with pytest.raises(AbiError):
+        decode(logs, [event, Event("Batch", event.params)])
+
+
 def test_u256(spark):
     values = [0, 1, 2**64 - 1, 2**126 - 1, 2**126, 2**255 + 17, 2**256 - 1]
     df = spark.createDataFrame([(hex(v),) for v in values], "h string").withColumn("w", u256.word("h"))
