@@ -29,6 +29,11 @@ def rollback_chain(headers: DataFrame, number: str, floor: int) -> DataFrame:
     return headers.filter(F.col(number) > floor).orderBy(F.desc(number))
 
 
+def rollback_chains(headers: DataFrame, number: str, floors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for many pipes: headers above the floor of their keys."""
+    return headers.join(floors.select(*keys, F.col("floor").alias("_floor")), list(keys)).filter(F.col(number) > F.col("_floor")).select(*headers.columns)
+
+
 def resolve_fork(records: Iterable[tuple[Sequence[Block], Block | None]], canonical: Sequence[Block], cursor: Block | None = None) -> Block | None:
     """The newest block of ours that the source still has, by hash; its rows stay. None if there is no such block.
 

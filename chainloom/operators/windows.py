@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chainloom.operators.revisions import sequenced
+
 
 def tumbling(rows: DataFrame, at: str, size: str, keys: Sequence[str], *aggregates: Column, slide: str | None = None) -> DataFrame:
     """Aggregates by window of event time and keys: keys, window_start, window_end and the aggregates. With a slide a row
@@ -46,11 +48,26 @@ def window_messages(windows: DataFrame, keys: Sequence[str], values: Sequence[st
     return windows.select(name.alias("id"), kind.alias("change_type"), *values)
 
 
-def frame_sums(rows: DataFrame, order: Sequence[str], rows_back: int, sums: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
-    """Sums over the current row and the rows before it, rows_back in all, with the first and last of the order column."""
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows_back, 0)
-    first = F.first(order[0]).over(window)
-    return rows.select("*", *(F.sum(c).over(window).alias(name) for name, c in sums.items()), (F.col(order[0]) - first).alias("span"))
+def frame_sums(rows: DataFrame, order: Sequence[str], rows_back: int, sums: dict[str, str], keys: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """Sums over the current row and the rows before it, rows_back in all, with the first and last of the order column.
+
+    Frames by keys are windows. Frames over all rows need a bucket, a column that rises with the order: rows are numbered
+    through it, cut into ranges of equal length, and each range also gets the rows that end the one before it, so no
+    task has all rows.
+    """
+    columns = rows.columns
+    if bucket is None:
+        window = Window.partitionBy(*keys).orderBy(*order)
+    else:
+        size, place = 100 * rows_back, F.col("_n") - 1
+        rows = sequenced(rows.withColumn("_b", bucket), "_b", order, name="_n").withColumn("_range", F.floor(place / size))
+        ends = place % size > size - rows_back
+        rows = rows.withColumn("_in", F.explode(F.when(ends, F.array("_range", F.col("_range") + 1)).otherwise(F.array("_range"))))
+        window = Window.partitionBy("_in").orderBy("_n")
+    window = window.rowsBetween(1 - rows_back, 0)
+    span = F.col(order[0]) - F.first(order[0]).over(window)
+    found = rows.select("*", *(F.sum(c).over(window).alias(name) for name, c in sums.items()), span.alias("span"))
+    return found if bucket is None else found.filter("_in = _range").select(*columns, *sums, "span")
 
 
 def histogram(rows: DataFrame, value: str, bounds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chainloom.functions import u256
 from chainloom.functions.abi import ERC20, decode, encode, event_filter
 from chainloom.functions.scalars import block_name, data_prefix, row_id, seconds, sequence_hex, status_class, topic_address
-from chainloom.operators.forks import common_block, head_lag, running_floor
+from chainloom.operators.forks import common_block, head_lag, rollback_chains, running_floor
 from chainloom.operators.registry import allowed, first_registrations, of_children
 from chainloom.operators.revisions import apply_changes, cancel_rows, compensate, earliest_per_key, fork_delete, latest_per_key, net, newest, numbered, sequenced, undo, without
 from chainloom.operators.windows import frame_sums, histogram, sessions, tumbling, window_messages, with_empty
@@ -80,7 +80,7 @@ def q_log_filter(spark, sf_dir):
 e AS (SELECT start, coalesce(stop, 9223372036854775806) AS stop, name FROM r),
 c AS (SELECT DISTINCT x FROM (SELECT start AS x FROM e UNION ALL SELECT stop + 1 FROM e)),
 s AS (SELECT x AS start, lead(x) OVER (ORDER BY x) - 1 AS stop FROM c)
-SELECT s.start::BIGINT AS start, s.stop::BIGINT AS stop, string_agg(name, ',' ORDER BY name) AS names FROM s JOIN e ON e.start <= s.start AND s.stop <= e.stop GROUP BY ALL""")
+SELECT s.start::BIGINT AS start, nullif(s.stop, 9223372036854775806)::BIGINT AS stop, string_agg(name, ',' ORDER BY name) AS names FROM s JOIN e ON e.start <= s.start AND s.stop <= e.stop GROUP BY ALL""")
 def q_range_merge(spark, sf_dir):
     rows = [(0, 100, "a"), (50, 150, "b"), (150, 150, "c"), (300, None, "d"), (400, 500, "e")]
     return split_overlaps(spark.createDataFrame(rows, "start long, stop long, name string"))
@@ -172,9 +172,10 @@ def q_prefix_ancestors(spark, sf_dir):
     return related(rows.filter("key % 7 = 0"), rows, Relation("trace", ("tx",), "path", "parents")).select("tx", "key")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 48)")
 def q_anti_gc(spark, sf_dir):
-    return without(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    live = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 48")
+    return without(table(spark, sf_dir, "part"), live.select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"]).select("p_partkey")
 
 
 _SIGNED = """(SELECT l_orderkey AS tx, l_partkey AS address, l_returnflag AS topic0, 1 AS sign FROM lineitem
@@ -216,12 +217,20 @@ def q_keep_newest_n(spark, sf_dir):
 
 @query("""SELECT number, max(CASE WHEN number % 7 = 0 THEN number - 12 END) OVER (ORDER BY number ROWS UNBOUNDED PRECEDING) AS floor, number > 600 AS above
 FROM (SELECT DISTINCT event_id // 10 AS number FROM events)""")
-def q_rollback_chain(spark, sf_dir):
+def q_running_floor(spark, sf_dir):
     headers = table(spark, sf_dir, "events").select(whole("event_id", 10).alias("number")).distinct()
     batches = headers.withColumn("finalized", F.when(F.col("number") % 7 == 0, F.col("number") - 12))
     return running_floor(batches, "number", "finalized").select("number", "floor", (F.col("number") > 600).alias("above"))
 
 
+@query("""WITH h AS (SELECT DISTINCT user_id % 20 AS pipe, event_id // 10 AS number FROM events)
+SELECT pipe, number FROM h JOIN (SELECT pipe, max(number) - 40 AS floor FROM h GROUP BY pipe) USING (pipe) WHERE number > floor""")
+def q_rollback_chain(spark, sf_dir):
+    headers = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("pipe"), whole("event_id", 10).alias("number")).distinct()
+    floors = headers.groupBy("pipe").agg((F.max("number") - 40).alias("floor"))
+    return rollback_chains(headers, "number", floors, ["pipe"])
+
+
 @query(f"SELECT block_number, count(*) AS n FROM {_LOGS} WHERE block_number <= 300 OR block_number > 420 GROUP BY block_number")
 def q_fork_delete(spark, sf_dir):
     return fork_delete(logs(spark, sf_dir), "block_number", 300, 420).groupBy("block_number").agg(F.count("*").alias("n"))
@@ -244,7 +253,7 @@ def q_progress(spark, sf_dir):
     status = F.when(F.col("user_id") % 10 == 0, 429).when(F.col("user_id") % 10 == 1, 503).otherwise(200)
     rows = table(spark, sf_dir, "events").select("event_id", status_class(status).alias("c"))
     rows = rows.select("event_id", *((F.col("c") == c).cast("long").alias(name) for c, name in (("success", "s"), ("rate_limited", "l"))))
-    return frame_sums(rows, ["event_id"], 100, {"ok": "s", "limited": "l"}).select("event_id", "ok", "limited", "span")
+    return frame_sums(rows, ["event_id"], 100, {"ok": "s", "limited": "l"}, bucket=whole("event_id", 1000)).select("event_id", "ok", "limited", "span")
 
 
 _VALUE = "sum(value::DECIMAL(18,2))::DOUBLE AS total"
@@ -318,11 +327,13 @@ def q_pre_post(spark, sf_dir):
     return rows.filter("owner is not null")
 
 
-@query(f"""WITH w AS (SELECT topic0, block_number // 100 AS k, count(*) AS n FROM {_LOGS} WHERE address % 50 = 0 GROUP BY ALL)
-SELECT t.topic0, (k * 100)::BIGINT AS start, (k * 100 + 99)::BIGINT AS stop, coalesce(n, 0) AS n_rows FROM (SELECT DISTINCT topic0 FROM w) t CROSS JOIN (SELECT unnest(range(0, 15)) AS k) LEFT JOIN w USING (topic0, k)""")
+@query(f"""WITH l AS (SELECT address % 40 AS kind, topic0, block_number FROM {_LOGS}), m AS (SELECT max(block_number) AS top FROM l),
+w AS (SELECT kind, topic0, block_number // 20 AS k, count(*) AS n FROM l GROUP BY ALL)
+SELECT t.kind, t.topic0, (k * 20)::BIGINT AS start, least(k * 20 + 19, top)::BIGINT AS stop, coalesce(n, 0) AS n_rows FROM (SELECT DISTINCT kind, topic0 FROM l) t
+CROSS JOIN (SELECT unnest(range(0, (SELECT top // 20 + 1 FROM m))) AS k) CROSS JOIN m LEFT JOIN w USING (kind, topic0, k)""")
 def q_coverage(spark, sf_dir):
-    rows = logs(spark, sf_dir).filter("address % 50 = 0 and block_number < 1500")
-    return coverage_windows(rows, ["topic0"], "block_number", 100, Range(0, 1499))
+    rows = logs(spark, sf_dir).select((F.col("address") % 40).alias("kind"), "topic0", "block_number")
+    return coverage_windows(rows, ["kind", "topic0"], "block_number", 20, Range(0, rows.agg(F.max("block_number")).first()[0]))
 
 
 @query(f"SELECT tx, (row_number() OVER (ORDER BY block_number, transaction_index) + 1000)::BIGINT AS seq FROM {_TXS}")
@@ -348,9 +359,9 @@ def q_decode_transfer(spark, sf_dir):
     return found.select("tx", "l_linenumber", F.col("Transfer.from").alias("from_address"), F.col("Transfer.to").alias("to_address"), F.col("Transfer.value").alias("value"))
 
 
-@query("""SELECT o_orderkey // 10 AS number, o_orderkey % 3 AS node, (o_orderkey % 3 + 1) * 250 AS delay_ms FROM orders WHERE o_orderkey % 10 < 3""")
+@query("""SELECT o_orderkey // 10 AS number, o_orderkey % 3 AS node, (o_orderkey % 3 + 1) * 250 AS delay_ms FROM orders""")
 def q_head_lag(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 3")
+    rows = table(spark, sf_dir, "orders")
     number, node = whole("o_orderkey", 10), F.col("o_orderkey") % 3
     at = F.timestamp_millis(F.lit(1_700_000_000_000) + 1000 * number)
     batches = rows.select(number.alias("number"), at.alias("at")).distinct()
@@ -384,12 +395,12 @@ def q_index_in_block(spark, sf_dir):
     return numbered(transactions(spark, sf_dir), ["block_number"], ["tx"]).select("block_number", "tx", "index")
 
 
-@query("""WITH images AS (SELECT o_custkey AS k, o_orderkey // 10 AS block_number, CASE WHEN o_orderkey % 4 = 0 THEN 'INSERT' ELSE 'UPDATE' END AS op, o_orderkey AS v FROM orders WHERE o_orderkey >= 8000),
+@query("""WITH images AS (SELECT o_custkey AS k, o_orderkey // 10 AS block_number, CASE WHEN o_orderkey % 4 = 0 THEN 'INSERT' ELSE 'UPDATE' END AS op, o_orderkey AS v FROM orders),
 f AS (SELECT k, min_by(op, (block_number, v)) AS op, min_by(v, (block_number, v)) AS v FROM images WHERE block_number > 900 GROUP BY k)
 SELECT c_custkey AS k, -1::BIGINT AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM f) UNION ALL SELECT k, v FROM f WHERE op <> 'INSERT'""")
 def q_undo(spark, sf_dir):
     current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"))
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey >= 8000 and floor(o_orderkey / 10) > 900")
+    rows = table(spark, sf_dir, "orders")
     images = rows.select(F.col("o_custkey").alias("k"), whole("o_orderkey", 10).alias("block_number"), F.when(F.col("o_orderkey") % 4 == 0, "INSERT").otherwise("UPDATE").alias("op"), F.col("o_orderkey").alias("v"))
     first = images.groupBy("k", "block_number").agg(F.min_by("op", "v").alias("op"), F.min("v").alias("v"))
     return undo(current, first, ["k"], "block_number", "op", 900)

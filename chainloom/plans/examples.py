@@ -36,10 +36,10 @@ def q_finalized_split(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey AS tx, l_linenumber, 'acc' || l_partkey AS source, 'acc' || l_suppkey AS destination, (l_orderkey * 1000003 + l_partkey)::VARCHAR AS amount
-FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey < 20""")
+FROM lineitem WHERE l_returnflag = 'N'""")
 def q_decode_instruction(spark, sf_dir):
     """DC-6, DC-9: token transfers from base58 data, accounts by place."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey < 20")
+    rows = table(spark, sf_dir, "lineitem")
     amount = F.lower(F.lpad(F.hex(F.col("l_orderkey") * 1000003 + F.col("l_partkey")), 16, "0"))
     turned = F.concat(*(F.substring(amount, 15 - 2 * k, 2) for k in range(8)))
     kind = F.when(F.col("l_returnflag") == "N", "03").otherwise("ff")
@@ -125,12 +125,12 @@ def q_message_limits(spark, sf_dir):
     return too_large(rows).agg(F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT event_type AS grp, time_bucket(INTERVAL '1 hour', ts) AS s, count(*) AS n FROM events WHERE user_id % 10 = 0 GROUP BY ALL),
+@query("""WITH w AS (SELECT user_id % 97 AS grp, time_bucket(INTERVAL '1 hour', ts) AS s, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT grp, unnest(generate_series(min(s), max(s), INTERVAL '1 hour')) AS s FROM w GROUP BY grp)
 SELECT concat_ws(':', grp, epoch(s)::BIGINT) AS id, 'UPSERT' AS change_type, coalesce(n, 0) AS n FROM g LEFT JOIN w USING (grp, s)""")
 def q_neutral_windows(spark, sf_dir):
     """ST-14: empty windows as neutral rows instead of deletes."""
-    rows = table(spark, sf_dir, "events").filter("user_id % 10 = 0").withColumnRenamed("event_type", "grp")
+    rows = table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 97)
     found = with_empty(tumbling(rows, "ts", "1 hour", ["grp"], F.count("*").alias("n")), ["grp"], 3600, ["n"])
     return window_messages(found, ["grp"], ["n"], neutral=True)
 

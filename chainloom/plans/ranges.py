@@ -9,7 +9,6 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chainloom.errors import RangeError
 
@@ -124,12 +123,8 @@ def resolve(start: int | str | datetime, stop: int | str | datetime | None, bloc
 
 
 def split_overlaps(ranges: DataFrame, start: str = "start", stop: str = "stop", name: str = "name") -> DataFrame:
-    """merge_requests for ranges in a table: (start, stop, names), disjoint and in order, names sorted.
-
-    The boundaries become segments by one window over distinct cut points, and an interval join finds who covers each.
-    """
-    ends = ranges.select(F.col(start).alias("a"), F.coalesce(stop, F.lit(OPEN_END - 1)).alias("b"), F.col(name).alias("n"))
-    cuts = ends.select(F.col("a").alias("cut")).union(ends.select(F.col("b") + 1)).distinct()
-    segments = cuts.select("cut", (F.lead("cut").over(Window.orderBy("cut")) - 1).alias("last")).filter("last is not null")
-    inside = segments.join(ends, (F.col("a") <= F.col("cut")) & (F.col("last") <= F.col("b")))
-    return inside.groupBy(F.col("cut").alias("start"), F.col("last").alias("stop")).agg(F.array_join(F.array_sort(F.collect_list("n")), ",").alias("names"))
+    """merge_requests for ranges in a table: (start, stop, names), disjoint and in order, names sorted; an open end is
+    null. Ranges are requests, a handful, and are merged on the driver."""
+    found = [(Range(r[0], r[1]), r[2]) for r in ranges.select(start, stop, name).collect()]
+    rows = [(r.start, r.stop, ",".join(sorted(names))) for r, names in merge_requests(found)]
+    return ranges.sparkSession.createDataFrame(rows, "start long, stop long, names string")

@@ -105,25 +105,41 @@ def related(matched: DataFrame, entity: DataFrame, relation: Relation) -> DataFr
 
 
 def scan_all(tables: Mapping[str, DataFrame], requests: Mapping[str, Sequence[Request]], relations: Mapping[tuple[str, str], Relation], fields: Mapping[str, Sequence[str]] | None = None, block: str = "block_number", key: tuple[str, int] | None = None) -> dict[str, DataFrame]:
-    """For each entity the rows that its requests match or that relate to a match of another, once each.
+    """For each entity the rows that its requests match or that relate to a match of another, as often as they occur.
 
-    relations: by (entity of the match, name in include).
+    relations: by (entity of the match, name in include). Each entity is read once: the keys of what matches elsewhere
+    join as flags, and a row stays if its own filters or a flag say so.
     """
-    found: dict[str, list[DataFrame]] = {}
+    wanted: dict[str, list[tuple[Relation, DataFrame]]] = {entity: [] for entity in requests}
     for entity, asked in requests.items():
-        found.setdefault(entity, []).append(scan(tables[entity], asked, block=block, key=key))
         for name in dict.fromkeys(n for r in asked for n in r.include):
             link = relations[entity, name]
-            matched = scan(tables[entity], [r for r in asked if name in r.include], block=block, key=key)
-            found.setdefault(link.to, []).append(related(matched, tables[link.to], link))
+            wanted.setdefault(link.to, []).append((link, scan(tables[entity], [r for r in asked if name in r.include], block=block, key=key)))
     out = {}
-    for entity, parts in found.items():
-        rows = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()
+    for entity, links in wanted.items():
+        rows, asked = tables[entity], requests.get(entity, ())
+        if not links:
+            rows = scan(rows, asked, block=block, key=key)
+        else:
+            stays, columns = any_of(asked, block), rows.columns
+            for k, (link, matched) in enumerate(links):
+                on = [*link.keys, *([link.path] if link.path else [])]
+                keys = (related(matched, rows, link) if link.path else matched).select(*on).distinct().withColumn(f"_r{k}", F.lit(True))
+                rows, stays = rows.join(keys, on, "left"), stays | F.col(f"_r{k}").isNotNull()
+            rows = rows.filter(F.coalesce(stays, F.lit(False))).select(*columns)
         chosen = (fields or {}).get(entity)
         out[entity] = rows.select(*dict.fromkeys([block, *chosen])) if chosen else rows
     return out
 
 
+def collected(rows: DataFrame, others: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """rows with an array of the other rows of their keys, empty where there are none; the keys are those of one
+    transaction, whose rows are few."""
+    grouped = others.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in others.columns if c not in keys))).alias(name))
+    joined = rows.join(grouped, list(keys), "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+
+
 def with_all_blocks(blocks: DataFrame, rows: DataFrame, number: str = "number", block: str = "block_number") -> DataFrame:
     """Every block with the rows it has, or nulls: the scan that also returns blocks without matches."""
     return blocks.join(rows, blocks[number] == rows[block], "left").drop(rows[block])

@@ -62,12 +62,14 @@ FAMILIES: dict[str, dict[str, dict[str, str]]] = {
     },
 }
 
+_PLACES = tuple(f"a{k}" for k in range(16))
+
 # Columns of the filters of each family, by request.
 FILTERS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
     "evm": {"log": ("logs", ("address", "topic0", "topic1", "topic2", "topic3")), "transaction": ("transactions", ("from", "to", "sighash", "type")), "trace": ("traces", ("type", "createFrom", "callTo", "callFrom", "callSighash", "suicideRefundAddress", "rewardAuthor")), "stateDiff": ("stateDiffs", ("address", "key", "kind"))},
-    "solana": {"transaction": ("transactions", ("feePayer",)), "instruction": ("instructions", ("programId", "isCommitted")), "log": ("logs", ("programId", "kind")), "balance": ("balances", ("account",)), "tokenBalance": ("tokenBalances", ("account", "preMint", "postMint", "preOwner", "postOwner", "preProgramId", "postProgramId")), "reward": ("rewards", ("pubkey",))},
+    "solana": {"transaction": ("transactions", ("feePayer",)), "instruction": ("instructions", ("programId", "d1", "d2", "d4", "d8", *_PLACES, "isCommitted")), "log": ("logs", ("programId", "kind")), "balance": ("balances", ("account",)), "tokenBalance": ("tokenBalances", ("account", "preMint", "postMint", "preOwner", "postOwner", "preProgramId", "postProgramId")), "reward": ("rewards", ("pubkey",))},
     "bitcoin": {"transaction": ("transactions", ()), "input": ("inputs", ("type", "prevoutScriptPubKeyAddress", "prevoutScriptPubKeyType", "prevoutGenerated")), "output": ("outputs", ("scriptPubKeyAddress", "scriptPubKeyType"))},
-    "tron": {"transaction": ("transactions", ("type",)), "log": ("logs", ("address", "topic0", "topic1", "topic2", "topic3")), "internalTransaction": ("internalTransactions", ("callerAddress", "transferToAddress"))},
+    "tron": {"transaction": ("transactions", ("type",)), "transfer": ("transactions", ("owner", "to")), "transferAsset": ("transactions", ("owner", "to", "asset")), "triggerSmartContract": ("transactions", ("owner", "contract", "sighash")), "log": ("logs", ("address", "topic0", "topic1", "topic2", "topic3")), "internalTransaction": ("internalTransactions", ("callerAddress", "transferToAddress"))},
     "hyperliquidFills": {"fill": ("fills", ("user", "coin", "dir", "cloid", "feeToken", "builder"))},
     "substrate": {"event": ("events", ("name",)), "call": ("calls", ("name",))},
 }

@@ -120,6 +120,33 @@ def test_relations(spark):
     assert rows(empty["tx"]) == []
 
 
+def test_related_rows_keep_their_number(spark):
+    """Equal rows that occur twice stay two, also where something is included."""
+    logs = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 1, "b")], "block_number long, tx long, address string")
+    out = scan_all({"log": logs}, {"log": [Request(where={"address": ["a"]}, include=("same",))]}, {("log", "same"): Relation("log", ("tx",))})
+    assert rows(out["log"]) == [(1, 1, "a"), (1, 1, "b"), (1, 1, "b")]
+
+
+def test_family_requests():
+    from chainloom.errors import RangeError
+    from chainloom.plans.families import request
+
+    entity, asked = request("tron", "transfer", include=["logs"], owner=["41ab"])
+    assert entity == "transactions" and asked.where == {"type": ["TransferContract"], "owner": ["41ab"]}
+    for wrong in ({"colour": ["red"]}, {"include": ["uncles"]}):
+        with pytest.raises(RangeError):
+            request("evm", "log", **wrong)
+
+
+def test_family_columns(spark):
+    from chainloom.plans.families import call_columns, instruction_columns
+
+    one = instruction_columns(spark.createDataFrame([(["x", "y"], hex_to_b58("03e8ff00"))], "accounts array<string>, data string")).first()
+    assert (one["d1"], one["d4"], one["d8"], one["a1"], one["a2"]) == ("0x03", "0x03e8ff00", None, "y", None)
+    call = call_columns(spark.createDataFrame([('{"value": {"owner_address": "41aa", "data": "A9059CBB00"}}',)], "j string").select(F.parse_json("j").alias("parameter"))).first()
+    assert (call["owner"], call["to"], call["sighash"]) == ("41aa", None, "a9059cbb")
+
+
 def test_paths(spark):
     traces = spark.createDataFrame([(1, []), (1, [0]), (1, [0, 1]), (1, [1]), (2, [0])], "tx long, path array<int>")
     below = scan_all({"t": traces}, {"t": [Request(where={"path": []}, include=("down",))]}, {("t", "down"): Relation("t", ("tx",), "path")}, block="tx")
