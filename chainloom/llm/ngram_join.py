@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -104,29 +105,43 @@ def _prefixes(n: int, percent: int, ranks: bytes):
     def of(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
-            classes, sizes, prefixes, minima = [], [], [], []
+            classes, sizes, prefixes, minima, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
                 name = _class(s.tobytes())
                 classes.append(name if len(s) else None)
                 sizes.append(len(s))
                 if not len(s) or name in seen:
-                    prefixes.append(None)
-                    minima.append(None)
+                    for column in (prefixes, minima, bits):
+                        column.append(None)
                     continue
                 seen.add(name)
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 rank = table[s & np.uint64(len(table) - 1)].astype(np.uint64)
                 prefixes.append(np.sort((rank << np.uint64(55)) | (s >> np.uint64(9)))[:keep].view(np.int64))
+                bits.append(_parities(s))
                 minima.append([int((s * seed ^ (s >> np.uint64(31)) * _MIX).min()) - 2**63 for seed in _SEEDS])
             if len(seen) > 1_000_000:
                 seen.clear()  # only spares repeats within a task
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(minima, longs)], names=["id", "class", "n", "prefix", "minima"])
+            yield pa.record_batch([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(minima, longs), pa.array(bits, pa.binary())], names=["id", "class", "n", "prefix", "minima", "bits"])
 
     return of
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """For each of at least 2 n cells, a power of two, whether an odd number of tokens falls there, as bits. Where the
+    bits of two sets differ, so do the sets; so the sets differ in as many tokens at least."""
+    width = max(128, 1 << (2 * len(s) - 1).bit_length())
+    cells = ((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The same for a number of cells that is smaller by a power of two, size bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
 def _sets(n: int, bits: bytes):
     """(id, class, set) of the rows that may be wanted: those whose bit is set, each class once in a task and id."""
     table = np.frombuffer(zlib.decompress(bits), np.uint8)
@@ -227,13 +242,7 @@ def _verify(percent: int):
 
         sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
         names, homes = rows["class"].tolist(), rows["home"].to_numpy()
-        meetings: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        for k, roles in enumerate(rows["roles"]):
-            for group, part, asks in np.asarray(roles).reshape(-1, 3).tolist():
-                meetings.setdefault((group, part), ([], []))[asks].append(k)
-        for held, asking in meetings.values():
-            if not held or not asking:
-                continue
+        for _, held, asking in _meetings(rows):
             group = _Group([sets[k] for k in held])
             for k in asking:
                 for m in group.qualifying(sets[k], percent).tolist():
@@ -247,12 +256,44 @@ def _verify(percent: int):
     return of
 
 
-def _links(asked: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of different homes: asked(class, home, n, group) against held(class, home, n, group).
+def _meetings(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(group, rows of members, rows that ask) of a bucket."""
+    found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+    for k, roles in enumerate(rows["roles"]):
+        for group, part, asks in np.asarray(roles).reshape(-1, 3).tolist():
+            found.setdefault((group, part), ([], []))[asks].append(k)
+    for (group, _), (held, asking) in found.items():
+        if held and asking:
+            yield group, held, asking
 
-    Groups that are asked much are split into parts by the bytes that ask; every part has all members. Parts are dealt
-    to buckets, and a set goes once to each bucket that needs it. The caller has bounded the members of a group.
-    """
+
+def _sieve(percent: int):
+    """Within a bucket of groups: the classes that ask and the members whose parities allow a link with one another."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        classes, homes, sizes = (rows[c].to_numpy() for c in ("class", "home", "n"))
+        stay: set[tuple[int, int, bool]] = set()
+        for group, held, asking in _meetings(rows):
+            width = min(len(rows["bits"].iloc[k]) for k in (*held, *asking))
+            members = np.stack([_folded(rows["bits"].iloc[k], width) for k in held])
+            for k in asking:
+                both = sizes[k] + sizes[held]
+                most = both - 2 * -(-percent * both // (100 + percent))  # tokens in which linked sets can differ
+                fits = np.bitwise_count(members ^ _folded(rows["bits"].iloc[k], width)).sum(axis=1) <= most
+                fits = np.flatnonzero(fits & (homes[held] != homes[k]))
+                if len(fits):
+                    stay.add((k, group, True))
+                    stay.update((held[m], group, False) for m in fits.tolist())
+        rows_of = np.array([k for k, _, _ in stay], np.int64)
+        return pd.DataFrame({"class": classes[rows_of], "home": homes[rows_of], "n": sizes[rows_of], "group": np.array([g for _, g, _ in stay], np.int64), "asks": np.array([a for _, _, a in stay], bool)})
+
+    return of
+
+
+def _dealt(asked: DataFrame, held: DataFrame, payload: DataFrame) -> DataFrame:
+    """(bucket, class, home, roles, payload) for asked(class, home, n, group) and held(class, home, group): groups that
+    are asked much are split into parts by the bytes that ask; every part has all members. Parts are dealt to buckets, and
+    a payload goes once to each bucket that needs it. The caller has bounded the members of a group."""
     loads = asked.groupBy("group").agg(F.sum(8 * F.col("n")).alias("bytes"))
     loads = materialize(loads.select("group", "bytes", F.ceil(F.col("bytes") / _TASK_BYTES).cast("long").alias("parts")))
     total = loads.agg(F.sum("bytes")).first()[0] or 0
@@ -262,10 +303,12 @@ def _links(asked: DataFrame, held: DataFrame, sets: DataFrame, percent: int) ->
     holds = held.join(loads, "group").select("class", "home", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).cast("long").alias("asks"))
     roles = asks.unionByName(holds).withColumn("bucket", F.pmod(F.xxhash64("group", "part"), F.lit(buckets)))
     roles = roles.groupBy("class", "home", "bucket").agg(F.flatten(F.collect_list(F.array("group", "part", "asks"))).alias("roles"))
-    dealt = roles.join(sets.dropDuplicates(["class"]), "class").select("bucket", "class", "home", "roles", "set")
-    found = materialize(dealt.groupBy("bucket").applyInPandas(_verify(percent), "a long, b long"))
-    release(loads)
-    return found
+    return roles.join(payload.dropDuplicates(["class"]), "class").select("bucket", "class", "home", "roles", *(c for c in payload.columns if c != "class"))
+
+
+def _links(asked: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of different homes: those that ask a group against its members, verified on their sets."""
+    return materialize(_dealt(asked, held, sets).groupBy("bucket").applyInPandas(_verify(percent), "a long, b long"))
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int = 128) -> DataFrame:
@@ -283,12 +326,13 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     3. The token-group matrix: tokens in prefixes of at least two homes, against groups of group_size similar classes
        (of one home, or of homes of one class with like size and a frequent token in common). Groups meet on tokens,
        never classes: a group asks those of larger homes (ties: larger names) that can reach the threshold by their
-       sizes, the number of common tokens and the place of these. Then a class of the group that asks is bounded by
-       the other's union of all tokens, and only groups that qualify are opened.
+       sizes, the number of common tokens and the place of these. Parities of token cells then show which classes
+       differ too much, before any set moves. A class that still asks is bounded by the group's union of all tokens,
+       and only groups that qualify are opened.
     """
     rows = docs.select(id_or_none().alias("id"), "text")
     prefixes = in_slices(_prefixes(n, percent, frequency_ranks(rows, n)))
-    made = materialize(rows.mapInArrow(prefixes, "id long, class long, n long, prefix array<long>, minima array<long>"))
+    made = materialize(rows.mapInArrow(prefixes, "id long, class long, n long, prefix array<long>, minima array<long>, bits binary"))
     named = materialize(made.select("id", "class", "n"))
     classes = named.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID)).groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
     classes = materialize(classes)
@@ -307,7 +351,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     more = materialize(asked.select("class").union(held.select("class")).distinct().join(sets.select("class"), "class", "left_anti"))
     others = _needed_sets(more, classes, rows, n)
     later = _links(asked, held, sets.unionByName(others), percent)
-    for done in (sets, others, more, asked, held, homes):
+    for done in (sets, others, more, homes):
         release(done)
 
     final = components(links.unionByName(later)).select(F.col("node").alias("class"), F.col("component").alias("home"))
@@ -378,11 +422,14 @@ def _matrix(shown: DataFrame, homes: DataFrame, percent: int, group_size: int) -
     pairs = materialize(met.filter(reach >= percent * F.col("least")).select("my_group", "group", "least", "most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
     members = grouped.select("class", "home", "n", F.col("group").alias("my_group"))
-    asked = materialize(members.join(pairs, "my_group").filter(fits).select("class", "home", "n", "group"))
-    held = materialize(grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "home", "group"))
+    asked = members.join(pairs, "my_group").filter(fits).select("class", "home", "n", "group")
+    held = grouped.join(pairs.select("group").distinct(), "group", "left_semi").select("class", "home", "group")
+    dealt = _dealt(materialize(asked), held, shown.select("class", "n", "bits"))
+    near = materialize(dealt.groupBy("bucket").applyInPandas(_sieve(percent), "class long, home long, n long, group long, asks boolean"))
     for done in (matrix, grouped, pairs):
         release(done)
-    return asked, held
+    columns = ["class", "home", "n", "group"]
+    return near.filter("asks").select(columns).distinct(), near.filter("not asks").select(columns).distinct()
 
 
 def _of_several(tokens: DataFrame) -> DataFrame:
