@@ -66,3 +66,9 @@ class FinalizedOnlyError(SinkError):
     """The sink takes finalized rows only."""
 
     code = "E2427"
+
+
+class RelationCycleError(SinkError):
+    """Tables refer to each other in a circle, so none can be cleared first."""
+
+    code = "E2106"

@@ -103,6 +103,14 @@ def events_of(description: str | Iterable[Mapping]) -> dict[str, Event]:
     return found
 
 
+def duplicate_topics(events: Mapping[str, Event]) -> dict[str, list[str]]:
+    """Names of events by the topic and count of indexed parameters that they share: rows that match one match all."""
+    found: dict[tuple[str, int], list[str]] = {}
+    for name, event in events.items():
+        found.setdefault((event.topic, len(event.indexed)), []).append(name)
+    return {topic: names for (topic, _), names in found.items() if len(names) > 1}
+
+
 def _params(entries: Iterable[Mapping]) -> tuple[Param, ...]:
     return tuple(Param(p.get("name") or f"_{k}", _type_of(p), bool(p.get("indexed")), _params(p.get("components", ()))) for k, p in enumerate(entries))
 

@@ -83,3 +83,15 @@ def varint_size(n: Column | str) -> Column:
 def parsed_number(text: Column | str) -> Column:
     """A whole number with , or _ between digits."""
     return F.regexp_replace(_c(text), "[,_]", "").cast("long")
+
+
+def clamped(value: Column | str, least: float, most: float) -> Column:
+    """A number held within bounds; null stays null."""
+    return F.when(_c(value).isNotNull(), F.least(F.greatest(_c(value), F.lit(least)), F.lit(most)))
+
+
+def date_parts(at: Column | str) -> list[Column]:
+    """day, ms (rounded down) and us since 1970 of a timestamp taken as UTC: what files of dated rows hold."""
+    t = _c(at).cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    return [F.unix_date(t.cast("date")).alias("day"), F.floor(us / 1000).alias("ms"), us.alias("us")]
