@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import chunk_dedup, embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
+from chainloom.llm import chunk_dedup, divergence, embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
 from chainloom.llm.sql import ORACLE
 
 
@@ -81,6 +81,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import licenses, mixing
+from chainloom.llm import divergence, licenses, mixing
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -83,4 +83,27 @@ WITH RECURSIVE {mixing_sql()}
 SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, sampled FROM mixed
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": MIXING, "op5_licenses": LICENSES, "op7_line_dedup": LINE_DEDUP}
+_SHARE = "(1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v))"
+_DIVERGENCE = "((p - q) * (p - q) // (p + q))"
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+held AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+sized AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN held USING (lang, source) GROUP BY ALL),
+full_p AS (SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format(count="coalesce(n, 0)", total="total")} AS p
+  FROM sized JOIN vs USING (lang) JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)),
+lang_p AS (SELECT lang, term, {_SHARE.format(count="n", total="total")} AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM held GROUP BY ALL) JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM sized GROUP BY lang) USING (lang) JOIN vs USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum({_DIVERGENCE}) AS f FROM full_p x JOIN (SELECT lang, source, term, p AS q FROM full_p) y
+    ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, {_DIVERGENCE}::BIGINT AS value FROM full_p JOIN lang_p USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": MIXING, "op5_licenses": LICENSES, "op7_line_dedup": LINE_DEDUP, "op13_divergence": DIVERGENCE}
