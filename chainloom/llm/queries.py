@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import chunk_dedup, divergence, embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
+from chainloom.llm import chunk_dedup, divergence, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
 from chainloom.llm.sql import ORACLE
 
 
@@ -81,6 +81,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
