@@ -12,6 +12,7 @@ from chainloom.llm.common import materialize, release
 
 #: A term: letters A-Z and everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = TERM.replace("^", "")
 #: What every count is raised by, and what shares are counted in.
 ADDED, UNIT = 2, 1_000_000_000
 
@@ -34,11 +35,13 @@ def divergence(p: Column, q: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term by group, and in how many documents (rows)."""
-    plain = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    found = docs.select("lang", "source", F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)).alias("terms"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    each = F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))
-    rows = found.select("lang", "source", F.explode(each).alias("x")).select("lang", "source", "x.*")
+    ascii_only = F.octet_length("text") == F.char_length("text")
+    plain = F.when(ascii_only, F.lower("text")).otherwise(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    found = docs.select("lang", "source", F.array_remove(F.split(plain, _BETWEEN), "").alias("terms"))
+    # all terms of a text, and behind them each once more, for the number of documents
+    rows = found.select("lang", "source", F.size("terms").alias("many"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    first = F.col("at") < F.col("many")
+    rows = rows.select("lang", "source", "term", first.cast("int").alias("n"), (~first).cast("int").alias("d"))
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
 
 
