@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import chunk_dedup, divergence, embedding_dedup, hard_negatives, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
+from chainloom.llm import chunk_dedup, divergence, embedding_dedup, hard_negatives, html_extract, licenses, line_dedup, mixing, ngram_join, packing, secrets, toxicity, vptree
 from chainloom.llm.sql import ORACLE
 
 
@@ -86,6 +86,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
