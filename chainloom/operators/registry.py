@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from chainloom.operators.revisions import earliest_per_key
 
 
 def first_registrations(events: DataFrame, child: str, order: Sequence[str]) -> DataFrame:
-    """The earliest creation event of each child, by the order columns; children that are null are skipped."""
-    rank = F.row_number().over(Window.partitionBy(child).orderBy(*order))
-    return events.filter(F.col(child).isNotNull()).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The earliest creation event of each child, by the order columns; children that are null are skipped. One aggregate
+    that combines before its shuffle."""
+    return earliest_per_key(events.filter(F.col(child).isNotNull()), [child], order)
 
 
 def allowed(registry: DataFrame, factory: str | None = None, factories: Sequence = (), params: Mapping[str, Sequence] | None = None) -> DataFrame:

@@ -24,10 +24,11 @@ def cancel_rows(rows: DataFrame, where: Column, sign: str = "sign", generated: S
 
 
 def earliest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str], above: Column | None = None) -> DataFrame:
-    """The first change of each key, of those above a bound: the image to go back to."""
+    """The first change of each key, of those above a bound: the image to go back to. One aggregate, as latest_per_key."""
     rows = changes if above is None else changes.filter(above)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    values = [c for c in changes.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    return best.select(*(F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in changes.columns))
 
 
 def latest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

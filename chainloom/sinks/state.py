@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +19,11 @@ class State:
     chain: tuple[Block, ...] = ()
     extra: dict = field(default_factory=dict)
 
+    @property
+    def safe_blocks(self) -> tuple[int, ...]:
+        """Where each fork so far went back to; their number is the pipe's epoch."""
+        return tuple(self.extra.get("forks", ()))
+
 
 def _pack(b: Block | None) -> list | None:
     return None if b is None else [b.number, b.hash]
@@ -48,8 +53,11 @@ class StateLog:
         return max(numbers), State(_unpack(r["cursor"]), _unpack(r["floor"]), tuple(map(_unpack, r["chain"])), r["extra"])
 
     def save(self, state: State) -> State:
-        """Append a record. The floor never falls, and the chain keeps what is above it, newest 1000."""
+        """Append a record. The floor never falls, and the chain keeps what is above it, newest 1000. A cursor that goes
+        back is a fork, and the record that moves it also begins the next epoch."""
         number, before = self.load()
+        if before.cursor and state.cursor and state.cursor.number < before.cursor.number:
+            state = replace(state, extra={**state.extra, "forks": [*before.safe_blocks, state.cursor.number]})
         floor = max((b for b in (before.floor, state.floor) if b), default=None)
         known = {b.number: b for b in sorted(state.chain)}
         chain = [b for n, b in sorted(known.items()) if (not floor or n > floor.number) and (not state.cursor or n <= state.cursor.number)][-1000:]

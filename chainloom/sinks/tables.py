@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chainloom.errors import CoverageError, FinalizedOnlyError, SinkError
 from chainloom.operators.forks import Block
-from chainloom.operators.revisions import cancel_rows, fork_delete, net
+from chainloom.operators.revisions import cancel_rows, net
 from chainloom.plans.ranges import Range
 from chainloom.sinks.fs import Folder
 from chainloom.sinks.state import State, StateLog
@@ -69,111 +69,6 @@ class AppendSink:
         return rows.withColumn(self._sign, F.explode(F.sequence(F.lit(1), F.col(self._sign)))).drop(self._sign)
 
 
-class SnapshotSink:
-    """Exactly once for all tables together: a commit writes new versions of the tables it touches, and the state record
-    that names the versions makes them all current at once. Rows are keyed by block, so a fork rewrites only versions
-    with blocks above the safe one."""
-
-    def __init__(self, spark: SparkSession, path: str, pipe: str, block: str = "block_number") -> None:
-        self._spark, self._block, self.log, self._folder = spark, block, StateLog(spark, path, pipe), Folder(spark, path)
-
-    def _parts(self, name: str) -> list[list]:
-        return self.log.load()[1].extra.get("parts", {}).get(name, [])
-
-    def write(self, frames: Frames, headers: Sequence[Block], floor: Block | None = None) -> State:
-        number, now = self.log.load()
-        parts = {k: list(v) for k, v in now.extra.get("parts", {}).items()}
-        for name, rows in frames.items():
-            target = f"{name}/v{number + 1:012d}"
-            rows.write.mode("overwrite").parquet(self._folder.at(target))
-            top = max((b.number for b in headers), default=-1)
-            parts.setdefault(name, []).append([target, top])
-        return self.log.save(self.log.advance(headers, floor, parts=parts))
-
-    def rollback(self, canonical: Sequence[Block]) -> Block:
-        safe = self.log.fork(canonical)
-        number, now = self.log.load()
-        parts: dict[str, list] = {}
-        for name, versions in now.extra.get("parts", {}).items():
-            for k, (target, top) in enumerate(versions):
-                if top > safe.number:
-                    kept = self._spark.read.parquet(self._folder.at(target)).filter(F.col(self._block) <= safe.number)
-                    target, top = f"{name}/v{number + 1:012d}-{k}", safe.number
-                    kept.write.mode("overwrite").parquet(self._folder.at(target))
-                parts.setdefault(name, []).append([target, top])
-        self.log.save(State(safe, now.floor, now.chain, {**now.extra, "parts": parts}))
-        return safe
-
-    def recover(self) -> State:
-        """Drop versions that no state names."""
-        _, state = self.log.load()
-        named = {t for versions in state.extra.get("parts", {}).values() for t, _ in versions}
-        for name in [n for n in self._folder.names() if n[0] not in "._"]:
-            for version in self._folder.names(name):
-                if f"{name}/{version}" not in named:
-                    self._folder.delete(f"{name}/{version}")
-        return state
-
-    def read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(*(self._folder.at(t) for t, _ in self._parts(name)))
-
-
-class WriteAheadSink:
-    """Exactly once by a write-ahead record: the range is noted as in flight, rows are written to folders by bucket of
-    blocks, and the record is closed. Recovery deletes the range of an open record by rewriting its buckets; a fork does
-    so for what is above the safe block."""
-
-    def __init__(self, spark: SparkSession, path: str, pipe: str, block: str = "block_number", bucket: int = 10_000) -> None:
-        self._spark, self._block, self._bucket, self.log, self._folder = spark, block, bucket, StateLog(spark, path, pipe), Folder(spark, path)
-
-    def write(self, frames: Frames, headers: Sequence[Block], floor: Block | None = None) -> State:
-        _, now = self.log.load()
-        if now.extra.get("open"):
-            raise SinkError("an earlier batch is in flight; recover first")
-        low, high = min(b.number for b in headers), max(b.number for b in headers)
-        self.log.save(State(now.cursor, now.floor, now.chain, {**now.extra, "open": [low, high]}))
-        for name, rows in frames.items():
-            rows.withColumn("bucket", F.floor(F.col(self._block) / self._bucket)).write.mode("append").partitionBy("bucket").parquet(self._folder.at(name))
-        return self.log.save(self.log.advance(headers, floor, open=None))
-
-    def _delete(self, low: int, high: int) -> None:
-        """Rows with low < block <= high go; only buckets that hold them are rewritten, beside, then swapped."""
-        for name in [n for n in self._folder.names() if n[0] not in "._"]:
-            for bucket in [b for b in self._folder.names(name) if b.startswith("bucket=")]:
-                number = int(bucket.partition("=")[2])
-                if number < low // self._bucket or number > high // self._bucket:
-                    continue
-                place = f"{name}/{bucket}"
-                kept = fork_delete(self._spark.read.parquet(self._folder.at(place)), self._block, low, high)
-                kept.write.mode("overwrite").parquet(self._folder.at(f"_swap/{place}"))
-                self._folder.delete(place)
-                self._folder.rename(f"_swap/{place}", place)
-
-    def recover(self) -> State:
-        for name in self._folder.names("_swap"):  # a swap cut short
-            for bucket in self._folder.names(f"_swap/{name}"):
-                if self._folder.exists(f"_swap/{name}/{bucket}/_SUCCESS") and not self._folder.exists(f"{name}/{bucket}"):
-                    self._folder.rename(f"_swap/{name}/{bucket}", f"{name}/{bucket}")
-        self._folder.delete("_swap")
-        _, now = self.log.load()
-        if now.extra.get("open"):
-            low, high = now.extra["open"]
-            self._delete(low - 1, high)
-            now = self.log.save(State(now.cursor, now.floor, now.chain, {**now.extra, "open": None}))
-        return now
-
-    def rollback(self, canonical: Sequence[Block]) -> Block:
-        safe = self.log.fork(canonical)
-        _, now = self.log.load()
-        if now.cursor and now.cursor.number > safe.number:
-            self._delete(safe.number, now.cursor.number)
-        self.log.save(State(safe, now.floor, now.chain, now.extra))
-        return safe
-
-    def read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(self._folder.at(name)).drop("bucket")
-
-
 class CoverageSink:
     """Exactly once for finalized rows: a file per table and window, named for the blocks it covers, <from>-<to>.parquet,
     also where there are no rows. A file appears by a rename and is never written over; recovery drops files beyond the
