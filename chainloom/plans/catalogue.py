@@ -11,10 +11,11 @@ from chainloom.functions import u256
 from chainloom.functions.abi import ERC20, decode, encode, event_filter
 from chainloom.functions.scalars import block_name, data_prefix, row_id, seconds, sequence_hex, status_class, topic_address
 from chainloom.operators.forks import common_block, head_lag, rollback_chains, running_floor
+from chainloom.operators.intervals import in_ranges, next_covered, split_overlaps
 from chainloom.operators.registry import allowed, first_registrations, of_children
 from chainloom.operators.revisions import apply_changes, cancel_rows, compensate, earliest_per_key, fork_delete, latest_per_key, net, newest, numbered, sequenced, undo, without
 from chainloom.operators.windows import frame_sums, histogram, sessions, tumbling, window_messages, with_empty
-from chainloom.plans.ranges import Range, split_overlaps
+from chainloom.plans.ranges import Range
 from chainloom.plans.scan import Relation, Request, by_prefix, in_list, related, scan, scan_all, with_all_blocks
 from chainloom.sinks.coverage import coverage_windows
 
@@ -76,14 +77,38 @@ def q_log_filter(spark, sf_dir):
     return scan(logs(spark, sf_dir), _REQUESTS, ["tx", "address", "topic0", "topic1"], key=("tx", 10))
 
 
-@query("""WITH r(start, stop, name) AS (VALUES (0, 100, 'a'), (50, 150, 'b'), (150, 150, 'c'), (300, NULL, 'd'), (400, 500, 'e')),
-e AS (SELECT start, coalesce(stop, 9223372036854775806) AS stop, name FROM r),
+_RANGES = "(SELECT (p_partkey * 7919) % 20011 AS start, CASE WHEN p_partkey % 997 <> 5 THEN (p_partkey * 7919) % 20011 + p_size * (p_partkey % 3) END AS stop, p_brand AS name FROM part)"
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as requests: thousands of block ranges of many lengths, some with an open end."""
+    start = F.col("p_partkey") * 7919 % 20011
+    stop = F.when(F.col("p_partkey") % 997 != 5, start + F.col("p_size") * (F.col("p_partkey") % 3))
+    return table(spark, sf_dir, "part").select(start.alias("start"), stop.alias("stop"), F.col("p_brand").alias("name"))
+
+
+@query(f"""WITH e AS (SELECT start, coalesce(stop, 9223372036854775806) AS stop, name FROM {_RANGES}),
 c AS (SELECT DISTINCT x FROM (SELECT start AS x FROM e UNION ALL SELECT stop + 1 FROM e)),
 s AS (SELECT x AS start, lead(x) OVER (ORDER BY x) - 1 AS stop FROM c)
-SELECT s.start::BIGINT AS start, nullif(s.stop, 9223372036854775806)::BIGINT AS stop, string_agg(name, ',' ORDER BY name) AS names FROM s JOIN e ON e.start <= s.start AND s.stop <= e.stop GROUP BY ALL""")
+SELECT s.start::BIGINT AS start, nullif(s.stop, 9223372036854775806)::BIGINT AS stop, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM s JOIN e ON e.start <= s.start AND s.stop <= e.stop GROUP BY ALL""")
 def q_range_merge(spark, sf_dir):
-    rows = [(0, 100, "a"), (50, 150, "b"), (150, 150, "c"), (300, None, "d"), (400, 500, "e")]
-    return split_overlaps(spark.createDataFrame(rows, "start long, stop long, name string"))
+    return split_overlaps(ranges(spark, sf_dir))
+
+
+@query(f"""SELECT block_number, count(*) AS n, count(DISTINCT name) AS n_names, min(start) AS first_start FROM {_TXS} t JOIN {_RANGES} r ON block_number BETWEEN start AND coalesce(stop, 9223372036854775807) GROUP BY block_number""")
+def q_range_of_block(spark, sf_dir):
+    found = in_ranges(transactions(spark, sf_dir).select("block_number"), ranges(spark, sf_dir), "block_number", keep=["start", "name"])
+    return found.groupBy("block_number").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"), F.min("start").alias("first_start"))
+
+
+_CLOSED = f"(SELECT start * 3 AS start, least(stop, start + 2) * 3 AS stop FROM {_RANGES} WHERE stop IS NOT NULL)"
+
+
+@query(f"""SELECT number, (SELECT min(greatest(start, number)) FROM {_CLOSED} WHERE stop >= number) AS next FROM (SELECT DISTINCT l_orderkey AS number FROM lineitem)""")
+def q_next_covered(spark, sf_dir):
+    some = ranges(spark, sf_dir).filter("stop is not null").select((F.col("start") * 3).alias("start"), (F.least("stop", F.col("start") + 2) * 3).alias("stop"))
+    numbers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number")).distinct()
+    return next_covered(numbers, some, "number")
 
 
 @query(f"""SELECT b.number, count(l.tx) AS n_logs, count(DISTINCT l.tx) AS n_txs FROM (SELECT DISTINCT o_orderkey // 10 AS number FROM orders) b
@@ -296,11 +321,14 @@ def q_histogram(spark, sf_dir):
     return histogram(table(spark, sf_dir, "events"), "value", [1, 10, 50], ["event_type"])
 
 
-@query("""SELECT v, coalesce(CASE WHEN s BETWEEN 1000000000 AND 4000000000 THEN s END, -1) AS seconds FROM (SELECT v, CASE WHEN v >= 1000000000000 THEN v // 1000 ELSE v END AS s
-FROM (VALUES (1700000000::BIGINT), (1700000000123), (5), (999999999), (1000000000), (4000000001), (4000000000999), (9000000000000000)) t(v))""")
+@query("""SELECT event_id, CASE WHEN s BETWEEN 1000000000 AND 4000000000 THEN s END AS seconds FROM (SELECT event_id, CASE WHEN v >= 1000000000000 THEN v // 1000 ELSE v END AS s
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (epoch_us(ts) // 1000) // 1000 WHEN 1 THEN (epoch_us(ts) // 1000) WHEN 2 THEN event_id * 7919 * 1000 + 999990000 ELSE (epoch_us(ts) // 1000) * (event_id % 7) END AS v FROM events))""")
 def q_ts_normalize(spark, sf_dir):
-    rows = [(v,) for v in (1700000000, 1700000000123, 5, 999999999, 1000000000, 4000000001, 4000000000999, 9000000000000000)]
-    return spark.createDataFrame(rows, "v long").select("v", F.coalesce(seconds("v"), F.lit(-1)).alias("seconds"))
+    """FN-8, ST-12: instants in seconds or milliseconds, and numbers that are neither."""
+    n = F.col("event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    v = F.when(n % 4 == 0, F.call_function("div", ms, F.lit(1000).cast("long"))).when(n % 4 == 1, ms).when(n % 4 == 2, n * 7919000 + 999990000).otherwise(ms * (n % 7))
+    return table(spark, sf_dir, "events").select("event_id", seconds(v).alias("seconds"))
 
 
 @query("""SELECT o_orderkey AS tx, '41' || right(h, 40) AS address, '0x' || left(h, 8) AS prefix, lpad((o_orderkey // 10)::VARCHAR, 12, '0') AS block_name, concat_ws(':', 'ns', o_orderkey, o_custkey) AS row_id, upper(printf('%x', o_orderkey)) AS seq

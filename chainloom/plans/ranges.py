@@ -120,11 +120,3 @@ def resolve(start: int | str | datetime, stop: int | str | datetime | None, bloc
     if ends[1] is not None and ends[1] < ends[0]:
         raise RangeError(f"the range ends at {ends[1]}, before its start {ends[0]}")
     return Range(ends[0], ends[1])
-
-
-def split_overlaps(ranges: DataFrame, start: str = "start", stop: str = "stop", name: str = "name") -> DataFrame:
-    """merge_requests for ranges in a table: (start, stop, names), disjoint and in order, names sorted; an open end is
-    null. Ranges are requests, a handful, and are merged on the driver."""
-    found = [(Range(r[0], r[1]), r[2]) for r in ranges.select(start, stop, name).collect()]
-    rows = [(r.start, r.stop, ",".join(sorted(names))) for r, names in merge_requests(found)]
-    return ranges.sparkSession.createDataFrame(rows, "start long, stop long, names string")

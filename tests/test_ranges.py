@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from chainloom.errors import RangeError
-from chainloom.plans.ranges import Range, clip, merge_requests, next_covered, parse_endpoint, range_of, resolve, split_overlaps
+from chainloom.plans.ranges import Range, clip, merge_requests, next_covered, parse_endpoint, range_of, resolve
 
 ranges = st.builds(lambda a, n: Range(a, None if n is None else a + n), st.integers(0, 40), st.none() | st.integers(0, 20))
 
@@ -62,10 +62,3 @@ def test_resolve(spark):
         resolve(9, 3, blocks)
     with pytest.raises(RangeError):
         resolve("latest", datetime(2024, 1, 1), blocks)
-
-
-def test_table_twin(spark):
-    rs = [Range(0, 10), Range(5, None), Range(20, 30)]
-    table = spark.createDataFrame([(r.start, r.stop, str(k)) for k, r in enumerate(rs)], "start long, stop long, name string")
-    got = {(r["start"], r["names"]) for r in split_overlaps(table).collect()}
-    assert got == {(r.start, ",".join(x)) for r, x in merge_requests([(r, str(k)) for k, r in enumerate(rs)])}
