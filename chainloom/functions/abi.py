@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -99,20 +99,12 @@ def events_of(description: str | Iterable[Mapping]) -> dict[str, Event]:
     found: dict[str, Event] = {}
     for e in entries:
         if e.get("type") == "event" and not e.get("anonymous"):
-            found.setdefault(e["name"], Event(e["name"], _params(e.get("inputs", ()))))
+            found.setdefault(e["name"], Event(e["name"], params_of(e.get("inputs", ()))))
     return found
 
 
-def duplicate_topics(events: Mapping[str, Event]) -> dict[str, list[str]]:
-    """Names of events by the topic and count of indexed parameters that they share: rows that match one match all."""
-    found: dict[tuple[str, int], list[str]] = {}
-    for name, event in events.items():
-        found.setdefault((event.topic, len(event.indexed)), []).append(name)
-    return {topic: names for (topic, _), names in found.items() if len(names) > 1}
-
-
-def _params(entries: Iterable[Mapping]) -> tuple[Param, ...]:
-    return tuple(Param(p.get("name") or f"_{k}", _type_of(p), bool(p.get("indexed")), _params(p.get("components", ()))) for k, p in enumerate(entries))
+def params_of(entries: Iterable[Mapping]) -> tuple[Param, ...]:
+    return tuple(Param(p.get("name") or f"_{k}", _type_of(p), bool(p.get("indexed")), params_of(p.get("components", ()))) for k, p in enumerate(entries))
 
 
 def selector(signature: str) -> str:
@@ -161,33 +153,51 @@ def _element(p: Param) -> Param:
     return Param(p.name, _ARRAY.match(p.type)[1], parts=p.parts)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that it uses more than once: worked out once, as the variable of a function over one element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _number(data: Column, at: Column) -> Column:
     """The number in the word at a place (hex digits from 0) where offsets and lengths stand; null beyond the data."""
     found = F.conv(F.substring(data, at + 49, F.lit(16)), 16, 10).cast("decimal(20,0)")
-    return F.when(found * 2 <= F.length(data), found.cast("int"))
+    return _bound(found, lambda n: F.when(n * 2 <= F.length(data), n.cast("int")))
 
 
-def _read(data: Column, at: Column, base: Column, p: Param) -> Column:
+def read(data: Column, at: Column, base: Column, p: Param) -> Column:
     """The parameter whose head is at a place; offsets count from base, the place of the tuple or array around it."""
-    size = _size(p)
-    if size is None:
-        at = base + 2 * _number(data, at)
+    if _size(p) is None:
+        return _bound(base + 2 * _number(data, at), lambda there: _read_at(data, there, p))
+    return _read_at(data, at, p)
+
+
+def _read_at(data: Column, at: Column, p: Param) -> Column:
+    """The parameter that begins at a place, which is its head where its size is fixed."""
     if found := _ARRAY.match(p.type):
         element = _element(p)
-        count = F.lit(int(found[2])) if found[2] else _number(data, at)
         first = at if found[2] else at + 64
         step = 64 * (_size(element) or 1)
-        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).when(count == 0, F.array().cast("array<int>"))
-        return F.transform(places, lambda k: _read(data, first + k * step, first, element))
+
+        def elements(count: Column) -> Column:
+            places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).when(count == 0, F.array().cast("array<int>"))
+            return F.transform(places, lambda k: read(data, first + k * step, first, element))
+
+        return elements(F.lit(int(found[2]))) if found[2] else _bound(_number(data, at), elements)
     if p.parts:
-        return F.struct(*(_read(data, place, at, x).alias(x.name) for x, place in _places(at, p.parts)))
+        return F.struct(*(read(data, place, at, x).alias(x.name) for x, place in places(at, p.parts)))
     if p.type in ("bytes", "string"):
         raw = F.substring(data, at + 65, 2 * _number(data, at))
         return F.decode(F.unhex(raw), "UTF-8") if p.type == "string" else F.concat(F.lit("0x"), raw)
-    return _value(F.substring(data, at + 1, F.lit(64)), p.type)
+    word = F.substring(data, at + 1, F.lit(64))
+    return _bound(word, lambda w: _value(w, p.type)) if _wide(p.type) else _value(word, p.type)
+
 
+def _wide(kind: str) -> bool:
+    """Whether a value is made of its word by many steps."""
+    return bool(re.fullmatch(r"u?int\d*", kind)) and int(kind.lstrip("uint") or 256) > 32
 
-def _places(at: Column, params: Iterable[Param]) -> Iterator[tuple[Param, Column]]:
+
+def places(at: Column, params: Iterable[Param]) -> Iterator[tuple[Param, Column]]:
     """The members of a tuple with the places of their heads."""
     words = 0
     for p in params:
@@ -195,6 +205,16 @@ def _places(at: Column, params: Iterable[Param]) -> Iterator[tuple[Param, Column
         words += _size(p) or 1
 
 
+def plain_hex(data: str) -> Column:
+    """Hex in lower case without 0x. Give it a column of its own before values are cut from it many times."""
+    return F.regexp_replace(F.lower(F.col(data)), "^0x", "")
+
+
+def words(params: Iterable[Param]) -> int:
+    """Words that the heads of parameters take."""
+    return sum(_size(p) or 1 for p in params)
+
+
 def event_filter(event: Event, values: Mapping[str, Sequence] | None = None, topics: str = "topics") -> Column:
     """Logs of an event whose indexed parameters have a listed value; empty lists don't filter."""
     found = (F.lower(F.get(topics, F.lit(0))) == event.topic) & (F.size(topics) == 1 + len(event.indexed))
@@ -233,11 +253,11 @@ def decode(logs: DataFrame, events: Sequence[Event], topics: str = "topics", dat
     """
     if twice := same_topics(events):
         raise AbiError(f"no log tells these events apart: {twice}")
-    body = F.regexp_replace(F.lower(F.col(data)), "^0x", "")
+    body = F.col("_body")
     name = reduce(lambda acc, e: F.coalesce(acc, F.when(event_filter(e, topics=topics), F.lit(e.name))), events, F.lit(None).cast("string"))
-    heads = {e.name: sum(_size(p) or 1 for p in e.params if not p.indexed) for e in events}
+    heads = {e.name: words(p for p in e.params if not p.indexed) for e in events}
     need = reduce(lambda acc, item: F.when(F.col("event") == item[0], 64 * item[1]).otherwise(acc), heads.items(), F.lit(0))
-    named = logs.withColumn("event", name).filter(F.col("event").isNotNull())
+    named = logs.withColumn("event", name).filter(F.col("event").isNotNull()).withColumn("_body", plain_hex(data))
     short = F.coalesce(F.length(body), F.lit(0)) < need
     if on_error == "drop":
         named = named.filter(~short)
@@ -253,9 +273,9 @@ def decode(logs: DataFrame, events: Sequence[Event], topics: str = "topics", dat
                 word = F.regexp_replace(F.lower(F.get(topics, F.lit(topic_at))), "^0x", "")
                 topic_at += 1
                 hashed = p.parts or _ARRAY.match(p.type) or p.type in ("string", "bytes")
-                parts[p.name] = F.concat(F.lit("0x"), word) if hashed else _value(word, p.type)
+                parts[p.name] = F.concat(F.lit("0x"), word) if hashed else _bound(word, lambda w, p=p: _value(w, p.type)) if _wide(p.type) else _value(word, p.type)
         start = F.lit(0)
-        parts |= {p.name: _read(body, place, start, p) for p, place in _places(start, [p for p in e.params if not p.indexed])}
+        parts |= {p.name: read(body, place, start, p) for p, place in places(start, [p for p in e.params if not p.indexed])}
         mine = (F.col("event") == e.name) & ~short if on_error == "keep" else F.col("event") == e.name
         columns.append(F.when(mine, F.struct(*(parts[p.name].alias(p.name) for p in e.params))).alias(e.name))
-    return named.select(*named.columns, *columns)
+    return named.select(*(c for c in named.columns if c != "_body"), *columns)

@@ -5,61 +5,55 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from chainloom.errors import AbiError, DiscriminatorError
+from chainloom.functions import base58
+from chainloom.functions.layout import Kind, read_layout
 
-# The base58 alphabet and sizes of plain types in bytes.
-ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+# Sizes of plain types in bytes.
 SIZES = {"u8": 1, "u16": 2, "u32": 4, "u64": 8, "u128": 16, "i64": 8, "bool": 1, "pubkey": 32}
-_PLACE = {c: k for k, c in enumerate(ALPHABET)}
 
 
 def b58_to_hex(text: str) -> str | None:
-    if text is None or any(c not in _PLACE for c in text):
-        return None
-    number = 0
-    for c in text:
-        number = number * 58 + _PLACE[c]
-    zeros = len(text) - len(text.lstrip("1"))
-    body = number.to_bytes((number.bit_length() + 7) // 8, "big")
-    return (b"\0" * zeros + body).hex()
+    found = base58.decode([None if text is None else text.encode("utf-8", "replace")])[0]
+    return None if found is None else found.hex()
 
 
 def hex_to_b58(text: str) -> str | None:
-    if text is None:
-        return None
-    data = bytes.fromhex(text)
-    number, out = int.from_bytes(data, "big"), ""
-    while number:
-        number, k = divmod(number, 58)
-        out = ALPHABET[k] + out
-    return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
+    return base58.encode([None if text is None else bytes.fromhex(text)])[0]
 
 
-@pandas_udf(StringType())
-def b58hex(s: pd.Series) -> pd.Series:
-    return s.map(b58_to_hex, na_action="ignore")
+@arrow_udf(StringType())
+def b58hex(texts: pa.Array) -> pa.Array:
+    found = base58.decode(texts.cast(pa.binary()).to_pylist())
+    return pa.array([None if x is None else x.hex() for x in found], pa.string())
 
 
-@pandas_udf(StringType())
-def hexb58(s: pd.Series) -> pd.Series:
-    return s.map(hex_to_b58, na_action="ignore")
+@arrow_udf(StringType())
+def hexb58(texts: pa.Array) -> pa.Array:
+    return pa.array(base58.encode([None if x is None else bytes.fromhex(x) for x in texts.to_pylist()]), pa.string())
 
 
 @dataclass(frozen=True)
 class Instruction:
     """An instruction of a program: the hex of its discriminator, its accounts by place and its fields in order. A field's
-    type is plain, or 'option<plain>' as the last."""
+    type is plain, 'option<plain>' as the last, or any of functions.layout: strings, vectors, options, structs, enums."""
 
     name: str
     discriminator: str
     accounts: tuple[str, ...] = ()
-    fields: tuple[tuple[str, str], ...] = ()
+    fields: tuple[tuple[str, Kind], ...] = ()
+
+    @property
+    def fixed(self) -> bool:
+        """Whether columns can cut the fields out by place."""
+        plain = [k for _, k in self.fields[:-1]] + [k[7:-1] if isinstance(k, str) and k.startswith("option<") else k for _, k in self.fields[-1:]]
+        return all(isinstance(k, str) and k in SIZES for k in plain)
 
 
 # Instructions of the token program.
@@ -127,14 +121,22 @@ def instruction_filter(program: str, instructions: Sequence[Instruction] = (), a
 
 def decode_instructions(rows: DataFrame, program: str, instructions: Sequence[Instruction], data: str = "data") -> DataFrame:
     """rows(programId, accounts, data in base58) with instruction (its name; others go), and for each a struct of its
-    accounts and fields. Data too short for the fields set decode_error instead of failing the job."""
+    accounts and fields. Data too short for the fields set decode_error instead of failing the job. Fields of fixed size
+    are cut out by column expressions; instructions with others are read by one Arrow function each."""
     width = check_discriminators(instructions)
     raw = F.col("data_hex")
     found = rows.filter(F.col("programId") == program).withColumn("data_hex", b58hex(data)).filter(instruction_filter(program, instructions))
-    name, need = F.lit(None).cast("string"), F.lit(0)
+    name, need, unread = F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("string")
     columns = []
     for i in instructions:
         mine = F.substring(raw, 1, 2 * width) == i.discriminator
+        if not i.fixed:
+            place = f"_read_{i.name}"
+            found = found.withColumn(place, read_layout(F.when(mine, F.unhex(F.substring(raw, 2 * width + 1, 2_000_000_000))), i.fields))
+            parts = [F.get("accounts", F.lit(k)).alias(a) for k, a in enumerate(i.accounts)] + [F.col(place)[f].alias(f) for f, _ in i.fields]
+            name, unread = F.when(mine, i.name).otherwise(name), F.coalesce(unread, F.col(place)["_error"])
+            columns.append(F.when(mine & F.col(place)["_error"].isNull(), F.struct(*parts)).alias(i.name))
+            continue
         parts, at = [F.get("accounts", F.lit(k)).alias(a) for k, a in enumerate(i.accounts)], width
         for field, kind in i.fields:
             if kind.startswith("option<"):
@@ -147,5 +149,5 @@ def decode_instructions(rows: DataFrame, program: str, instructions: Sequence[In
         name, need = F.when(mine, i.name).otherwise(name), F.when(mine, at).otherwise(need)
         fits = F.length(raw) >= 2 * at
         columns.append(F.when(mine & fits, F.struct(*parts) if parts else F.struct(F.lit(True).alias("present"))).alias(i.name))
-    out = found.withColumn("instruction", name).withColumn("decode_error", F.when(F.length(raw) < 2 * need, F.lit("data end early")))
-    return out.select(*out.columns, *columns)
+    out = found.withColumn("instruction", name).withColumn("decode_error", F.when(F.length(raw) < 2 * need, F.lit("data end early")).otherwise(unread))
+    return out.select(*(c for c in out.columns if not c.startswith("_read_")), *columns)

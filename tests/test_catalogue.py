@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from chainloom.plans import catalogue, examples, families, routing  # noqa: F401
+from chainloom.plans import calls, catalogue, examples, families, routing  # noqa: F401
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
