@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,8 @@ from chainloom.llm.common import materialize, release
 
 MARGINS = ("source", "lang", "topic")
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
-#: Cells up to this many go to every task; more are joined by shuffle.
-BROADCAST_CELLS = 50_000
-#: Sweeps over the margins before the fit is taken as it is, and how many of them are one job.
-MOST_SWEEPS, SWEEPS_A_JOB = 60, 10
+#: Sweeps over the margins in one job; the share of all tokens by which a margin may be off without a warning.
+SWEEPS_A_JOB, CONTRADICTION = 10, 1e-3
 
 
 def token_weight(text: Column | str = "text") -> Column:
@@ -69,7 +68,8 @@ def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flat
     """cells(margins..., tokens) with to_margin for each margin (see wanted), expected tokens and probability.
 
     Raking and capping at probability 1 are one fit: sweeps go on until every margin is met within tolerance of all
-    tokens, or for MOST_SWEEPS where margins contradict each other; residuals() tells by how much. The cells, one for
+    tokens, or comes no closer because margins contradict each other: then a warning says by how much, and residuals()
+    where. The cells, one for
     each combination of values, fit one task, which needs no shuffle.
     """
     tokens = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -77,15 +77,18 @@ def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flat
     for m in margins:
         out = out.join(wanted(cells, m, budget, flatten, (targets or {}).get(m)), m)
     out = materialize(out)
-    for _ in range(0, MOST_SWEEPS, SWEEPS_A_JOB):
+    off = None
+    while True:
         before, out = out, out.coalesce(1)
         for _ in range(SWEEPS_A_JOB):
             out = sweep(out, margins)
         out = materialize(out)
         release(before)
-        off = max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
-        if off <= tolerance * tokens:
+        last, off = off, max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
+        if off <= tolerance * tokens or (last is not None and off > 0.99 * last):
             break
+    if off > CONTRADICTION * tokens:
+        warnings.warn(f"the margins contradict one another: some value is {off:.0f} tokens off its target", stacklevel=2)
     return out.withColumn("probability", F.least(F.lit(1.0), F.col("expected") / F.col("tokens")))
 
 
@@ -95,10 +98,11 @@ def residuals(cells: DataFrame, margin: str) -> DataFrame:
     return found.withColumn("off", F.col("expected") - F.col("wanted"))
 
 
-def draw(doc_id: Column | str = "doc_id", salt: str = "mix") -> Column:
-    """A number from 0 to 1 that depends on the id alone."""
-    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{salt}"))), 1, 8), 16, 10).cast("double") / float(2**32)
+def draw(doc_id: Column | str = "doc_id", salt: str = "mix", text: Column | str = "text") -> Column:
+    """A number from 0 to 1 that depends on the id alone; where that is null, on the text."""
+    doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), text), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{salt}"))), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
 def mix(docs: DataFrame, topic: Column | None = None, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = 0.6, salt: str = "mix") -> DataFrame:
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, topic: Column | None = None, flatten: float = 0.7, targ
 
     Tokens are summed over all documents by source, language and topic (the topic given, else a column topic, else
     topic_of) and raked to the targets (see rake); a document is sampled if its draw is below its cell's probability, so
-    rows that repeat a doc_id are sampled together. Null source, lang or topic count as empty, as does a null text, and an
+    rows that repeat a doc_id are sampled together; rows without one draw by their text. Null source, lang or topic count as empty, as does a null text, and an
     empty text weighs one token. No documents: no rows. DataFrame operations only; the sums combine before their shuffle.
     """
     topic = topic if topic is not None else F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of()
@@ -114,6 +118,5 @@ def mix(docs: DataFrame, topic: Column | None = None, flatten: float = 0.7, targ
     rows = docs.select(F.struct("*").alias("row"), *cell, token_weight().alias("tokens"), draw(salt=salt).alias("draw"))
     sums = materialize(docs.select(*cell, token_weight().alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     cells = rake(sums, budget, flatten=flatten, targets=targets).select(*MARGINS, "probability")
-    few = cells.count() <= BROADCAST_CELLS
-    joined = rows.join(F.broadcast(cells) if few else cells, list(MARGINS))
+    joined = rows.join(cells, list(MARGINS))
     return joined.select("row", "topic", "tokens", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import BLANKS, NO_ID, Batches, id_or_none, in_slices, materialize, real_id, release
@@ -98,7 +98,7 @@ def frequency_ranks(docs: DataFrame, n: int, width: int = 1 << 23, block: int =
 
 
 def _prefixes(n: int, percent: int, ranks: bytes):
-    """For each row: id, class of equal sets, size, and on its first sight in the task the prefix and minima. A prefix
+    """For each row: id, digest, class of equal sets, size, and on its first sight in the task the prefix and minima. A prefix
     token is its rank (under 128) and 55 bits of its hash, so that the order of tokens is the order of prefixes."""
     table = np.frombuffer(zlib.decompress(ranks), np.uint8)
 
@@ -124,7 +124,7 @@ def _prefixes(n: int, percent: int, ranks: bytes):
             if len(seen) > 1_000_000:
                 seen.clear()  # only spares repeats within a task
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(minima, longs), pa.array(bits, pa.binary())], names=["id", "class", "n", "prefix", "minima", "bits"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(minima, longs), pa.array(bits, pa.binary())], names=["id", "digest", "class", "n", "prefix", "minima", "bits"])
 
     return of
 
@@ -311,8 +311,14 @@ def _links(asked: DataFrame, held: DataFrame, sets: DataFrame, percent: int) ->
     return materialize(_dealt(asked, held, sets).groupBy("bucket").applyInPandas(_verify(percent), "a long, b long"))
 
 
+def text_digest(text: str = "text") -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int = 128) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
+    """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links; and of its text
+    the digest (see text_digest) and group, the same number for all that links connect (null without words).
 
     Two documents link when the Jaccard similarity of their sets of distinct n-word shingles is percent / 100 or more.
     Documents without words link with nothing; equal sets are one class and are compared once. Shingles are 64-bit
@@ -332,8 +338,8 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     """
     rows = docs.select(id_or_none().alias("id"), "text")
     prefixes = in_slices(_prefixes(n, percent, frequency_ranks(rows, n)))
-    made = materialize(rows.mapInArrow(prefixes, "id long, class long, n long, prefix array<long>, minima array<long>, bits binary"))
-    named = materialize(made.select("id", "class", "n"))
+    made = materialize(rows.withColumn("digest", text_digest()).mapInArrow(prefixes, "id long, digest long, class long, n long, prefix array<long>, minima array<long>, bits binary"))
+    named = materialize(made.select("id", "digest", "class", "n"))
     classes = named.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID)).groupBy("class").agg(F.min("n").alias("n"), F.min("id").alias("doc"))
     classes = materialize(classes)
     shown = made.filter("prefix is not null")
@@ -357,9 +363,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, group_size: int
     final = components(links.unionByName(later)).select(F.col("node").alias("class"), F.col("component").alias("home"))
     placed = classes.join(final, "class", "left").select("class", "doc", F.coalesce("home", "class").alias("home"))
     smallest = placed.groupBy("home").agg(F.min("doc").alias("component_id"))
-    found = placed.join(smallest, "home").select("class", "component_id")
+    found = placed.join(smallest, "home").select("class", "component_id", "home")
     out = named.join(found, "class", "left")
-    return out.select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id") != NO_ID, F.coalesce("component_id", "id")).alias("component_id"))
+    component = F.when(F.col("id") != NO_ID, F.coalesce("component_id", "id"))
+    return out.select(real_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "digest", F.coalesce("home", "class").alias("group"))
 
 
 def _leaders(shown: DataFrame) -> DataFrame:
@@ -468,4 +475,4 @@ def _of_several(tokens: DataFrame) -> DataFrame:
     return dealt.mapInArrow(of, "token long, class long, at long")
 
 
-__all__ = ["BLANKS", "frequency_ranks", "ngram_groups", "overlap", "shingles"]
+__all__ = ["BLANKS", "frequency_ranks", "ngram_groups", "overlap", "shingles", "text_digest"]

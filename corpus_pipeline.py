@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from chainloom.llm.common import id_or_none, materialize
+from chainloom.llm.common import id_or_none, materialize, release
 from chainloom.llm.queries import learned_lexicon, word_tokenizer
 
 #: A document of this score or more is rejected.
@@ -27,11 +27,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; documents without words stay."""
-    groups = ngram_join.ngram_groups(docs.select("doc_id", "text"))
-    lost = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), id_or_none().alias("id"))
-    return rows.join(materialize(lost), "id", "left_anti").select("row.*")
+    """Of each group of near copies the row with the smallest doc_id, and of equal rows one. Groups are of texts: of two
+    texts under one doc_id each stays or goes by its own group. Rows without words or without a doc_id stay."""
+    groups = ngram_join.ngram_groups(docs.select("doc_id", "text")).filter("`group` is not null and doc_id is not null")
+    groups = groups.groupBy("group", F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("many"))
+    first = groups.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("first"))
+    found = materialize(groups.join(first, "group").select("id", "digest", "many", (F.struct("id", "digest") == F.col("first")).alias("stays")))
+    key = ["id", "digest"]
+    rows = docs.select(F.struct("*").alias("row"), id_or_none().alias("id"), ngram_join.text_digest().alias("digest"))
+    once = rows.join(found.filter("not stays or many > 1").select(*key), key, "left_anti")
+    twice = rows.join(found.filter("stays and many > 1").select(*key), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(twice).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +58,16 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learning a lexicon, near-copy groups and packing are not for SQL; tests hold run() against a brute-force version.
+#: Learning a lexicon, near-copy groups and packing are not for SQL; tests hold run() against a brute-force version of all
+#: stages but the scores of toxicity, which have tests of their own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage has read is deleted once it is through."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if k:
+            release(before)
+    return docs
