@@ -64,12 +64,12 @@ def sweep(cells: DataFrame, margins: Sequence[str] = MARGINS) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-12) -> DataFrame:
+def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flatten: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-12, most_sweeps: int = 60) -> DataFrame:
     """cells(margins..., tokens) with to_margin for each margin (see wanted), expected tokens and probability.
 
     Raking and capping at probability 1 are one fit: sweeps go on until every margin is met within tolerance of all
-    tokens, or comes no closer because margins contradict each other: then a warning says by how much, and residuals()
-    where. The cells, one for
+    tokens, most_sweeps at most. What is off by more than CONTRADICTION of all tokens then, as where margins contradict one
+    another, is told by a warning, and by residuals() value by value. The cells, one for
     each combination of values, fit one task, which needs no shuffle.
     """
     tokens = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -77,18 +77,18 @@ def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flat
     for m in margins:
         out = out.join(wanted(cells, m, budget, flatten, (targets or {}).get(m)), m)
     out = materialize(out)
-    off = None
-    while True:
+    off = 0.0
+    for _ in range(0, most_sweeps, SWEEPS_A_JOB):
         before, out = out, out.coalesce(1)
         for _ in range(SWEEPS_A_JOB):
             out = sweep(out, margins)
         out = materialize(out)
         release(before)
-        last, off = off, max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
-        if off <= tolerance * tokens or (last is not None and off > 0.99 * last):
+        off = max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
+        if off <= tolerance * tokens:
             break
     if off > CONTRADICTION * tokens:
-        warnings.warn(f"the margins contradict one another: some value is {off:.0f} tokens off its target", stacklevel=2)
+        warnings.warn(f"after {most_sweeps} sweeps some value is {off:.0f} of {tokens} tokens off its target", stacklevel=2)
     return out.withColumn("probability", F.least(F.lit(1.0), F.col("expected") / F.col("tokens")))
 
 
