@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.borsh import Instruction, decode_instructions, hexb58
+from chainloom.functions.borsh import TOKEN_PROGRAM, Instruction, b58hex, decode_instructions, hexb58, little_endian
 from chainloom.functions.calls import ERC20_FUNCTIONS, call_filter, decode_calls
 from chainloom.functions.layout import Enum, Struct, Vec
+from chainloom.operators.trees import ends_below
 from chainloom.plans.catalogue import query, table
 
 _ORDER = ("name", "approve", "totalSupply", "transferFrom", "decimals", "balanceOf", "symbol", "transfer", "allowance")
@@ -83,3 +88,71 @@ def q_decode_layouts(spark, sf_dir):
     each = found.select("tx", "route.memo", "route.least", F.element_at("route.tail", 2).alias("tail"), F.posexplode("route.steps").alias("step", "s"))
     amount = F.coalesce("s.kind.limited.most", F.col("s.kind.split.rest").cast("long"))
     return each.select("tx", "step", "s.pool", "s.kind.kind", amount.alias("amount"), "memo", F.col("least").cast("long").alias("least"), "tail")
+
+
+def _anchor(name: str) -> str:
+    """The discriminator that a framework gives an instruction by its name."""
+    return hashlib.sha256(f"global:{name}".encode()).hexdigest()[:16]
+
+
+def _program(*names: str) -> tuple[Instruction, ...]:
+    return tuple(Instruction(n, _anchor(n), ("user",)) for n in names)
+
+
+# Addresses and swap instructions of six exchange programs, and of the token program.
+SWAPS: dict[str, tuple[str, tuple[Instruction, ...]]] = {
+    "orca_whirlpool": ("whirLbMiicVdio4qvUfM5KAg6Ct8VwpYzGff3uctyCc", _program("swap", "swap_v2")),
+    "meteora_damm": ("Eo7WjKq67rjJQSZxS6z3YkapzY3eMj6Xy8X5EQVn5UaB", _program("swap")),
+    "meteora_dlmm": ("LBUZKhRxPF3XUpBCjp4YzTKgLccjZhTSDM9YuVaPwxo", _program("swap", "swap_exact_out", "swap_with_price_impact")),
+    "raydium_amm": ("675kPX9MHTjS2zt1qfr1NYHuzeLXfQM9H24wFSUt1Mp8", (Instruction("swap_base_in", "09", ("user",)), Instruction("swap_base_out", "0b", ("user",)))),
+    "raydium_clmm": ("CAMMCzo5YL8w4VFF8KVHrK22GGUsp5VTaW7grrKgrWqK", _program("swap", "swap_v2")),
+    "raydium_cpmm": ("CPMMoo8L3F4NbTegBCKVNunggL7H1ZpdTHKxQB5qKP1C", _program("swap_base_input", "swap_base_output")),
+}
+TOKEN = "TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA"
+
+
+def swaps(instructions: DataFrame, keys: Sequence[str] = ("block_number", "transactionIndex"), path: str = "instructionAddress") -> DataFrame:
+    """Swaps of six exchange programs: their keys, path, exchange, instruction and user, how many token transfers are
+    below them, and what went in and out: the first and the last of these.
+
+    One read: rows of the programs are picked by address (text as it is stored, so files can be asked), swaps by their
+    discriminators after one base58 pass over what is left."""
+    programs = F.create_map(*(F.lit(x) for name, (address, _) in SWAPS.items() for x in (address, name)))
+    some = instructions.filter(F.col("programId").isin([TOKEN, *(a for a, _ in SWAPS.values())]))
+    some = some.withColumn("data_hex", b58hex("data"))
+    tells = [(a, i) for a, known in SWAPS.values() for i in known]
+    kind = reduce(lambda acc, x: F.when((F.col("programId") == x[0]) & F.startswith("data_hex", F.lit(x[1].discriminator)), x[1].name).otherwise(acc), tells, F.lit(None).cast("string"))
+    moved = next(i for i in TOKEN_PROGRAM if i.name == "transfer")
+    checked = next(i for i in TOKEN_PROGRAM if i.name == "transferChecked")
+    amount = little_endian(F.col("data_hex"), 1, 8)
+    whole = F.length("data_hex") >= 18
+    transfers = some.filter((F.col("programId") == TOKEN) & F.substring("data_hex", 1, 2).isin(moved.discriminator, checked.discriminator) & whole)
+    target = F.when(F.startswith("data_hex", F.lit(checked.discriminator)), F.get("accounts", F.lit(2))).otherwise(F.get("accounts", F.lit(1)))
+    transfers = transfers.select(*keys, path, F.get("accounts", F.lit(0)).alias("source"), target.alias("destination"), amount.alias("amount"))
+    outer = some.withColumn("instruction", kind).filter("instruction is not null")
+    outer = outer.select(*keys, path, F.element_at(programs, F.col("programId")).alias("exchange"), "instruction", F.get("accounts", F.lit(0)).alias("user"))
+    return ends_below(outer, transfers, keys, path, ["source", "destination", "amount"]).withColumnsRenamed({"n_below": "n_transfers", "first": "sent", "last": "received"})
+
+
+@query("""WITH p AS (SELECT p_partkey AS key, p_partkey // 40 AS tx, bin(p_partkey % 40 + 1) AS path, p_size % 3 AS role, (p_partkey * 7 + p_size) % 11 AS k FROM part),
+s AS (SELECT * FROM p WHERE role = 0), t AS (SELECT * FROM p WHERE role = 1),
+j AS (SELECT s.key, count(t.key) AS n, min_by(t.key, t.path) AS a, max_by(t.key, t.path) AS b FROM s LEFT JOIN t ON t.tx = s.tx AND length(t.path) > length(s.path) AND starts_with(t.path, s.path) GROUP BY s.key)
+SELECT key, ['orca_whirlpool', 'orca_whirlpool', 'meteora_damm', 'meteora_dlmm', 'meteora_dlmm', 'meteora_dlmm', 'raydium_amm', 'raydium_amm', 'raydium_clmm', 'raydium_clmm', 'raydium_cpmm'][k + 1] AS exchange,
+['swap', 'swap_v2', 'swap', 'swap', 'swap_exact_out', 'swap_with_price_impact', 'swap_base_in', 'swap_base_out', 'swap', 'swap_v2', 'swap_base_input'][k + 1] AS instruction,
+n AS n_transfers, (a * 1000003)::VARCHAR AS sent, (b * 1000003)::VARCHAR AS received, 'd' || b AS destination FROM s JOIN j USING (key)""")
+def q_swaps(spark, sf_dir):
+    """EX-6: swaps of six programs, nested ones too, with the first and last transfer below each."""
+    digits = F.bin(F.col("p_partkey") % 40 + 1)
+    path = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda k: F.substring(digits, k, F.lit(1)).cast("int"))
+    key = F.col("p_partkey")
+    known = [(address, i) for address, some in SWAPS.values() for i in some][:11]
+    k, role = ((key * 7 + F.col("p_size")) % 11 + 1).cast("int"), F.col("p_size") % 3
+    program = F.when(role == 0, F.element_at(F.array(*(F.lit(a) for a, _ in known)), k)).otherwise(TOKEN)
+    transfer = F.concat(F.when(key % 2 == 0, "03").otherwise("0c"), _little(key * 1000003, 8), F.when(key % 2 == 0, "").otherwise("06"))
+    data = F.when(role == 0, F.concat(F.element_at(F.array(*(F.lit(i.discriminator) for _, i in known)), k), F.lit("00ff"))).when(role == 1, transfer).otherwise("09")
+    places = F.concat(F.lit("d"), key.cast("string"))
+    accounts = F.when(role == 0, F.array(F.lit("u"))).when(key % 2 == 0, F.array(F.lit("s"), places, F.lit("o"))).otherwise(F.array(F.lit("s"), F.lit("mint"), places, F.lit("o")))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("block_number"), F.lit(0).alias("transactionIndex"), path.alias("instructionAddress"), program.alias("programId"), accounts.alias("accounts"), hexb58(data).alias("data"))
+    back = F.conv(F.array_join(F.transform("instructionAddress", lambda d: d.cast("string")), ""), 2, 10).cast("long") - 1
+    found = swaps(rows)
+    return found.select((F.col("block_number") * 40 + back).alias("key"), "exchange", "instruction", "n_transfers", F.col("sent.amount").cast("string").alias("sent"), F.col("received.amount").cast("string").alias("received"), "received.destination")
