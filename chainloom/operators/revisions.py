@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,15 +68,28 @@ def fork_delete(rows: DataFrame, block: str, safe: int, upper: int) -> DataFrame
     return rows.filter((F.col(block) <= safe) | (F.col(block) > upper))
 
 
-def compensate(manifest: DataFrame, baseline: DataFrame, keys: Sequence[str], block: str, seq: str, safe: int, values: Sequence[str]) -> DataFrame:
+def compensate(manifest: DataFrame, baseline: DataFrame, keys: Sequence[str], block: str, seq: str, safe: int, values: Sequence[str], inverses: DataFrame | None = None, once: Column | None = None) -> DataFrame:
     """For each key with a revision above the safe block what takes its place: its last revision at or below, else its
-    finalized baseline, else nothing: keys, action ('surviving', 'baseline' or 'delete') and values."""
-    orphaned = manifest.filter(F.col(block) > safe).select(*keys).distinct()
-    alive = manifest.filter(F.col(block) <= safe).groupBy(*keys).agg(F.max_by(F.struct(*values), seq).alias("_alive"))
-    base = baseline.select(*keys, F.struct(*values).alias("_base"))
-    joined = orphaned.join(alive, list(keys), "left").join(base, list(keys), "left")
-    action = F.when(F.col("_alive").isNotNull(), "surviving").when(F.col("_base").isNotNull(), "baseline").otherwise("delete")
-    return joined.select(*keys, action.alias("action"), *(F.coalesce(F.col("_alive")[v], F.col("_base")[v]).alias(v) for v in values))
+    finalized baseline, else the inverse that was stored for it, else nothing: keys, action ('surviving', 'baseline',
+    'inverse' or 'delete') and values, which a delete has none of.
+
+    inverses: keys, seq and values, where a key has several the one stored first counts, which undoes all that follow.
+    once: which revisions of the manifest are written once; a key whose surviving revision is one needs no repair, since
+    consumers hold what is still true. One aggregate over the manifest and two joins on its keys.
+    """
+    above = F.col(block) > safe
+    last = F.max_by(F.struct(*values, (once if once is not None else F.lit(False)).alias("_once")), F.when(~above, F.col(seq)))
+    found = manifest.groupBy(*keys).agg(F.max(above).alias("_orphaned"), F.max(~above).alias("_survives"), last.alias("_alive")).filter("_orphaned")
+    found = found.withColumn("_alive", F.when(F.col("_survives"), F.col("_alive"))).filter("_alive is null or not coalesce(_alive._once, false)")
+    joined = found.join(baseline.select(*keys, F.struct(*values).alias("_base")), list(keys), "left")
+    if inverses is None:
+        joined = joined.withColumn("_inverse", F.lit(None).cast(joined.schema["_base"].dataType))
+    else:
+        joined = joined.join(inverses.groupBy(*keys).agg(F.min_by(F.struct(*values), seq).alias("_inverse")), list(keys), "left")
+    kinds = (("_alive", "surviving"), ("_base", "baseline"), ("_inverse", "inverse"))
+    action = reduce(lambda rest, x: F.when(F.col(x[0]).isNotNull(), x[1]).otherwise(rest), reversed(kinds), F.lit("delete"))
+    value = lambda v: reduce(lambda rest, x: F.when(F.col(x[0]).isNotNull(), F.col(x[0])[v]).otherwise(rest), reversed(kinds), F.lit(None)).alias(v)
+    return joined.select(*keys, action.alias("action"), *(value(v) for v in values))
 
 
 def numbered(rows: DataFrame, within: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from chainloom.errors import FinalizedOnlyError, RelationCycleError
 from chainloom.functions.scalars import row_id
+from chainloom.operators.intervals import following
 
 
 def with_id(rows: DataFrame, candidates: Sequence[str | Column], block: str, index: str) -> DataFrame:
@@ -49,6 +50,13 @@ def boundaries(forks: DataFrame, fork: str, safe: str, keys: Sequence[str]) -> D
     return forks.select(*keys, fork, epoch.alias("epoch"), F.coalesce(safe, F.lit(0)).alias("block"), F.col(safe).isNull().alias("dead_end"))
 
 
+def released(signals: DataFrame, block: str, floors: DataFrame, floor: str) -> DataFrame:
+    """signals with the finality floor that lets each go: the lowest of the floors, one a batch, that is at its block or
+    above; null for those that are still held."""
+    found = following(signals.withColumn("_behind", F.col(block) - 1), "_behind", floors, floor, "_floor")
+    return found.select(*signals.columns, F.col("_floor").alias(floor))
+
+
 def finalized_only(signals: DataFrame, block: str, finalized: int | None) -> DataFrame:
     """Signals of a route that must not be taken back; one above the finalized block fails the job with the code of FinalizedOnlyError."""
     message = F.concat(F.lit(f"[{FinalizedOnlyError.code}] block "), F.coalesce(F.col(block).cast("string"), F.lit("null")), F.lit(" is not final"))

@@ -94,11 +94,14 @@ def q_merge_batches(spark, sf_dir):
     return merge_batches(rows, "pipe")
 
 
-@query("SELECT 0::BIGINT AS first, 9::BIGINT AS last UNION ALL SELECT 10, 19 UNION ALL SELECT 15, 30")
+@query("""WITH f AS (SELECT p_partkey * 10 AS first, p_partkey * 10 + 9 + p_size % 3 AS last FROM part WHERE p_partkey % 150 <> 149),
+g AS (SELECT *, lag(last) OVER (ORDER BY first) AS before FROM f WHERE last >= 35)
+SELECT first, last::BIGINT AS last FROM g WHERE first < coalesce((SELECT min(first) FROM g WHERE first > before + 1), 9223372036854775807)""")
 def q_cache_chain(spark, sf_dir):
-    """SC-16: cached folders that follow one another from block 3; the one behind the gap is left out."""
-    rows = [(0, 9), (10, 19), (15, 30), (40, 50)]
-    return cached_chain(spark, spark.createDataFrame(rows, "first long, last long"), 3)
+    """SC-16: cached folders that follow one another from block 35, up to the first gap."""
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 150 <> 149")
+    first = F.col("p_partkey") * 10
+    return cached_chain(spark, rows.select(first.alias("first"), (first + 9 + F.col("p_size") % 3).cast("long").alias("last")), 35)
 
 
 @query("SELECT o_orderkey AS number FROM orders WHERE o_orderkey % 1000 = 500 AND o_orderkey > 0")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainloom.functions.scalars import clamped, date_parts
-from chainloom.operators.revisions import latest_per_key
-from chainloom.operators.routes import boundaries, commit_lag, finalized_only, id_mismatches, live_from, page, table_stats, with_id, written_once
+from chainloom.operators.revisions import compensate, latest_per_key
+from chainloom.operators.routes import boundaries, commit_lag, id_mismatches, live_from, page, released, table_stats, with_id, written_once
 from chainloom.plans.catalogue import logs, query, table, transactions, whole
 
 _IDS = """SELECT coalesce(CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'row:' || l_partkey END, CASE WHEN l_linestatus = 'F' THEN 'drawn:' || l_suppkey END,
@@ -63,12 +63,13 @@ def q_fork_signals(spark, sf_dir):
     return boundaries(forks, "fork", "safe", ["pipe"])
 
 
-@query("SELECT o_orderkey // 10 AS block_number, o_orderkey AS tx FROM orders WHERE o_orderkey // 10 <= (SELECT max(o_orderkey) // 10 - 32 FROM orders)")
+@query("""WITH s AS (SELECT o_orderkey // 10 AS block_number, o_orderkey AS tx FROM orders), f AS (SELECT DISTINCT block_number // 50 * 50 + 49 - 32 AS floor FROM s WHERE block_number % 50 = 49)
+SELECT block_number, tx, (SELECT min(floor) FROM f WHERE floor >= block_number) AS floor FROM s""")
 def q_final_signals(spark, sf_dir):
-    """SK-25: signals held until their block is final; any other would fail the job."""
+    """SK-25: signals held until their block is final: the floor of the batch that lets each go, null for those still held."""
     rows = transactions(spark, sf_dir).select("block_number", "tx")
-    final = (rows.agg(F.max("block_number")).first()[0] or 0) - 32
-    return finalized_only(rows.filter(F.col("block_number") <= final), "block_number", final)
+    floors = rows.filter("block_number % 50 = 49").select((F.col("block_number") - 32).alias("floor")).distinct()
+    return released(rows, "block_number", floors, "floor")
 
 
 @query("""WITH t AS (SELECT 'log' AS "table", l_orderkey // 10 AS block, length('{"block_number":' || (l_orderkey // 10) || ',"tx":' || l_orderkey || '}') AS size FROM lineitem
@@ -93,3 +94,22 @@ CASE WHEN value IS NOT NULL THEN least(greatest(value, 10.0), 150.0) END AS valu
 def q_date_parts(spark, sf_dir):
     """FN-9, FN-10: days, milliseconds and microseconds of timestamps; amounts within bounds."""
     return table(spark, sf_dir, "events").select("event_id", *date_parts("ts"), clamped("value", 10.0, 150.0).alias("value"))
+
+
+@query("""WITH m AS (SELECT user_id AS u, event_id % 11 AS k, event_id AS seq, event_id // 10 AS block_number, event_type FROM events),
+o AS (SELECT DISTINCT u, k FROM m WHERE block_number > (SELECT max(block_number) * 2 // 3 FROM m)),
+a AS (SELECT u, k, max_by(event_type, seq) AS v, max_by(u % 5 = 0, seq) AS once FROM m, (SELECT max(block_number) AS top FROM m) WHERE block_number <= top * 2 // 3 AND block_number > top // 3 GROUP BY ALL),
+b AS (SELECT u, k, max_by(event_type, seq) AS v FROM m, (SELECT max(block_number) AS top FROM m) WHERE block_number <= top // 3 GROUP BY ALL),
+i AS (SELECT u, k, min_by('undo ' || event_type, seq) AS v FROM m, (SELECT max(block_number) AS top FROM m) WHERE block_number > top // 3 AND u % 3 = 0 GROUP BY ALL)
+SELECT o.u AS user_id, o.k AS item, CASE WHEN a.u IS NOT NULL THEN 'surviving' WHEN b.u IS NOT NULL THEN 'baseline' WHEN i.u IS NOT NULL THEN 'inverse' ELSE 'delete' END AS action, coalesce(a.v, b.v, i.v) AS event_type
+FROM o LEFT JOIN a USING (u, k) LEFT JOIN b USING (u, k) LEFT JOIN i USING (u, k) WHERE NOT coalesce(a.once, false)""")
+def q_compensation_inverse(spark, sf_dir):
+    """SK-23: all four outcomes of a fork: surviving revisions, baselines, stored inverses and deletes; what is written once and
+    survives needs none."""
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 11).alias("item"), F.col("event_id").alias("seq"), whole("event_id", 10).alias("block_number"), "event_type")
+    top = rows.agg(F.max("block_number")).first()[0] or 0
+    final, safe, keys = top // 3, top * 2 // 3, ["user_id", "item"]
+    manifest = rows.filter(F.col("block_number") > final)
+    inverses = manifest.filter("user_id % 3 = 0").withColumn("event_type", F.concat(F.lit("undo "), "event_type"))
+    folded = latest_per_key(rows.filter(F.col("block_number") <= final), keys, ["seq"])
+    return compensate(manifest, folded, keys, "block_number", "seq", safe, ["event_type"], inverses, F.col("user_id") % 5 == 0)

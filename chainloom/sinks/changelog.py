@@ -35,10 +35,13 @@ class ChangelogSink:
     """At least once in order by key, and once by sequence: revisions are written to the outbox and the manifest with the
     state, then published, then confirmed by a second state. publish gets a DataFrame of messages dealt by key and sorted
     by sequence; what was not confirmed is published again. The sequence never goes back, also after a fork, when each
-    orphaned key gets its surviving revision, its finalized baseline or a delete."""
+    orphaned key gets its surviving revision, its finalized baseline, its stored inverse or a delete.
 
-    def __init__(self, spark: SparkSession, path: str, pipe: str, keys: Sequence[str], publish: Callable[[DataFrame], None], block: str = "block_number") -> None:
-        self._spark, self._keys, self._publish, self._block = spark, list(keys), publish, block
+    inverse: makes of the rows of a batch (with their seq) those that undo them: keys, seq and the same values, for the
+    keys that have any. They are stored with the revisions and go when the manifest has no revision of their key."""
+
+    def __init__(self, spark: SparkSession, path: str, pipe: str, keys: Sequence[str], publish: Callable[[DataFrame], None], block: str = "block_number", inverse: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self._spark, self._keys, self._publish, self._block, self._inverse = spark, list(keys), publish, block, inverse
         self.log, self._folder = StateLog(spark, path, pipe), Folder(spark, path)
 
     def _table(self, name: str) -> DataFrame | None:
@@ -57,6 +60,10 @@ class ChangelogSink:
         extra = {**state.extra, "outbox": [part], "seq": max(top or 0, state.extra.get("seq", 0))}
         if manifest:
             extra["manifest"] = [*state.extra.get("manifest", []), part]
+            if self._inverse:
+                beside = f"inverses/v{number + 1:012d}"
+                self._inverse(found.drop("change_type", self._block)).write.mode("overwrite").parquet(self._folder.at(beside))
+                extra["inverses"] = [*state.extra.get("inverses", []), beside]
         self.log.save(State(state.cursor, state.floor, state.chain, extra))
         return self.confirm()
 
@@ -87,15 +94,24 @@ class ChangelogSink:
             return safe
         values = [c for c in manifest.columns if c not in (*self._keys, "seq", "change_type", self._block)]
         base = baseline if baseline is not None else manifest.limit(0)
-        undone = compensate(manifest, base, self._keys, self._block, "seq", safe.number, values)
+        undone = compensate(manifest, base, self._keys, self._block, "seq", safe.number, values, self._table("inverses"))
         undone = undone.select(*self._keys, F.lit(safe.number).cast("long").alias(self._block), *values, F.when(F.col("action") == "delete", "DELETE").otherwise("UPSERT").alias("change_type"))
         number, _ = self.log.load()
         kept = f"kept/v{number + 1:012d}"
         manifest.filter(F.col(self._block) <= safe.number).write.mode("overwrite").parquet(self._folder.at(kept))
-        state = State(safe, now.floor, now.chain, {**now.extra, "manifest": [kept]})
+        state = State(safe, now.floor, now.chain, {**now.extra, "manifest": [kept], **self._pruned(kept, number + 1)})
         self._commit(sequenced(undone, self._block, self._keys, now.extra.get("seq", 0)), state, manifest=False)
         return safe
 
+    def _pruned(self, manifest: str, number: int) -> dict:
+        """Inverses of the keys that a manifest still has, as a new part."""
+        inverses = self._table("inverses")
+        if inverses is None:
+            return {}
+        part = f"inverses/kept{number:012d}"
+        inverses.join(self._spark.read.parquet(self._folder.at(manifest)).select(*self._keys).distinct(), self._keys, "left_semi").select(*inverses.columns).write.mode("overwrite").parquet(self._folder.at(part))
+        return {"inverses": [part]}
+
     def fold(self) -> None:
         """Move what is final into the baseline: the last final revision of each key; the manifest keeps the rest."""
         number, now = self.log.load()
@@ -107,4 +123,4 @@ class ChangelogSink:
         parts = {"baseline": f"baseline/v{number + 1:012d}", "manifest": f"kept/v{number + 1:012d}"}
         latest_per_key(both, self._keys, ["seq"]).select(*manifest.columns).write.mode("overwrite").parquet(self._folder.at(parts["baseline"]))
         manifest.filter(F.col(self._block) > now.floor.number).write.mode("overwrite").parquet(self._folder.at(parts["manifest"]))
-        self.log.save(State(now.cursor, now.floor, now.chain, {**now.extra, **{k: [v] for k, v in parts.items()}}))
+        self.log.save(State(now.cursor, now.floor, now.chain, {**now.extra, **{k: [v] for k, v in parts.items()}, **self._pruned(parts["manifest"], number + 1)}))

@@ -105,6 +105,29 @@ def test_changelog(spark, tmp_path):
     assert len(sent) == before
 
 
+def test_changelog_with_stored_inverses(spark, tmp_path):
+    sent = []
+    undo = lambda df: df.filter("k <> 'd'").select("k", "seq", (F.col("v") * -1).alias("v"))
+    sink = ChangelogSink(spark, str(tmp_path), "p", ["k"], lambda df: sent.extend(json.loads(r["payload"]) for r in df.orderBy("seq").collect()), inverse=undo)
+    rows = lambda *x: spark.createDataFrame(x, "k string, block_number long, v int")
+    sink.write(rows(("a", 1, 1), ("b", 1, 2)), heads("1"), Block(1, "1"))
+    sink.fold()
+    held = lambda: sorted((r["k"], r["v"]) for r in sink._table("inverses").collect())
+    assert held() == []  # final keys need none
+    sink.write(rows(("a", 2, 5)), heads("2"))
+    sink.write(rows(("a", 3, 7), ("b", 3, 8), ("c", 3, 9), ("d", 3, 4)), heads("3"))
+    sink.write(rows(("c", 4, 10)), heads("4"))
+    assert held() == [("a", -7), ("a", -5), ("b", -8), ("c", -10), ("c", -9)]
+    before = len(sent)
+    sink.rollback(heads("2", "3a", "4a"))
+    assert {m["_id"]: (m["_CHANGE_TYPE"], m.get("v")) for m in sent[before:]} == {"a": ("UPSERT", 5), "b": ("UPSERT", 2), "c": ("UPSERT", -9), "d": ("DELETE", None)}
+    assert held() == [("a", -7), ("a", -5)]
+    sink.write(rows(("c", 3, 11)), heads("3a"))
+    before = len(sent)
+    sink.rollback(heads("2", "3b"))
+    assert [(m["_id"], m.get("v")) for m in sent[before:]] == [("c", -11)]
+
+
 def block(number, name, parent, logs):
     return {"header": {"number": number, "hash": name, "parentHash": parent, "timestamp": number}, "logs": [{"logIndex": k, "address": a, "topics": ["t"], "data": "0x"} for k, a in enumerate(logs)]}
 
