@@ -14,7 +14,7 @@ from chainloom.llm.common import materialize, release
 MARGINS = ("source", "lang", "topic")
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 #: Sweeps over the margins in one job; the share of all tokens by which a margin may be off without a warning.
-SWEEPS_A_JOB, CONTRADICTION = 10, 1e-3
+SWEEPS_A_JOB, CONTRADICTION = 5, 1e-3
 
 
 def token_weight(text: Column | str = "text") -> Column:
@@ -82,9 +82,11 @@ def rake(cells: DataFrame, budget: float, margins: Sequence[str] = MARGINS, flat
         before, out = out, out.coalesce(1)
         for _ in range(SWEEPS_A_JOB):
             out = sweep(out, margins)
-        out = materialize(out)
+        gaps = (F.abs(F.sum("expected").over(Window.partitionBy(m)) - F.col(f"to_{m}")) for m in margins)
+        out = materialize(out.withColumn("off", F.greatest(*gaps, F.lit(0.0))))
         release(before)
-        off = max((r["off"] for m in margins for r in residuals(out, m).agg(F.max(F.abs("off")).alias("off")).collect() if r["off"] is not None), default=0)
+        off = out.agg(F.max("off")).first()[0] or 0.0
+        out = out.drop("off")
         if off <= tolerance * tokens:
             break
     if off > CONTRADICTION * tokens:
