@@ -72,3 +72,22 @@ class RelationCycleError(SinkError):
     """Tables refer to each other in a circle, so none can be cleared first."""
 
     code = "E2106"
+
+
+class CanonicalError(ChainloomError):
+    """A value or type without a canonical text, with its path."""
+
+    code = "E2501"
+
+    def __init__(self, path: str, why: str) -> None:
+        super().__init__(f"at {path}: {why}")
+        self.path = path
+
+    def __reduce__(self):
+        return ChainloomError, (str(self),)
+
+
+class RowError(SinkError):
+    """A row that does not fit its declared columns, with the path of the first value that does not."""
+
+    code = "E2316"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chainloom.functions.canonical import canonical_json
 from chainloom.functions.scalars import clamped, date_parts
+from chainloom.functions.validate import Group, Items, Leaf, first_problem
 from chainloom.operators.revisions import compensate, latest_per_key
 from chainloom.operators.routes import boundaries, commit_lag, id_mismatches, live_from, page, released, table_stats, with_id, written_once
 from chainloom.plans.catalogue import logs, query, table, transactions, whole
@@ -113,3 +115,41 @@ def q_compensation_inverse(spark, sf_dir):
     inverses = manifest.filter("user_id % 3 = 0").withColumn("event_type", F.concat(F.lit("undo "), "event_type"))
     folded = latest_per_key(rows.filter(F.col("block_number") <= final), keys, ["seq"])
     return compensate(manifest, folded, keys, "block_number", "seq", safe, ["event_type"], inverses, F.col("user_id") % 5 == 0)
+
+
+@query("""SELECT o_orderkey AS tx, sha256('{"Z":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderpriority || '"' END || ',"_":' || o_orderkey % 100 || '.5,"id":"' || o_orderkey || '","legs":['
+|| array_to_string(list_transform(range(o_orderkey % 4), lambda k: '{"a":' || k || ',"b":{"ok":' || CASE WHEN (o_custkey + k) % 2 = 0 THEN 'true' ELSE 'false' END || ',"raw":"0x' || lpad(printf('%x', k), 2, '0') || '"}}'), ',')
+|| '],"map":{"' || o_orderstatus || '":' || o_orderkey % 7 || ',"~":null}}') AS digest FROM orders""")
+def q_canonical_json(spark, sf_dir):
+    """DC-13: nested rows as canonical text, whatever the order of their columns."""
+    rows = table(spark, sf_dir, "orders")
+    tx = F.col("o_orderkey")
+    leg = lambda k: F.struct(F.struct(F.unhex(F.lpad(F.hex(k), 2, "0")).alias("raw"), ((F.col("o_custkey") + k) % 2 == 0).alias("ok")).alias("b"), k.alias("a"))
+    count = (tx % 4).cast("int")
+    legs = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), leg)).otherwise(F.slice(F.transform(F.array(F.lit(0)), leg), 1, 0))
+    extras = F.map_from_arrays(F.array(F.lit("~"), F.col("o_orderstatus")), F.array(F.lit(None).cast("int"), (tx % 7).cast("int")))
+    value = F.struct(legs.alias("legs"), tx.alias("id"), (tx % 100 + F.lit(0.5)).cast("double").alias("_"), extras.alias("map"), F.when(tx % 3 != 0, F.col("o_orderpriority")).alias("Z"))
+    made = rows.select(tx.alias("tx"), value.alias("value"))
+    return made.select("tx", F.sha2(canonical_json(F.col("value"), made.schema["value"].dataType), 256).alias("digest"))
+
+
+_LEG = Group({"to": Leaf("HEX"), "share": Leaf("INT32"), "memo": Leaf("UTF8", optional=True)})
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey * 31 + l_linenumber) % 12 AS k FROM lineitem)
+SELECT l_orderkey AS tx, l_linenumber, CASE WHEN k = 0 THEN 'block is required but null' WHEN k = 1 THEN 'legs is required but null' WHEN k = 2 THEN 'legs[' || l_linenumber % 3 || '].to is no hex of whole bytes'
+WHEN k = 3 THEN 'legs[1].share is out of INT32 range' WHEN k = 4 THEN 'legs[2] is required but null' WHEN k = 5 THEN 'day is before 1970' END AS problem FROM r""")
+def q_row_problems(spark, sf_dir):
+    """SK-14: the path of the first value of each row that its declared columns don't allow."""
+    kind, line = (F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 12, F.col("l_linenumber")
+
+    def leg(k):
+        to = F.when((kind == 2) & (k == line % 3), "0xabc").otherwise(F.concat(F.lit("0x"), F.lpad(F.hex("l_partkey"), 10, "0")))
+        share = F.when((kind == 3) & (k > 0), F.lit(2**31).cast("long")).otherwise(F.col("l_partkey"))
+        return F.when((kind != 4) | (k != 2), F.struct(to.alias("to"), share.alias("share"), F.when(k == 0, "m").alias("memo")))
+
+    legs = F.when(kind != 1, F.transform(F.sequence(F.lit(0), F.lit(2)), leg))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.when(kind == 5, -1).otherwise(line))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), "l_linenumber", F.when(kind != 0, F.col("l_orderkey")).alias("block"), legs.alias("legs"), day.alias("day"))
+    columns = {"block": Leaf("INT64"), "legs": Items(_LEG), "day": Leaf("DATE", optional=True)}
+    return rows.select("tx", "l_linenumber", first_problem(rows, columns).alias("problem"))

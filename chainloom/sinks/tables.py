@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.errors import CoverageError, FinalizedOnlyError, SinkError
+from chainloom.functions.validate import Declared, checked
 from chainloom.operators.forks import Block
 from chainloom.operators.revisions import cancel_rows, net
 from chainloom.plans.ranges import Range
@@ -71,11 +72,13 @@ class AppendSink:
 
 class CoverageSink:
     """Exactly once for finalized rows: a file per table and window, named for the blocks it covers, <from>-<to>.parquet,
-    also where there are no rows. A file appears by a rename and is never written over; recovery drops files beyond the
+    also where there are no rows. columns: by table what its rows must be; one that is not fails the write with its path,
+    before any file appears. A file appears by a rename and is never written over; recovery drops files beyond the
     cursor and refuses one that straddles it."""
 
-    def __init__(self, spark: SparkSession, path: str, pipe: str, block: str = "block_number") -> None:
+    def __init__(self, spark: SparkSession, path: str, pipe: str, block: str = "block_number", columns: Mapping[str, Mapping[str, Declared]] | None = None) -> None:
         self._spark, self._block, self.log, self._folder = spark, block, StateLog(spark, path, pipe), Folder(spark, path)
+        self._columns = columns or {}
 
     @staticmethod
     def file_name(covered: Range) -> str:
@@ -89,6 +92,7 @@ class CoverageSink:
         for name, rows in frames.items():
             if not rows.filter(F.col(self._block).isNull()).isEmpty():
                 raise SinkError(f"{name} has rows without a block")
+            rows = checked(rows, self._columns[name], name) if name in self._columns else rows
             inside = rows.filter(covered.covers(self._block)).orderBy(self._block).coalesce(1)
             beside = f"_beside/{name}"
             inside.write.mode("overwrite").parquet(self._folder.at(beside))
