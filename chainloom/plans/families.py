@@ -13,7 +13,7 @@ from chainloom.functions.borsh import b58hex
 from chainloom.operators.registry import of_children
 from chainloom.plans.catalogue import query, table, whole
 from chainloom.plans.ranges import Range
-from chainloom.plans.scan import Relation, Request, any_of, collected, scan_all
+from chainloom.plans.scan import Relation, Request, collected, scan_all
 from chainloom.sources.schemas import FILTERS
 
 TX = ("block_number", "transactionIndex")
@@ -66,17 +66,13 @@ def request(family: str, kind: str, /, within: Range = Range(0), include: Sequen
     return entity, Request(within, kept | {k: v for k, v in where.items() if v is not None}, tuple(include))
 
 
-def scan_family(family: str, tables: Mapping[str, DataFrame], asked: Sequence[tuple[str, Request]], fields: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """The entities that the requests match or include, each read once."""
+def scan_family(family: str, tables: Mapping[str, DataFrame], asked: Sequence[tuple[str, Request]], fields: Mapping[str, Sequence[str]] | None = None, stored_lower: bool = False) -> dict[str, DataFrame]:
+    """The entities that the requests match or include (see scan_all); stored_lower for tables that schemas.entities made
+    of families whose text is hex."""
     by_entity: dict[str, list[Request]] = {}
     for entity, r in asked:
         by_entity.setdefault(entity, []).append(r)
-    return scan_all(tables, by_entity, RELATIONS[family], fields)
-
-
-def merged(asked: Sequence[tuple[str, Request]]) -> dict[str, Column]:
-    """One predicate for each entity that several outputs ask for, so that one scan serves them all."""
-    return {entity: any_of([r for e, r in asked if e == entity], "block_number") for entity in dict.fromkeys(e for e, _ in asked)}
+    return scan_all(tables, by_entity, RELATIONS[family], fields, stored_lower=stored_lower)
 
 
 def instruction_columns(rows: DataFrame, data: str = "data") -> DataFrame:
@@ -267,4 +263,4 @@ def q_decode_arrays(spark, sf_dir):
     return found.select("tx", "ids", F.size("legs").cast("long").alias("legs"), shares.alias("shares"))
 
 
-__all__ = ["RELATIONS", "call_columns", "instruction_columns", "merged", "request", "scan_family"]
+__all__ = ["RELATIONS", "call_columns", "instruction_columns", "request", "scan_family"]

@@ -18,19 +18,20 @@ LITERAL_VALUES = 1_000
 @dataclass(frozen=True)
 class Request:
     """Rows of an entity within a range whose columns take one of the listed values: AND across columns, OR within a
-    list, no condition for an empty one. Text is compared in lower case. include names related entities."""
+    list, no condition for an empty one. Text is compared in lower case; where it is stored so (stored_lower, as
+    sources.schemas.entities does), plainly, so that lists of text reach the files as well. include names related entities."""
 
     range: Range = Range(0)
     where: Mapping[str, Sequence] = field(default_factory=dict)
     include: tuple[str, ...] = ()
 
-    def matches(self, block: str) -> Column:
+    def matches(self, block: str, stored_lower: bool = False) -> Column:
         parts = [self.range.covers(block)]
         for column, values in self.where.items():
             values = list(values) if isinstance(values, (list, tuple, set, frozenset)) else [values]
             if values:
                 text = all(isinstance(v, str) for v in values)
-                parts.append((F.lower(column) if text else F.col(column)).isin([v.lower() for v in values] if text else values))
+                parts.append((F.lower(column) if text and not stored_lower else F.col(column)).isin([v.lower() for v in values] if text else values))
         return reduce(lambda a, b: a & b, parts)
 
 
@@ -45,30 +46,38 @@ class Relation:
     side: str = "children"
 
 
-def any_of(requests: Iterable[Request], block: str) -> Column:
-    return reduce(lambda a, b: a | b, [r.matches(block) for r in requests], F.lit(False))
+def any_of(requests: Iterable[Request], block: str, stored_lower: bool = False) -> Column:
+    return reduce(lambda a, b: a | b, [r.matches(block, stored_lower) for r in requests], F.lit(False))
 
 
-def bounding(requests: Iterable[Request], block: str, key: tuple[str, int] | None = None) -> Column:
-    """What every match fulfils, in terms that file scans can check: ranges and lists of numbers, not text, whose case the
-    scan cannot ignore. key: (column, width), if the block is that stored column divided by width."""
+def within(requests: Iterable[Request], block: str, key: tuple[str, int] | None = None) -> Column:
+    """Blocks of the requests' ranges, as file scans can check them. key: (column, width), if the block is that stored
+    column divided by width."""
+    column, width = key or (block, 1)
     parts = []
     for r in requests:
-        column, width = key or (block, 1)
         mine = F.col(column) >= r.range.start * width
-        if r.range.stop is not None:
-            mine &= F.col(column) <= r.range.stop * width + width - 1
+        parts.append(mine if r.range.stop is None else mine & (F.col(column) <= r.range.stop * width + width - 1))
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def bounding(requests: Iterable[Request], block: str, key: tuple[str, int] | None = None, stored_lower: bool = False) -> Column:
+    """What every match fulfils, in terms that file scans can check: ranges and lists of numbers; of text only where it is
+    stored in lower case, since a scan cannot ignore case."""
+    parts = []
+    for r in requests:
+        mine = within([r], block, key)
         for name, values in r.where.items():
             values = list(values) if isinstance(values, (list, tuple, set, frozenset)) else [values]
-            if values and not isinstance(values[0], str):
-                mine &= F.col(name).isin(values)
+            if values and (stored_lower or not isinstance(values[0], str)):
+                mine &= F.col(name).isin([v.lower() if isinstance(v, str) else v for v in values])
         parts.append(mine)
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
-def scan(rows: DataFrame, requests: Sequence[Request], fields: Sequence[str] | None = None, block: str = "block_number", key: tuple[str, int] | None = None) -> DataFrame:
+def scan(rows: DataFrame, requests: Sequence[Request], fields: Sequence[str] | None = None, block: str = "block_number", key: tuple[str, int] | None = None, stored_lower: bool = False) -> DataFrame:
     """Rows that any request matches, once each, with the chosen fields. The bounds and lists reach the file scan."""
-    found = rows.filter(bounding(requests, block, key)).filter(any_of(requests, block))
+    found = rows.filter(bounding(requests, block, key, stored_lower)).filter(any_of(requests, block, stored_lower))
     return found.select(*dict.fromkeys([block, *fields])) if fields else found
 
 
@@ -104,29 +113,38 @@ def related(matched: DataFrame, entity: DataFrame, relation: Relation) -> DataFr
     return pairs.select(f"{side}.*").distinct()
 
 
-def scan_all(tables: Mapping[str, DataFrame], requests: Mapping[str, Sequence[Request]], relations: Mapping[tuple[str, str], Relation], fields: Mapping[str, Sequence[str]] | None = None, block: str = "block_number", key: tuple[str, int] | None = None) -> dict[str, DataFrame]:
+def scan_all(tables: Mapping[str, DataFrame], requests: Mapping[str, Sequence[Request]], relations: Mapping[tuple[str, str], Relation], fields: Mapping[str, Sequence[str]] | None = None, block: str = "block_number", key: tuple[str, int] | None = None, stored_lower: bool = False) -> dict[str, DataFrame]:
     """For each entity the rows that its requests match or that relate to a match of another, as often as they occur.
 
-    relations: by (entity of the match, name in include). Each entity is read once: the keys of what matches elsewhere
-    join as flags, and a row stays if its own filters or a flag say so.
+    relations: by (entity of the match, name in include). What an entity's own requests match is a plain scan, with ranges
+    and lists pushed to the files. What is included comes by a semi-join with the keys of the matches, over rows that don't
+    match themselves, so no row comes twice and none is carried along to be dropped later; where the keys hold the block,
+    the ranges of the requests bound the files of that read too. An entity is read once for its own requests, once for
+    all inclusions with the same keys, and once more for relations along a path.
     """
-    wanted: dict[str, list[tuple[Relation, DataFrame]]] = {entity: [] for entity in requests}
+    wanted: dict[str, list[tuple[Relation, DataFrame, Column]]] = {entity: [] for entity in requests}
     for entity, asked in requests.items():
         for name in dict.fromkeys(n for r in asked for n in r.include):
             link = relations[entity, name]
-            wanted.setdefault(link.to, []).append((link, scan(tables[entity], [r for r in asked if name in r.include], block=block, key=key)))
+            asking = [r for r in asked if name in r.include]
+            bounds = within(asking, block, key) if block in link.keys or (key and key[0] in link.keys) else F.lit(True)
+            wanted.setdefault(link.to, []).append((link, scan(tables[entity], asking, block=block, key=key, stored_lower=stored_lower), bounds))
     out = {}
     for entity, links in wanted.items():
         rows, asked = tables[entity], requests.get(entity, ())
-        if not links:
-            rows = scan(rows, asked, block=block, key=key)
-        else:
-            stays, columns = any_of(asked, block), rows.columns
-            for k, (link, matched) in enumerate(links):
-                on = [*link.keys, *([link.path] if link.path else [])]
-                keys = (related(matched, rows, link) if link.path else matched).select(*on).distinct().withColumn(f"_r{k}", F.lit(True))
-                rows, stays = rows.join(keys, on, "left"), stays | F.col(f"_r{k}").isNotNull()
-            rows = rows.filter(F.coalesce(stays, F.lit(False))).select(*columns)
+        parts = [scan(rows, asked, block=block, key=key, stored_lower=stored_lower)] if asked else []
+        rest = rows.filter(~F.coalesce(any_of(asked, block, stored_lower), F.lit(False))) if asked else rows
+        by_keys: dict[tuple[str, ...], list[tuple[DataFrame, Column]]] = {}
+        for link, matched, bounds in links:
+            on = (*link.keys, *([link.path] if link.path else []))
+            found = related(matched, rows.filter(bounds), link) if link.path else matched
+            by_keys.setdefault(on, []).append((found.select(*on), bounds))
+        for on, found in by_keys.items():
+            keys = reduce(DataFrame.unionByName, [k for k, _ in found]).distinct()
+            bounds = reduce(lambda a, b: a | b, [c for _, c in found])
+            parts.append(rest.filter(bounds).join(keys, list(on), "left_semi").select(*rows.columns))
+            rest = rest.join(keys, list(on), "left_anti") if len(by_keys) > 1 else rest
+        rows = reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
         chosen = (fields or {}).get(entity)
         out[entity] = rows.select(*dict.fromkeys([block, *chosen])) if chosen else rows
     return out

@@ -91,14 +91,21 @@ def block_type(family: str, fields: Mapping[str, Sequence[str]] | None = None) -
     return T.StructType(out)
 
 
-def entities(blocks: DataFrame) -> dict[str, DataFrame]:
+# Columns of hex text, whose case means nothing.
+HEX = frozenset("address topic0 topic1 topic2 topic3 from to sighash createFrom callTo callFrom callSighash suicideRefundAddress rewardAuthor key hash transactionHash contractAddress".split())
+
+
+def entities(blocks: DataFrame, lower_hex: bool = False) -> dict[str, DataFrame]:
     """Flat tables of nested blocks: block per header, and a row per element of each array with block_number and
-    block_hash; absent arrays are empty. Topics are also columns topic0 to topic3, for filters."""
+    block_hash; absent arrays are empty. Topics are also columns topic0 to topic3, for filters. lower_hex: hex text that
+    filters compare is stored in lower case, once and for all, so that scans can ask files for it (stored_lower)."""
     out = {"block": blocks.select("header.*")}
     for f in blocks.schema.fields:
         if isinstance(f.dataType, T.ArrayType):
             rows = blocks.select(F.col("header.number").alias("block_number"), F.col("header.hash").alias("block_hash"), F.explode(f.name).alias("_x")).select("block_number", "block_hash", "_x.*")
             if "topics" in rows.columns:
                 rows = rows.select("*", *(F.get("topics", F.lit(k)).alias(f"topic{k}") for k in range(4)))
+            if lower_hex:
+                rows = rows.withColumns({c: F.lower(c) for c in rows.columns if c in HEX and isinstance(rows.schema[c].dataType, T.StringType)})
             out[f.name] = rows
     return out
