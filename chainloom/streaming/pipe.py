@@ -13,6 +13,7 @@ from chainloom.errors import DeepForkError, ForkError
 from chainloom.operators.forks import Block
 from chainloom.sinks.state import StateLog
 from chainloom.sources.schemas import entities
+from chainloom.streaming.metrics import observed
 from chainloom.streaming.registry import Discovery
 
 Output = Callable[[Mapping[str, DataFrame]], DataFrame]
@@ -80,13 +81,14 @@ def batch_writer(outputs: Mapping[str, Output], sink: Sink, finality: int = 32,
     return write
 
 
-def start(blocks: DataFrame, outputs: Mapping[str, Output], sink: Sink, checkpoint: str, finality: int = 32, once: bool = True, finalized: FinalizedHead | None = None, discoveries: Mapping[str, Discovery] | None = None) -> StreamingQuery:
-    """Start the pipe; once: over what is there, then stop."""
-    query = blocks.writeStream.foreachBatch(batch_writer(outputs, sink, finality, finalized, discoveries)).option("checkpointLocation", checkpoint)
+def start(blocks: DataFrame, outputs: Mapping[str, Output], sink: Sink, checkpoint: str, finality: int = 32, once: bool = True, finalized: FinalizedHead | None = None, discoveries: Mapping[str, Discovery] | None = None, count_bytes: bool = True) -> StreamingQuery:
+    """Start the pipe; once: over what is there, then stop. A metrics.PipeMetrics listener hears of its blocks, and of
+    their bytes if those are counted."""
+    query = observed(blocks, count_bytes).writeStream.foreachBatch(batch_writer(outputs, sink, finality, finalized, discoveries)).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query).start()
 
 
-def run(blocks_of: Callable[[int], DataFrame], outputs: Mapping[str, Output], sink: Sink, checkpoint: str, canonical_of: Callable[[], Sequence[Block]], finality: int = 32, finalized: FinalizedHead | None = None, discoveries: Mapping[str, Discovery] | None = None) -> int:
+def run(blocks_of: Callable[[int], DataFrame], outputs: Mapping[str, Output], sink: Sink, checkpoint: str, canonical_of: Callable[[], Sequence[Block]], finality: int = 32, finalized: FinalizedHead | None = None, discoveries: Mapping[str, Discovery] | None = None, count_bytes: bool = True) -> int:
     """Run to the end of what is there. After a fork the query is over, since offsets only rise: the sink rolls back to
     the safe block by the canonical headers, and a new query over blocks_of(epoch) starts with a checkpoint of its own.
     The epoch is the number of forks in the sink's state, so a process that starts again goes on in the epoch that was
@@ -96,7 +98,7 @@ def run(blocks_of: Callable[[int], DataFrame], outputs: Mapping[str, Output], si
     forks = 0
     while True:
         _, now = sink.log.load()
-        query = start(blocks_of(len(now.safe_blocks)), outputs, sink, f"{checkpoint}/epoch-{len(now.safe_blocks)}", finality, True, finalized, discoveries)
+        query = start(blocks_of(len(now.safe_blocks)), outputs, sink, f"{checkpoint}/epoch-{len(now.safe_blocks)}", finality, True, finalized, discoveries, count_bytes)
         try:
             query.awaitTermination()
             return forks

@@ -1,6 +1,7 @@
 """Pipes that discover contracts, fork and start again."""
 
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from chainloom.errors import DeepForkError
 from chainloom.operators.forks import Block
 from chainloom.operators.registry import first_registrations
 from chainloom.sinks.tables import AppendSink
-from chainloom.sources.schemas import entities
 from chainloom.sources.blocks import read_blocks, stream_blocks
+from chainloom.sources.schemas import entities
 from chainloom.streaming import pipe
+from chainloom.streaming.metrics import PipeMetrics
 from chainloom.streaming.registry import ORDER, Discovery, GrowingRegistry, later_logs
 from tests.test_sinks import heads, write_blocks
 
@@ -131,3 +133,26 @@ def test_contradicting_source_fails(spark, tmp_path):
     stream = lambda e: stream_blocks(spark, str(tmp_path / "e"), "evm", FIELDS, 1)
     with pytest.raises(DeepForkError):
         pipe.run(stream, {}, sink, str(tmp_path / "c"), lambda: heads("1", "2"))
+
+
+def test_metrics_of_a_run(spark, tmp_path):
+    for k, b in enumerate(BLOCKS[:3]):
+        write_blocks(tmp_path / f"e0/{k}.json", b)
+    write_blocks(tmp_path / "e0/9.json", block(4, "4a", "3a"))
+    write_blocks(tmp_path / "e1/0.json", block(3, "3a", "2", ("f", "new", "p5")), block(4, "4a", "3a"))
+    heard = PipeMetrics()
+    spark.streams.addListener(heard)
+    try:
+        sink = AppendSink(spark, str(tmp_path / "sink"), "p")
+        stream = lambda e: stream_blocks(spark, str(tmp_path / f"e{e}"), "evm", FIELDS, 1)
+        outputs = {"logs": lambda t: t["logs"].select("block_number", "address")}
+        assert pipe.run(stream, outputs, sink, str(tmp_path / "c"), lambda: heads("2", "3a", "4a"), finalized=lambda: None) == 1
+        for _ in range(100):
+            found = heard.read()
+            if found["queries"] == 2 and found["blocks"] >= 5:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(heard)
+    assert (found["queries"], found["forks"], found["failures"], found["last"]) == (2, 1, 0, 4)
+    assert found["blocks"] == 5 and found["batches"] - found["skips"] == 4 and found["bytes"] > 500
