@@ -100,9 +100,11 @@ def parse_endpoint(value: int | str | datetime, start: int | None = None) -> int
         raise RangeError(f"{value!r} is no block, date or 'latest'") from None
 
 
-def resolve(start: int | str | datetime, stop: int | str | datetime | None, blocks: DataFrame, number: str = "number", at: str = "timestamp") -> Range:
+def resolve(start: int | str | datetime, stop: int | str | datetime | None, blocks: DataFrame, number: str = "number", at: str = "timestamp", cursor: int | None = None) -> Range:
     """A range with its symbolic ends looked up in a table of headers, in one small aggregate: 'latest' is the greatest
-    number, an instant is the first block at or after it (as a stop, the last before it would begin)."""
+    number, an instant is the first block at or after it (as a stop, the last before it would begin). A pipe that goes on
+    behind a cursor has begun before: a start of 'latest' is then the block behind the cursor, or the head if that is
+    lower, so that what came in between is not passed over."""
     first = parse_endpoint(start)
     last = None if stop is None else parse_endpoint(stop, first if isinstance(first, int) else None)
     if first == "latest" and isinstance(last, datetime):
@@ -117,6 +119,8 @@ def resolve(start: int | str | datetime, stop: int | str | datetime | None, bloc
     ends = [found.get(f"x{k}", x if isinstance(x, int) else None) for k, x in enumerate((first, last))]
     if ends[0] is None:
         raise RangeError(f"no block at or after {start}")
+    if first == "latest" and cursor is not None:
+        ends[0] = min(ends[0], cursor + 1)
     if ends[1] is not None and ends[1] < ends[0]:
         raise RangeError(f"the range ends at {ends[1]}, before its start {ends[0]}")
     return Range(ends[0], ends[1])

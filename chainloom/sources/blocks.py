@@ -1,8 +1,9 @@
-"""Blocks from files: newline-delimited JSON as the gateway writes it, batch or stream, and a cache of finalized blocks."""
+"""Blocks from files: newline-delimited JSON, batch or stream, and a cache of finalized blocks."""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ def finalized_only(blocks: DataFrame, floor: int, number: str = "header.number")
     return blocks.filter(F.col(number) <= floor)
 
 
-def check_ascending(blocks: DataFrame, number: str = "number", parent: str = "parentHash", own: str = "hash", width: int = BUCKET) -> DataFrame:
+def check_ascending(blocks: DataFrame, number: str = "number", parent: str = "parentHash", own: str = "hash") -> DataFrame:
     """Blocks whose parent hash is not the hash of the block before them: gaps are allowed, breaks are returned. A
     self-join on consecutive numbers, so no window over all."""
     before = blocks.select((F.col(number) + 1).alias("_n"), F.col(own).alias("_h")).distinct()
@@ -64,13 +65,35 @@ def cached_chain(spark: SparkSession, folders: DataFrame, start: int) -> DataFra
     return rows.withColumn("unbroken", F.min("follows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).filter("unbroken = 1").select("first", "last")
 
 
+_SQL_PARTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", re.S)
+
+
+def split_statements(text: str) -> list[str]:
+    """The statements of a script: parted at semicolons outside of quotes and comments; those without words are left out."""
+    parts: list[list[str]] = [[]]
+    for found in _SQL_PARTS.finditer(text):
+        if found[0] == ";":
+            parts.append([])
+        elif not found[0].startswith(("--", "/*")):
+            parts[-1].append(found[0])
+        else:
+            parts[-1].append(" ")
+    return [x for x in ("".join(p).strip() for p in parts) if x]
+
+
+def sql_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, text) of the .sql files of a folder that Spark can read, in the order of their names."""
+    rows = spark.read.option("pathGlobFilter", "*.sql").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    return sorted((r["name"], r["value"]) for r in rows.collect())  # scripts, a handful
+
+
 def run_migrations(spark: SparkSession, statements: Sequence[tuple[str, str]]) -> list[str]:
-    """Run named SQL statements in the order of their names; returns the names."""
-    done = []
-    for name, text in sorted(statements):
-        for statement in filter(str.strip, text.split(";")):
-            spark.sql(statement)
-        done.append(name)
-    if len(set(done)) != len(done):
+    """Run named SQL scripts (see sql_files) in the order of their names; returns the names. Two of one name are refused
+    before any is run."""
+    names = sorted(name for name, _ in statements)
+    if len(set(names)) != len(names):
         raise SinkError("two migrations share a name")
-    return done
+    for _, text in sorted(statements):
+        for statement in split_statements(text):
+            spark.sql(statement)
+    return names

@@ -58,6 +58,10 @@ def test_resolve(spark):
     assert resolve(5, "+10", blocks) == Range(5, 15)
     assert resolve("2023-11-14T22:13:45Z", "latest", blocks) == Range(3, 99)
     assert resolve(0, None, blocks) == Range(0)
+    assert resolve("latest", None, blocks) == Range(99)
+    assert resolve("latest", None, blocks, cursor=40) == Range(41)
+    assert resolve("latest", None, blocks, cursor=200) == Range(99)
+    assert resolve(7, None, blocks, cursor=40) == Range(7)
     with pytest.raises(RangeError):
         resolve(9, 3, blocks)
     with pytest.raises(RangeError):

@@ -11,7 +11,7 @@ from chainloom.plans.ranges import Range
 from chainloom.sinks.changelog import ChangelogSink
 from chainloom.sinks.state import State, StateLog
 from chainloom.sinks.tables import AppendSink, CoverageSink, MemorySink
-from chainloom.sources.blocks import add_to_cache, cached_chain, check_ascending, query_key, read_blocks, stream_blocks
+from chainloom.sources.blocks import add_to_cache, cached_chain, check_ascending, query_key, read_blocks, run_migrations, split_statements, sql_files, stream_blocks
 from chainloom.sources.schemas import FAMILIES, block_type
 from chainloom.streaming import pipe
 
@@ -178,3 +178,22 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
     folders = spark.createDataFrame([(0, 4), (5, 9), (11, 12)], "first long, last long")
     assert sorted(tuple(r) for r in cached_chain(spark, folders, 2).collect()) == [(0, 4), (5, 9)]
+
+
+def test_migrations(spark, tmp_path):
+    (tmp_path / "2_fill.sql").write_text("-- a; b\nINSERT INTO m_t VALUES ('x;y', 'it''s; \\'q', \"z;\"); /* ; */ ;\n")
+    (tmp_path / "1_make.sql").write_text(f"CREATE TABLE m_t (a STRING, `b;` STRING, c STRING) USING parquet LOCATION '{tmp_path}/t';")
+    (tmp_path / "notes.txt").write_text("no; sql")
+    assert run_migrations(spark, sql_files(spark, str(tmp_path))) == ["1_make.sql", "2_fill.sql"]
+    try:
+        assert [tuple(r) for r in spark.table("m_t").collect()] == [("x;y", "it's; 'q", "z;")]
+        with pytest.raises(SinkError):
+            run_migrations(spark, [("a", "DROP TABLE m_t"), ("a", "SELECT 1")])
+        assert spark.catalog.tableExists("m_t")
+    finally:
+        spark.sql("DROP TABLE m_t")
+
+
+def test_statements():
+    assert split_statements("a;b;;c") == ["a", "b", "c"] and split_statements(" ; -- x;y\n") == []
+    assert split_statements("SELECT 5 - 3 / 1 -- ;\n, ';' ; x") == ["SELECT 5 - 3 / 1  \n, ';'", "x"]
