@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,26 @@ def cached_chain(spark: SparkSession, folders: DataFrame, start: int) -> DataFra
     return rows.withColumn("unbroken", F.min("follows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).filter("unbroken = 1").select("first", "last")
 
 
+def replayed(spark: SparkSession, path: str, key: str, start: int, number: str = "header.number") -> tuple[DataFrame | None, int]:
+    """(blocks, cut): what the cache of a query holds without a gap from start on, each block once where folders overlap,
+    and the block that follows it, where a live source takes over; no blocks and start itself where the cache has none.
+
+    Folders are told by their names, which the driver lists; only those of the chain are read, each from where the one
+    before it ended."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/query={key}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/query={key}/first=*/last=*/_SUCCESS")) if files.exists(root) else []
+    folders = sorted(tuple(int(x.partition("=")[2]) for x in f.getPath().getParent().toString().split("/")[-2:]) for f in found)
+    parts, cut = [], start
+    for first, last in folders:
+        if first > cut:
+            break  # a gap: what lies behind it comes live
+        if last >= cut:
+            parts.append(spark.read.parquet(f"{path}/query={key}/first={first}/last={last}").filter(F.col(number).between(cut, last)))
+            cut = last + 1
+    return (reduce(DataFrame.unionByName, parts) if parts else None), cut
+
+
 _SQL_PARTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", re.S)
 
 

@@ -110,3 +110,16 @@ def run(blocks_of: Callable[[int], DataFrame], outputs: Mapping[str, Output], si
         if before.cursor and safe.number >= before.cursor.number:
             raise DeepForkError(f"the blocks that follow {before.cursor} contradict the canonical ones")
         forks += 1
+
+
+def run_behind_cache(cached: tuple[DataFrame | None, int], live_from: Callable[[int, int], DataFrame], outputs: Mapping[str, Output], sink: Sink, checkpoint: str, canonical_of: Callable[[], Sequence[Block]], finality: int = 32, finalized: FinalizedHead | None = None, discoveries: Mapping[str, Discovery] | None = None, count_bytes: bool = True) -> int:
+    """run(), with what sources.blocks.replayed found in front: the cached blocks as one batch, then live_from(cut, epoch), a
+    stream that may begin earlier. Blocks below the cut come from the cache alone and the others live alone, so none is
+    lost or doubled; a pipe whose cursor is behind the cut already goes on live. The cut is where the cache ends when the
+    pipe first starts: what is cached later does not move a stream that has begun."""
+    blocks, cut = cached
+    _, now = sink.log.load()
+    if blocks is not None and not (now.cursor and now.cursor.number >= cut - 1) and not now.safe_blocks:
+        batch_writer(outputs, sink, finality, finalized, discoveries)(blocks, -1)
+    live = lambda epoch: live_from(cut, epoch) if epoch else live_from(cut, epoch).filter(F.col("header.number") >= cut)
+    return run(live, outputs, sink, checkpoint, canonical_of, finality, finalized, discoveries, count_bytes)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from chainloom.errors import DeepForkError
 from chainloom.operators.forks import Block
 from chainloom.operators.registry import first_registrations
+from chainloom.plans.ranges import Range
 from chainloom.sinks.tables import AppendSink
-from chainloom.sources.blocks import read_blocks, stream_blocks
+from chainloom.sources.blocks import add_to_cache, read_blocks, replayed, stream_blocks
 from chainloom.sources.schemas import entities
 from chainloom.streaming import pipe
 from chainloom.streaming.metrics import PipeMetrics
@@ -30,7 +31,7 @@ def placed(logs):
     return logs.withColumnsRenamed({"transactionIndex": "transaction_index", "logIndex": "log_index"})
 
 
-def found(tables):
+def created(tables):
     return placed(tables["logs"]).filter("topic0 = 'new'").select(F.nullif("data", F.lit("")).alias("child"), F.col("address").alias("factory"), *ORDER)
 
 
@@ -59,7 +60,7 @@ def rows(df):
 def test_any_split_of_batches_gives_the_same(spark, tmp_path):
     write_blocks(tmp_path / "all/1.json", *BLOCKS)
     tables = entities(read_blocks(spark, str(tmp_path / "all"), "evm", FIELDS))
-    assert rows(children(tables, first_registrations(found(tables), "child", ORDER))) == WANT
+    assert rows(children(tables, first_registrations(created(tables), "child", ORDER))) == WANT
     for n, cuts in enumerate(itertools.product([False, True], repeat=3)):
         parts, place = [[BLOCKS[0]]], tmp_path / f"s{n}"
         for b, cut in zip(BLOCKS[1:], cuts, strict=True):
@@ -69,7 +70,7 @@ def test_any_split_of_batches_gives_the_same(spark, tmp_path):
         for k, part in enumerate(parts):
             write_blocks(place / f"in/{k}.json", *part)
         sink = AppendSink(spark, str(place / "sink"), "p")
-        pools = Discovery(registry(spark, place / "pools"), found)
+        pools = Discovery(registry(spark, place / "pools"), created)
         stream = lambda _, place=place: stream_blocks(spark, str(place / "in"), "evm", FIELDS, 1)
         assert pipe.run(stream, {"uses": children}, sink, str(place / "c"), list, discoveries={"pools": pools}) == 0
         assert rows(sink.read("uses")) == WANT
@@ -83,7 +84,7 @@ def test_fork_drops_what_it_undid_and_a_restart_goes_on(spark, tmp_path):
     for k, b in enumerate(again):
         write_blocks(tmp_path / f"e1/{k}.json", b)
     sink = AppendSink(spark, str(tmp_path / "sink"), "p")
-    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), found)}
+    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), created)}
     stream = lambda e: stream_blocks(spark, str(tmp_path / f"e{e}"), "evm", FIELDS, 1)
     head = lambda: Block(1, "1")
     assert pipe.run(stream, {"uses": children}, sink, str(tmp_path / "c"), lambda: heads("2", "3a", "4a"), finalized=head, discoveries=pools) == 1
@@ -96,7 +97,7 @@ def test_fork_drops_what_it_undid_and_a_restart_goes_on(spark, tmp_path):
     write_blocks(tmp_path / "e1/7.json", block(5, "5a", "4a", ("p5", "use", "x"), ("p1", "use", "x")))
     sink = AppendSink(spark, str(tmp_path / "sink"), "p")
     sink.recover()
-    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), found)}
+    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), created)}
     lower = lambda: None
     assert pipe.run(stream, {"uses": children}, sink, str(tmp_path / "c"), list, finalized=lower, discoveries=pools) == 0
     want += [(5, 0, "p5", "f"), (5, 1, "p1", "f")]
@@ -117,7 +118,7 @@ def test_restart_between_rollback_and_the_new_query(spark, tmp_path):
     write_blocks(tmp_path / "e0/0.json", BLOCKS[0], BLOCKS[1], BLOCKS[2])
     write_blocks(tmp_path / "e1/0.json", block(3, "3a", "2", ("p2", "use", "x")))
     sink = AppendSink(spark, str(tmp_path / "sink"), "p")
-    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), found)}
+    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), created)}
     stream = lambda e: stream_blocks(spark, str(tmp_path / f"e{e}"), "evm", FIELDS, 1)
     pipe.run(stream, {"uses": children}, sink, str(tmp_path / "c"), list, finalized=lambda: None, discoveries=pools)
     sink.rollback(heads("2", "3a"))  # and the process ends here
@@ -156,3 +157,29 @@ def test_metrics_of_a_run(spark, tmp_path):
         spark.streams.removeListener(heard)
     assert (found["queries"], found["forks"], found["failures"], found["last"]) == (2, 1, 0, 4)
     assert found["blocks"] == 5 and found["batches"] - found["skips"] == 4 and found["bytes"] > 500
+
+
+def test_replay_then_live(spark, tmp_path):
+    """No block is lost or doubled where the cache ends and the stream takes over, nor where the pipe starts again."""
+    write_blocks(tmp_path / "all/1.json", *BLOCKS)
+    blocks = read_blocks(spark, str(tmp_path / "all"), "evm", FIELDS)
+    cache = str(tmp_path / "cache")
+    for first, last in ((1, 2), (2, 3), (9, 12)):  # overlap, then a gap
+        add_to_cache(blocks.filter(F.col("header.number").between(first, last)), cache, "q", Range(first, last), 99)
+    found, cut = replayed(spark, cache, "q", 1)
+    assert cut == 4 and sorted(r[0] for r in found.select("header.number").collect()) == [1, 2, 3]
+    assert replayed(spark, cache, "other", 7) == (None, 7) and replayed(spark, cache, "q", 4) == (None, 4)
+    assert [r[0] for r in replayed(spark, cache, "q", 3)[0].select("header.number").collect()] == [3]
+
+    write_blocks(tmp_path / "live/0.json", BLOCKS[1], BLOCKS[2])  # the source still has some of what is cached
+    write_blocks(tmp_path / "live/1.json", BLOCKS[3])
+    live = lambda cut, epoch: stream_blocks(spark, str(tmp_path / "live"), "evm", FIELDS, 1)
+    sink = AppendSink(spark, str(tmp_path / "sink"), "p")
+    pools = {"pools": Discovery(registry(spark, tmp_path / "pools"), created)}
+    go = lambda: pipe.run_behind_cache(replayed(spark, cache, "q", 1), live, {"uses": children}, sink, str(tmp_path / "c"), list, finalized=lambda: None, discoveries=pools)
+    assert go() == 0
+    assert rows(sink.read("uses")) == WANT
+    write_blocks(tmp_path / "live/2.json", block(5, "5", "4", ("p2", "use", "x")))
+    add_to_cache(blocks.filter("header.number = 4"), cache, "q", Range(4, 4), 99)  # cached behind the stream's back
+    assert go() == 0
+    assert rows(sink.read("uses")) == [*WANT, (5, 0, "p2", "f")]
