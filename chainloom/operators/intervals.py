@@ -49,14 +49,16 @@ def following(rows: DataFrame, at: str, marks: DataFrame, mark: str, name: str =
     if ends["low"] is None:
         return rows.withColumn(name, F.lit(None).cast("long"))
     low, width = ends["low"], (ends["high"] - ends["low"]) // _BUCKETS + 1
-    place = F.call_function("div", F.greatest(F.col("_v"), F.lit(low)) - F.lit(low), F.lit(width).cast("long"))
-    bucket = F.coalesce(F.least(place, F.lit(_BUCKETS)), F.lit(0)).cast("int")
+    # before the first mark and from the last on no bucket is needed, and none may get all of these
+    away = F.pmod(F.xxhash64("_v"), F.lit(_BUCKETS)).cast("int")
+    place = F.call_function("div", F.col("_v") - F.lit(low), F.lit(width).cast("long")).cast("int")
+    bucket = F.when(F.col("_v").isNull() | (F.col("_v") < low), -1 - away).when(F.col("_v") > ends["high"], _BUCKETS + 1 + away).otherwise(place)
     both = rows.select(F.struct("*").alias("_row"), F.col(at).cast("long").alias("_v")).unionByName(only, allowMissingColumns=True).withColumn("_b", bucket)
-    behind = Window.partitionBy("_b").orderBy("_v").rangeBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy("_b").orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, -1)  # from the far end, so that it adds up as it goes
     near = both.withColumn("_near", F.min(F.when(F.col("_row").isNull(), F.col("_v"))).over(behind)).filter("_row is not null")
     firsts = rows.sparkSession.range(_BUCKETS + 1).select(F.col("id").cast("int").alias("_b")).join(only.groupBy(bucket.alias("_b")).agg(F.min("_v").alias("_first")), "_b", "left")
-    later = firsts.select("_b", F.min("_first").over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    found = near.join(later, "_b").withColumn("_next", F.when(F.col("_v").isNotNull(), F.coalesce("_near", "_later")))
+    later = firsts.select("_b", F.min("_first").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    found = near.join(later, "_b", "left").withColumn("_next", F.when(F.col("_v") < low, F.lit(low)).otherwise(F.coalesce("_near", "_later")))
     return found.select("_row.*", F.col("_next").alias(name))
 
 
