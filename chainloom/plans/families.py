@@ -248,10 +248,10 @@ BATCH = Event("TransferBatch", (Param("operator", "address", True), Param("ids",
 
 
 @query("""SELECT o_orderkey AS tx, list_transform(range(o_orderkey % 4), lambda k: (o_custkey + k)::VARCHAR) AS ids, o_orderkey % 3 AS legs,
-list_sum(list_transform(range(o_orderkey % 3), lambda k: k + o_custkey))::BIGINT AS shares FROM orders WHERE o_orderstatus = 'F'""")
+list_sum(list_transform(range(o_orderkey % 3), lambda k: k + o_custkey))::BIGINT AS shares FROM orders""")
 def q_decode_arrays(spark, sf_dir):
     """DC-1: events with arrays of numbers and of tuples, cut from the data natively."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    rows = table(spark, sf_dir, "orders")
     n, m, start = F.col("o_orderkey") % 4, F.col("o_orderkey") % 3, F.col("o_custkey")
     many = lambda count, f: F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), f), "")).otherwise("")
     ids = F.concat(_word(n), many(n, lambda k: _word(start + k)))
